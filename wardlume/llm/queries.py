@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hilbert, quality_rules
+from . import bitplane, bpe_codec, exact_dedup, hilbert, packing, quality_rules
+from .shared import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +19,32 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(_table(spark, sf_dir, "documents"), ["n_chars", "source", "lang"], shards=8, law="rows")
 
 
+def _tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file, installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_codec.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, capacity=4096)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost")
+
+
+def op7_bitplane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
+    bitplane.write_planes(_table(spark, sf_dir, "documents"), out, _tokenizer("byte_bpe_50k.json"), end_id=0)
+    return bitplane.read_planes(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -28,7 +57,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op4_bpe_codec": op4_bpe_codec,
+    "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bitplane_output": op7_bitplane_output,
     "op9_quality_rules": op9_quality_rules,
 }
 
