@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe_codec, exact_dedup, hilbert, packing, quality_rules
+from . import bitplane, bpe_codec, exact_dedup, hilbert, html_blocks, packing, quality_rules
 from .shared import shared_dir
 
 
@@ -19,6 +19,11 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(_table(spark, sf_dir, "documents"), ["n_chars", "source", "lang"], shards=8, law="rows")
 
 
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_blocks.extract(_table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
 def _tokenizer(name: str) -> str:
     """The place of a public tokenizer's file, installed alike on every machine."""
     import public_tokenizers
@@ -57,6 +62,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op3_html_blocks": op3_html_blocks,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
