@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe_codec, exact_dedup, hilbert, html_blocks, packing, quality_rules
+from . import bitplane, bpe_codec, exact_dedup, hilbert, html_blocks, line_dedup, ngram_join, packing, quality_rules
 from .shared import shared_dir
 
 
@@ -19,6 +19,13 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(_table(spark, sf_dir, "documents"), ["n_chars", "source", "lang"], shards=8, law="rows")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return line_dedup.line_dedup(docs.select("doc_id", "text", lines.alias("n_lines"))).select(
+        "doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_blocks.extract(_table(spark, sf_dir, "pages"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
@@ -54,6 +61,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -62,11 +73,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op2_line_dedup": op2_line_dedup,
     "op3_html_blocks": op3_html_blocks,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bitplane_output": op7_bitplane_output,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
