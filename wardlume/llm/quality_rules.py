@@ -137,3 +137,13 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     for c in every:
         kept = kept & c
     return measured(docs.drop("base_failed", "kept"), text).withColumns({"base_failed": failed, "kept": kept})
+
+
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of the input that hold every rule, with the input's columns only.
+
+    The row marker is no function of the row, so the optimizer keeps the filter above the projections; below
+    them it would have to repeat the whole chain of counts inside its condition.
+    """
+    marked = judged(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
+    return marked.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
