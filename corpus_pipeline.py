@@ -15,7 +15,7 @@ from wardlume.llm.shared import written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold every rule of the threshold table."""
-    return quality_rules.judged(docs).filter("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
