@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe_codec, exact_dedup, hilbert, html_blocks, line_dedup, ngram_join, packing, quality_rules
+from . import bitplane, bpe_codec, exact_dedup, hilbert, html_blocks, katz, line_dedup, ngram_join, packing, quality_rules
 from .shared import shared_dir
 
 
@@ -71,6 +71,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_stop_words", "n_lines", "n_shout_lines", "base_failed", "kept")
 
 
+def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +85,7 @@ QUERIES = {
     "op7_bitplane_output": op7_bitplane_output,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
+    "op10_katz_backoff": op10_katz_backoff,
 }
 
 # DuckDB's RE2 has no lone surrogates and splits as Java does here: the class is plain ASCII.
