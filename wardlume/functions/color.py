@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,9 +25,17 @@ def hex6(c: Column) -> Column:
     return F.when(h.rlike("^[0-9A-F]{6}$"), h).when(h.rlike("^[0-9A-F]{3}$"), F.regexp_replace(h, "([0-9A-F])", "$1$1"))
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x evaluated once, however often ``use`` refers to it; keeps generated code small."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def css_hex(c: Column) -> Column:
     """RRGGBB of a CSS colour: hex of 3, 4, 6 or 8 digits if opaque, rgb(), rgba() with full alpha, or a name."""
-    t = F.lower(F.trim(c))
+    return bound(F.lower(F.trim(c)), _css_hex)
+
+
+def _css_hex(t: Column) -> Column:
     h = F.regexp_extract(t, "^#([0-9a-f]+)$", 1)
     rgb = r"^rgba?\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*(?:,\s*([0-9.]+)\s*)?\)$"
     part = [F.lpad(F.hex(F.least(F.lit(255), F.regexp_extract(t, rgb, i).try_cast("int"))), 2, "0") for i in (1, 2, 3)]
@@ -41,15 +50,17 @@ def channels(hex_color: Column) -> list[Column]:
     return [F.conv(F.substring(hex_color, i, 2), 16, 10).cast("double") for i in (1, 3, 5)]
 
 
+def _linear(c: Column) -> Column:
+    return bound(c / 255, lambda x: F.when(x <= 0.03928, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, F.lit(2.4))))
+
+
 def luminance(hex_color: Column) -> Column:
-    linear = [F.when(c / 255 <= 0.03928, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4))) for c in channels(hex_color)]
-    return linear[0] * 0.2126 + linear[1] * 0.7152 + linear[2] * 0.0722
+    return bound(hex_color, lambda h: sum((_linear(c) * w for c, w in zip(channels(h), (0.2126, 0.7152, 0.0722), strict=True)), start=F.lit(0.0)))
 
 
 def contrast(fg: Column, bg: Column) -> Column:
     """1 to 21, or null if a colour can't be read."""
-    a, b = luminance(hex6(fg)), luminance(hex6(bg))
-    return (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05)
+    return bound(F.struct(luminance(hex6(fg)).alias("a"), luminance(hex6(bg)).alias("b")), lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), (F.greatest(x["a"], x["b"]) + 0.05) / (F.least(x["a"], x["b"]) + 0.05)))
 
 
 def is_large(size_pt: Column, bold: Column) -> Column:
@@ -72,19 +83,19 @@ def _toward(base: list[Column], goal: int, t: Column) -> Column:
 
 def nearest_passing(fg: Column, bg: Column, needed: Column, steps: int = 64) -> Column:
     """The text colour closest to fg, on its way to black or to white in ``steps`` steps, that has the contrast; null if fg has it."""
-    f, b = hex6(fg), hex6(bg)
-    base = channels(f)
-
-    def first(goal: int) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.struct(i.alias("i"), _toward(base, goal, i.cast("double") / steps).alias("hex")))
-        hit = F.element_at(F.filter(tries, lambda x: contrast(x["hex"], b) >= needed), 1)
-        return F.when(hit.isNotNull(), F.struct(
-            reduce(lambda x, y: x + y, [F.pow((F.lit(float(goal)) - c) * hit["i"].cast("double") / steps, F.lit(2.0)) for c in base]).alias("far"),
-            F.lit(goal).alias("goal"), hit["hex"].alias("hex")))
-
-    dark, light = first(0), first(255)
-    best = F.when(dark.isNull(), light).when(light.isNull(), dark).when(light["far"] < dark["far"], light).otherwise(dark)
-    return F.when(f.isNotNull() & b.isNotNull() & (contrast(f, b) < needed), best["hex"])
+
+    def search(x: Column) -> Column:
+        def first(goal: int) -> Column:
+            tries = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.struct(i.alias("i"), _toward(channels(x["f"]), goal, i.cast("double") / steps).alias("hex")))
+            hit = F.try_element_at(F.filter(tries, lambda t: contrast(t["hex"], x["b"]) >= x["needed"]), F.lit(1))
+            far = reduce(lambda a, b: a + b, [F.pow((F.lit(float(goal)) - c) * hit["i"].cast("double") / steps, F.lit(2.0)) for c in channels(x["f"])])
+            return F.when(hit.isNotNull(), F.struct(far.alias("far"), F.lit(goal).alias("goal"), hit["hex"].alias("hex")))
+
+        # the smaller change wins, black of equals
+        best = F.try_element_at(F.sort_array(F.filter(F.array(first(0), first(255)), lambda y: y.isNotNull())), F.lit(1))
+        return F.when(x["f"].isNotNull() & x["b"].isNotNull() & (contrast(x["f"], x["b"]) < x["needed"]), F.try_element_at(F.transform(F.array(best), lambda y: y["hex"]), F.lit(1)))
+
+    return bound(F.struct(hex6(fg).alias("f"), hex6(bg).alias("b"), needed.cast("double").alias("needed")), search)
 
 
 def tinted(hex_color: Column, tint: Column) -> Column:

@@ -74,7 +74,7 @@ def documents_page(documents: DataFrame, owner: Column | None = None, limit: int
 
 def trailing(rows: DataFrame, keys: list[str], at: str, hours: int, cap: int) -> DataFrame:
     """Each row with how many of its key came in the ``hours`` before it, and whether that is below the cap."""
-    seconds = F.unix_micros(F.col(at))
+    seconds = F.unix_micros(F.col(at).cast("timestamp"))
     w = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-hours * 3_600_000_000, 0)
     return rows.withColumn("in_window", F.count("*").over(w) - 1).withColumn("allowed", F.col("in_window") < cap)
 
@@ -123,7 +123,7 @@ def rate_limited(events: DataFrame, key: str, at: str, most: int = 60, seconds:
             out.append(ok)
         return pdf[["k", "i"]].assign(allowed=out)
 
-    x = events.select(F.col(key).alias("k"), F.col("event_id").alias("i"), (F.unix_micros(F.col(at)) / 1e6).alias("s"))
+    x = events.select(F.col(key).alias("k"), F.col("event_id").alias("i"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("s"))
     return x.groupBy("k").applyInPandas(fold, f"k {kind}, i long, allowed boolean").withColumnsRenamed({"k": key, "i": "event_id"})
 
 

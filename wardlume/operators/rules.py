@@ -1,7 +1,7 @@
 """Detection rules: each is a function from the node table to (doc_id, node_id, rule_id, evidence) rows, one per node at most.
 
-``audit`` runs all of them, or a chosen subset, over one node table. Rules with an order use windows over a document's
-reading order, rules over tables and lists use grouped aggregates of direct children; all share the distribution by doc_id.
+``audit`` runs all of them, or a chosen subset, over one node table. Rules over single nodes are evaluated in one pass; rules with
+an order use windows over a document's reading order, rules over tables and lists grouped aggregates of direct children.
 """
 
 from __future__ import annotations
@@ -20,15 +20,22 @@ Rule = Callable[[DataFrame], DataFrame]
 RULES: dict[str, Rule] = {}
 
 
+#: Rules over single nodes: kinds of nodes, condition, evidence. ``audit`` evaluates them all in one pass.
+NODE_RULES: dict[str, tuple[tuple[str, ...], Callable[[], tuple[Column, dict[str, Column]]]]] = {}
+
+
+def _evidence(columns: dict[str, Column]) -> Column:
+    pairs = [x for k, v in columns.items() for x in (F.lit(k), v.cast("string"))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+
+
 def rule(name: str) -> Callable[[Callable[[DataFrame], tuple]], Rule]:
-    """Register a function that gives (nodes that are hit, evidence columns)."""
+    """Register a function from the node table to (nodes that are hit, evidence columns)."""
 
     def wrap(find: Callable[[DataFrame], tuple]) -> Rule:
         def run(nodes: DataFrame) -> DataFrame:
             hit, evidence = find(nodes)
-            pairs = [x for k, v in evidence.items() for x in (F.lit(k), v.cast("string"))]
-            known = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
-            return hit.select("doc_id", "node_id", F.lit(name).alias("rule_id"), known.alias("evidence"))
+            return hit.select("doc_id", "node_id", F.lit(name).alias("rule_id"), _evidence(evidence).alias("evidence"))
 
         RULES[name] = run
         return run
@@ -36,6 +43,27 @@ def rule(name: str) -> Callable[[Callable[[DataFrame], tuple]], Rule]:
     return wrap
 
 
+def node_rule(name: str, *kinds: str) -> Callable[[Callable[[], tuple]], None]:
+    """Register a function that gives (condition, evidence columns) over single nodes of the kinds named."""
+
+    def wrap(find: Callable[[], tuple]) -> None:
+        NODE_RULES[name] = (kinds, find)
+        RULES[name] = lambda nodes: single_node_findings(nodes, [name])
+
+    return wrap
+
+
+def single_node_findings(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """Findings of several node rules in one pass over the table."""
+    cases = []
+    for n in names:
+        kinds, find = NODE_RULES[n]
+        hit, evidence = find()
+        cases.append(F.when((F.col("node_type").isin(*kinds) if kinds else F.lit(True)) & hit, F.struct(F.lit(n).alias("rule_id"), _evidence(evidence).alias("evidence"))))
+    found = F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull()))
+    return nodes.select("doc_id", "node_id", found.alias("x")).select("doc_id", "node_id", "x.rule_id", "x.evidence")
+
+
 def of(nodes: DataFrame, *kinds: str) -> DataFrame:
     return nodes.filter(F.col("node_type").isin(*kinds))
 
@@ -52,19 +80,19 @@ def is_true(name: str) -> Column:
     return F.coalesce(F.lower(prop(name)) == "true", F.lit(False))
 
 
-@rule("MISSING_ALT_TEXT")
-def _(nodes):
-    return of(nodes, "image").filter(~F.coalesce("is_decorative", F.lit(False)) & text.blank(F.col("alt_text"))), {}
+@node_rule("MISSING_ALT_TEXT", "image")
+def _():
+    return ~F.coalesce("is_decorative", F.lit(False)) & text.blank(F.col("alt_text")), {}
 
 
-@rule("DECORATIVE_IMAGE_WITH_ALT")
-def _(nodes):
-    return of(nodes, "image").filter(F.col("is_decorative") & ~text.blank(F.col("alt_text"))), {"alt": F.col("alt_text")}
+@node_rule("DECORATIVE_IMAGE_WITH_ALT", "image")
+def _():
+    return F.col("is_decorative") & ~text.blank(F.col("alt_text")), {"alt": F.col("alt_text")}
 
 
-@rule("ALT_TEXT_NOT_DESCRIPTIVE")
-def _(nodes):
-    return of(nodes, "image").filter(~F.coalesce("is_decorative", F.lit(False)) & text.alt_is_nondescriptive(F.col("alt_text"))), {"alt": F.col("alt_text")}
+@node_rule("ALT_TEXT_NOT_DESCRIPTIVE", "image")
+def _():
+    return ~F.coalesce("is_decorative", F.lit(False)) & text.alt_is_nondescriptive(F.col("alt_text")), {"alt": F.col("alt_text")}
 
 
 @rule("HEADING_LEVEL_JUMP")
@@ -74,14 +102,14 @@ def _(nodes):
     return h.filter(F.col("level") > F.col("before") + 1), {"level": F.col("level"), "previous": F.col("before")}
 
 
-@rule("TEXT_STYLED_AS_HEADING")
-def _(nodes):
-    return of(nodes, "paragraph").filter(is_true("looks_like_heading")), {}
+@node_rule("TEXT_STYLED_AS_HEADING", "paragraph")
+def _():
+    return is_true("looks_like_heading"), {}
 
 
-@rule("HEADING_TEXT_EMPTY")
-def _(nodes):
-    return of(nodes, "heading").filter((F.col("content_kind") != "text") | text.blank(F.col("text"))), {"level": F.col("level")}
+@node_rule("HEADING_TEXT_EMPTY", "heading")
+def _():
+    return (F.col("content_kind") != "text") | text.blank(F.col("text")), {"level": F.col("level")}
 
 
 def table_shape(nodes: DataFrame) -> DataFrame:
@@ -135,25 +163,25 @@ def _(nodes):
     return x.filter(broken | ((F.col("node_type") != "list") & prop("fake_list_run_ids").isNotNull())), {"strays": F.col("strays")}
 
 
-@rule("LINK_TEXT_NON_DESCRIPTIVE")
-def _(nodes):
-    return of(nodes, "link").filter((F.col("content_kind") == "text") & text.link_text_is_generic(F.col("text"))), {"text": F.col("text"), "target": F.col("target")}
+@node_rule("LINK_TEXT_NON_DESCRIPTIVE", "link")
+def _():
+    return (F.col("content_kind") == "text") & text.link_text_is_generic(F.col("text")), {"text": F.col("text"), "target": F.col("target")}
 
 
-@rule("LINK_NAME_MISSING")
-def _(nodes):
-    return of(nodes, "link").filter(is_true("link_nameless")), {"target": F.col("target")}
+@node_rule("LINK_NAME_MISSING", "link")
+def _():
+    return is_true("link_nameless"), {"target": F.col("target")}
 
 
-@rule("LINK_TARGET_BROKEN")
-def _(nodes):
-    return of(nodes, "link").filter(text.target_is_broken(F.col("target"))), {"target": F.col("target")}
+@node_rule("LINK_TARGET_BROKEN", "link")
+def _():
+    return text.target_is_broken(F.col("target")), {"target": F.col("target")}
 
 
 def _of_page(name: str, counter: str) -> None:
-    @rule(name)
-    def _(nodes):
-        return of(nodes, "document").filter(count_of(counter) > 0), {"count": count_of(counter)}
+    @node_rule(name, "document")
+    def _():
+        return count_of(counter) > 0, {"count": count_of(counter)}
 
 
 for _name, _counter in (("IFRAME_TITLE_MISSING", "iframes_missing_title"), ("INPUT_AUTOCOMPLETE_MISSING", "inputs_missing_autocomplete"), ("POSITIVE_TABINDEX", "positive_tabindex_count"),
@@ -161,14 +189,14 @@ for _name, _counter in (("IFRAME_TITLE_MISSING", "iframes_missing_title"), ("INP
     _of_page(_name, _counter)
 
 
-@rule("DOCUMENT_LANGUAGE_MISSING")
-def _(nodes):
-    return of(nodes, "document").filter(text.blank(F.col("language"))), {}
+@node_rule("DOCUMENT_LANGUAGE_MISSING", "document")
+def _():
+    return text.blank(F.col("language")), {}
 
 
-@rule("DOCUMENT_TITLE_MISSING")
-def _(nodes):
-    return of(nodes, "document").filter(text.title_is_missing(prop("title"), prop("filename"))), {"title": prop("title")}
+@node_rule("DOCUMENT_TITLE_MISSING", "document")
+def _():
+    return text.title_is_missing(prop("title"), prop("filename")), {"title": prop("title")}
 
 
 @rule("DOCUMENT_NO_HEADINGS")
@@ -187,13 +215,11 @@ def _(nodes):
     return sections.union(whole.select("doc_id", "node_id")), {}
 
 
-@rule("LOW_CONTRAST_TEXT")
-def _(nodes):
-    runs = nodes.filter(prop("color").isNotNull()).withColumns({
-        "fg": color.css_hex(prop("color")), "bg": F.coalesce(color.css_hex(prop("background")), F.lit("FFFFFF")),
-        "pt": prop("size_pt").try_cast("double"), "strong": is_true("bold")})
-    low = runs.filter(color.low_contrast(F.col("fg"), F.col("bg"), F.col("pt"), F.col("strong")))
-    return low, {"fg": F.col("fg"), "bg": F.col("bg"), "ratio": F.round(color.contrast(F.col("fg"), F.col("bg")), 2)}
+@node_rule("LOW_CONTRAST_TEXT")
+def _():
+    fg, bg = color.css_hex(prop("color")), F.coalesce(color.css_hex(prop("background")), F.lit("FFFFFF"))
+    low = prop("color").isNotNull() & color.low_contrast(fg, bg, prop("size_pt").try_cast("double"), is_true("bold"))
+    return low, {"fg": fg, "bg": bg, "ratio": F.round(color.contrast(fg, bg), 2)}
 
 
 @rule("SLIDE_TITLE_MISSING")
@@ -208,26 +234,28 @@ def is_scanned() -> Column:
     return (F.col("source_format") == "pdf") & (pages > 0) & (count_of("image_only_pages") >= 0.8 * pages) & (count_of("total_text_chars") / F.when(pages > 0, pages) < 50)
 
 
-@rule("SCANNED_DOCUMENT_NO_TEXT")
-def _(nodes):
-    return of(nodes, "document").filter(is_scanned()), {"pages": count_of("page_count")}
+@node_rule("SCANNED_DOCUMENT_NO_TEXT", "document")
+def _():
+    return is_scanned(), {"pages": count_of("page_count")}
 
 
-@rule("PDF_UNTAGGED")
-def _(nodes):
-    return of(nodes, "document").filter((F.col("source_format") == "pdf") & ~is_true("pdf_tagged") & (count_of("page_count") > 0) & ~F.coalesce(is_scanned(), F.lit(False))
-                                        & (count_of("total_text_chars") >= 200)), {"pages": count_of("page_count")}
+@node_rule("PDF_UNTAGGED", "document")
+def _():
+    text_enough = (count_of("page_count") > 0) & ~F.coalesce(is_scanned(), F.lit(False)) & (count_of("total_text_chars") >= 200)
+    return (F.col("source_format") == "pdf") & ~is_true("pdf_tagged") & text_enough, {"pages": count_of("page_count")}
 
 
-@rule("ANALYSIS_TRUNCATED")
-def _(nodes):
-    return of(nodes, "document").filter(is_true("pages_truncated")), {"processed": prop("pages_processed")}
+@node_rule("ANALYSIS_TRUNCATED", "document")
+def _():
+    return is_true("pages_truncated"), {"processed": prop("pages_processed")}
 
 
 def audit(nodes: DataFrame, only: list[str] | None = None) -> DataFrame:
     """Findings of all rules, or of those named: doc_id, node_id, rule_id, severity, evidence, violation_id, path, bfs_pos, dfs_pos."""
     names = list(RULES) if only is None else only
-    hits = reduce(DataFrame.union, [RULES[n](nodes) for n in names])
+    single = [n for n in names if n in NODE_RULES]
+    parts = ([single_node_findings(nodes, single)] if single else []) + [RULES[n](nodes) for n in names if n not in NODE_RULES]
+    hits = reduce(DataFrame.union, parts)
     place = nodes.select("doc_id", "node_id", "node_type", "path", "bfs_pos", "dfs_pos")
     severity = dims.rules(nodes.sparkSession).select("rule_id", "severity")
     vid = F.concat(F.lit("vio-"), F.col("node_id"), F.lit("-"), F.lower("rule_id"))
