@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Lookup, mix, span_hashes
-from .shared import written
+from .shared import release, written
 from .text_sets import _BYTES, _SPACE, U, chunks, merged, parts_of
 
 K_MAX = 4
@@ -41,7 +41,7 @@ CODES = (1 << 16) - 1
 RARE = np.uint16(CODES)
 START, END = U(0x5354415254), U(0x454E44)
 #: Tokens of one chunk of documents and of one range of words.
-CHUNK_TOKENS, RANGE_TOKENS = 1_500_000, 4_000_000
+CHUNK_TOKENS, RANGE_TOKENS = 500_000, 3_000_000
 SUMS = np.dtype([("chunk", "<u4"), ("doc", "<u2"), ("known", "<u4"), ("l1", "<f8"), ("s", "<f8"), ("m", "<u4", K_MAX), ("b", "<u4", K_MAX + 1), ("large", "<u4")])
 FIELDS = 2 * K_MAX + 1
 
@@ -111,14 +111,14 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             word, n = np.unique(np.concatenate(held), return_counts=True)
-            word, n = word[n > 2], n[n > 2]
+            word, n = word[n > 1], n[n > 1]
             return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
         for _, texts in chunks(batches):
             token, _, _ = _tokens(texts)
             held.append(token)
             size += len(token)
-            if size > 2 * RANGE_TOKENS:
+            if size > RANGE_TOKENS:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -182,18 +182,10 @@ def _dealt(rows: DataFrame, frequent: np.ndarray, ranges: int) -> DataFrame:
                  pa.array([*data, None], pa.binary()), pa.array([None] * k + [ids], pa.list_(pa.int64())), pa.array([None] * k + [n.tolist()], pa.list_(pa.int64()))],
                 ["kind", "slot", "chunk", "n_train", "data", "doc_ids", "n_tokens"])
 
-        ids, texts, size = [], [], 0
-        for more, others in chunks(batches):
-            ids, texts = ids + more, texts + others
-            size += sum(map(len, others))
-            if size > CHUNK_TOKENS * 5 or len(ids) > 40_000:
-                for s in range(0, len(ids), 50_000):
-                    yield from deal(ids[s : s + 50_000], texts[s : s + 50_000])
-                    chunk += 1
-                ids, texts, size = [], [], 0
-        for s in range(0, len(ids), 50_000):
-            yield from deal(ids[s : s + 50_000], texts[s : s + 50_000])
-            chunk += 1
+        for ids, texts in chunks(batches, CHUNK_TOKENS * 6):
+            for s in range(0, len(ids), 50_000):
+                yield from deal(ids[s : s + 50_000], texts[s : s + 50_000])
+                chunk += 1
 
     return rows.mapInArrow(run, _DEALT)
 
@@ -231,7 +223,9 @@ def _met(dealt: DataFrame, frequent: np.ndarray, counts: np.ndarray, ranges: int
             yield _part(DENSE, TaskContext.get().partitionId() % 64, _pack(used.astype(np.uint32), *[dense[used, k] for k in range(FIELDS)]))
 
     met = dealt.repartition(ranges, "slot").mapInArrow(run, _PARTS)
-    return written(met, "katz-parts")
+    parts = written(met, "katz-parts")
+    release(spark)
+    return parts
 
 
 _PARTS_NAMES = ["kind", "slot", "chunk", "n_train", "data", "doc_ids", "n_tokens"]
@@ -256,38 +250,50 @@ def _range_parts(blobs: list, words: np.ndarray, counts: np.ndarray, dense: np.n
     cols: list[list] = [[], [], [], [], [], [], []]
     for chunk, n_train, data in blobs:
         code, rare, code_before, rare_before, doc = _unpack(data, "<u2", "<u8", "<u2", "<u8", "<u2")
+        # copies: the lookups of frequent words, then the hashes of the others
         w, v = words[np.minimum(code, len(words) - 1)], words[np.minimum(code_before, len(words) - 1)]
         w[code == RARE], v[code_before == RARE] = rare, rare_before
         for k, x in enumerate((w, v, code, code_before, doc, np.full(len(doc), chunk, np.uint32), doc < n_train)):
             cols[k].append(x)
     w, v, code, code_before, doc, chunk, train = map(np.concatenate, cols)
     del cols, blobs
-    pair, first, pair_of = np.unique(mix(w ^ mix(v)), return_index=True, return_inverse=True)
-    pair_count = np.bincount(pair_of, weights=train, minlength=len(pair)).astype(np.int64)
+    # occurrences of a pair side by side; its count is the same for all of them
+    pair = mix(w ^ mix(v))
+    order = np.argsort(pair)
+    pair = pair[order]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    del pair
+    pair_count = np.add.reduceat(train[order].astype(np.int32), first)
+    big = np.empty(len(order), np.int32)
+    big[order] = np.repeat(pair_count, np.diff(np.append(first, len(order))))
+    first = order[first]
+    del order
     c = counts[np.minimum(code, CODES - 1)]
     is_rare = code == RARE
     rare, rare_of = np.unique(w[is_rare], return_inverse=True)
+    del w
     rare_count = np.bincount(rare_of, weights=train[is_rare], minlength=len(rare)).astype(np.int64)
     c[is_rare] = rare_count[rare_of]
+    del rare, rare_of, is_rare, train
     totals[: K_MAX + 1] += np.bincount(np.minimum(pair_count, K_MAX + 2), minlength=K_MAX + 3)[1 : K_MAX + 2]
     totals[K_MAX + 1 : -1] += np.bincount(np.minimum(rare_count, K_MAX + 2), minlength=K_MAX + 3)[1 : K_MAX + 2]
     totals[-1] += (rare_count > 0).sum()
-    big = pair_count[pair_of]
     seen = big > 0
-    # sums of documents
-    where, of = np.unique((chunk.astype(np.uint64) << U(16)) | doc.astype(np.uint64), return_inverse=True)
-    sums = np.zeros(len(where), SUMS)
-    add = functools.partial(np.bincount, minlength=len(where))
-    sums["chunk"], sums["doc"] = where >> U(16), where & U(0xFFFF)
-    sums["known"] = add(of, weights=c > 0)
-    sums["l1"] = add(of, weights=np.log10(c + 1.0))
-    sums["s"] = add(of, weights=np.log10(np.maximum(np.where(seen, big, c), 1)))
+    # sums of documents: occurrences lie in the order of chunk and document
+    begin = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (doc[1:] != doc[:-1])]))
+    sums = np.zeros(len(begin), SUMS)
+    add = functools.partial(np.add.reduceat, indices=begin)
+    sums["chunk"], sums["doc"] = chunk[begin], doc[begin]
+    sums["known"] = add((c > 0).astype(np.uint32))
+    sums["l1"] = add(np.log10(c + 1.0))
+    sums["s"] = add(np.log10(np.maximum(np.where(seen, big, c), 1)))
     for r in range(K_MAX + 1):
         if r:
-            sums["m"][:, r - 1] = add(of[seen & (big == r)])
-        sums["b"][:, r] = add(of[~seen & (c == r)])
-    sums["large"] = add(of[~seen & (c > K_MAX)])
+            sums["m"][:, r - 1] = add((seen & (big == r)).astype(np.uint32))
+        sums["b"][:, r] = add((~seen & (c == r)).astype(np.uint32))
+    sums["large"] = add((~seen & (c > K_MAX)).astype(np.uint32))
     yield from _by_slot(DOC_SUMS, sums["chunk"].astype(np.int64) % ranges, sums)
+    del sums
     # statistics of contexts, one type per seen pair: by pair count, by word count, sum of larger word counts
     t = first[pair_count > 0]
     n, cw, tv, tc = np.minimum(pair_count[pair_count > 0], K_MAX + 1), c[t], v[t], code_before[t]

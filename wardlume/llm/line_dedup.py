@@ -4,7 +4,7 @@ A line's tokens are its distinct five-word shingles; lines of fewer words are le
 sketch over all lines), a line's prefix is the rarest n - ceil(0.75 n) + 1 of them, and lines whose prefixes meet and
 that pass the length and positional filters are verified exactly. A line is removed when an earlier line, by (doc_id, line
 number), has a Jaccard similarity of 0.75 or more with it, removed or not. Equal sets are one class throughout; a line
-already matched by the first line of its token lists needs no further pairs.
+already matched by the first line or by the smallest earlier set of its token lists needs no further pairs.
 
 Defined results: a null text has no lines and stays null; rows with a null doc_id are left alone; rows that share a
 doc_id are told apart by nothing, so lines equal within one such document are removed from each; an empty table gives an
@@ -16,16 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .set_join import Spec, classes_of, comparable, corpus, levels_of, reachable, set_table, shared_prefixes, similar, star_pairs, survey
-from .shared import written
+from .set_join import Spec, attainable, classes_of, comparable, corpus, earlier_pairs, levels_of, reachable, set_table, shared_prefixes, similar, survey
+from .shared import release, written
 
 
 def _open_pairs(entries: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
     """(a, b) of lines a without a match so far and earlier lines b that the filters leave."""
     x = entries.join(matched.select(F.col("a").alias("id")), "id", "left_anti")
-    y = entries.select("token", F.col("pos").alias("pos2"), F.col("id").alias("id2"))
+    y = entries.select("token", F.col("pos").alias("pos2"), F.col("id").alias("id2"), F.col("lead").alias("lead2"))
     return x.join(y, "token").filter(
         (F.col("id2") < F.col("id")) & comparable(F.col("id.n"), F.col("id2.n"), percent)
+        & attainable(F.col("id.n"), F.col("lead"), F.col("id2.n"), F.col("lead2"), percent)
         & reachable(F.col("id.n"), F.col("pos"), F.col("id2.n"), F.col("pos2"), percent)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
@@ -35,14 +36,20 @@ def later_matches(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     rows = corpus(docs, doc_id, text)
     surveyed = survey(rows, spec)
     classes = written(classes_of(surveyed), "classes")
+    release(docs.sparkSession)
     entries = shared_prefixes(rows, spec, levels_of(surveyed), classes)
-    sets = set_table(rows, spec, entries)
-    near = written(similar(star_pairs(entries, percent), sets, percent), "matches")
-    far = similar(_open_pairs(entries, near, percent), sets, percent)
+    stars = earlier_pairs(entries, percent)
+    near = written(similar(stars, set_table(rows, spec, stars), percent), "matches")
+    release(docs.sparkSession)
+    still = written(_open_pairs(entries, near, percent), "open-pairs")
+    release(docs.sparkSession)
+    far = similar(still, set_table(rows, spec, still), percent)
     matched = near.select("a").union(far.select("a")).distinct().select("a.doc", "a.line")
     copies = surveyed.filter("kind = 1 and doc is not null").join(
         classes.filter("copies > 1").select("key", "key2", "n", "id"), ["key", "key2", "n"]).filter("doc <> id.doc or line <> id.line").select("doc", "line")
-    return written(matched.union(copies).distinct(), "later-lines")
+    lines = written(matched.union(copies).distinct(), "later-lines")
+    release(docs.sparkSession)
+    return lines
 
 
 def line_dedup(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,11 +1,11 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
 Sets are the distinct five-word shingles of whole texts. Tokens are ordered by rarity (a sketch over all documents),
-then by hash. A document's prefix is as long as its need for m shared tokens makes it; m grows with the partners that
-the sketch expects for the prefix, and a pair must share the lesser m of its two documents in their prefixes before it
-is verified. Equal sets are one class throughout. Groups of near copies shrink first: each class is verified
-against the class it shares most with among the first of its token lists; then only pairs of different
-components are still enumerated, from the entries outside each token list's main component.
+then by hash. A document's prefix is lengthened by its expected candidates, and the longer it is the more shared tokens m a
+partner must have in it: once prefixes have met, a document goes on with all but the m - 1 commonest of its shared tokens,
+so one with fewer than m is out. Equal sets are one class throughout. Groups of near copies shrink first: each class is
+verified against the class it meets most among the smallest sets of its token lists; then only pairs of different
+components are still enumerated, with the entries outside each token list's main component.
 
 Defined results: a null text counts as empty; a text without words has no shingles and is linked with nothing; rows with
 a null doc_id are returned with a null component and link nothing; rows that share a doc_id are one node; an empty
@@ -18,39 +18,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .set_join import Spec, classes_of, comparable, corpus, levels_of, reachable, set_table, shared_prefixes, similar, star_pairs, survey
-from .shared import written
-
-#: Shared prefix tokens that a document may ask for at most.
-MOST_MATCHES = 24
+from .set_join import Spec, attainable, classes_of, comparable, corpus, levels_of, set_table, shared_prefixes, similar, star_pairs, survey
+from .shared import release, written
 
 
 def _cross_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components with enough shared prefix tokens."""
+    """Written (a, b) of different components that share a prefix token which one of them keeps."""
     x = entries.join(roots.select(F.col("node").alias("_n"), "root"), F.col("id.doc") == F.col("_n"), "left").select(
-        "token", "pos", "matches", "id", F.coalesce("root", "id.doc").alias("root"))
-    lists = x.groupBy("token").agg(F.min(F.struct("id", "root")).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    x = x.join(lists.filter("lo <> hi").select("token", F.col("first.root").alias("main")), "token").withColumn("apart", F.col("root") != F.col("main"))
-    x = written(x.drop("main"), "apart")
-    y = x.select("token", *[F.col(c).alias(f"{c}2") for c in ("pos", "matches", "id", "root", "apart")])
-    met = x.filter("apart").join(y, "token").filter(
-        (F.col("root") != F.col("root2")) & (~F.col("apart2") | (F.col("id") < F.col("id2")))
-        & comparable(F.col("id.n"), F.col("id2.n"), percent) & reachable(F.col("id.n"), F.col("pos"), F.col("id2.n"), F.col("pos2"), percent))
-    return met.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(
-        F.count("*").alias("hits"), F.min(F.least("matches", "matches2")).alias("asked")).filter("hits >= asked").select("a", "b")
+        "token", "lead", "id", "kept", F.coalesce("root", "id.doc").alias("root"))
+    lists = x.groupBy("token").agg(F.min(F.struct("id.n", "id", "root")).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("kept").alias("any"))
+    x = x.join(lists.filter("lo <> hi and any").select("token", F.col("first.root").alias("main")), "token")
+    x = written(x.withColumn("apart", F.col("root") != F.col("main")).drop("main"), "apart")
+    y = x.select("token", *[F.col(c).alias(f"{c}2") for c in ("lead", "id", "root", "apart")])
+    met = [x.filter("kept and apart").join(y, "token"), x.filter("kept and not apart").join(y.filter("apart2"), "token")]
+    pairs = [m.filter(
+        (F.col("root") != F.col("root2")) & comparable(F.col("id.n"), F.col("id2.n"), percent)
+        & attainable(F.col("id.n"), F.col("lead"), F.col("id2.n"), F.col("lead2"), percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")) for m in met]
+    return written(pairs[0].union(pairs[1]).distinct(), "cross-pairs")
 
 
 def ngram_join(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class_id (first document of the same set), copies."""
-    spec = Spec(lines=False, percent=percent, most_matches=MOST_MATCHES)
+    spec = Spec(lines=False, percent=percent, adaptive=True)
     rows = corpus(docs, doc_id, text)
     surveyed = survey(rows, spec)
     classes = written(classes_of(surveyed), "classes")
+    release(docs.sparkSession)
     entries = shared_prefixes(rows, spec, levels_of(surveyed), classes)
-    sets = set_table(rows, spec, entries)
-    near = written(similar(star_pairs(entries, percent), sets, percent).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")), "links")
+    stars = star_pairs(entries, percent)
+    near = written(similar(stars, set_table(rows, spec, stars), percent).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")), "links")
     roots = components(near)
-    far = written(similar(_cross_pairs(entries, roots, percent), sets, percent).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")), "links")
+    release(docs.sparkSession)
+    cross = _cross_pairs(entries, roots, percent)
+    release(docs.sparkSession)
+    far = written(similar(cross, set_table(rows, spec, cross), percent).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")), "links")
     # the classes' first documents, and documents that repeat an id, meet through the classes
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(far))
     named = classes.select("key", "key2", "n", F.col("id.doc").alias("class_id"), "copies").join(

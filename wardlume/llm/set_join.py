@@ -1,9 +1,11 @@
 """The stages that both exact set-similarity joins of this subpackage share.
 
 1. ``survey``: every element's set digest, and a fixed-size sketch of how common tokens are, over all rows.
-2. ``shared_prefixes``: each element's rarest tokens (its prefix) meet by token; tokens of one element alone go.
+2. ``shared_prefixes``: each element's rarest tokens (its prefix) meet by token; tokens of one element alone go. An
+   element that asks for m matches keeps all but the m - 1 commonest of its shared tokens: a partner that asks for as
+   many or more shares m tokens of the prefix with it, so one of the kept ones.
 3. ``star_pairs``: each element is paired with the smallest element of its token lists that it shares most with.
-4. ``set_table`` and ``similar``: sets of the elements that are left, and exact verification of pairs.
+4. ``set_table`` and ``similar``: sets of the elements in the pairs that are left, and their exact verification.
 
 Prefixes leave the tasks as packed arrays, one row per token range, so shuffles hold about 19 bytes an entry. Tokens
 that the sketch knows to be very common bypass the ranges and are spread over all tasks.
@@ -17,25 +19,25 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import partitions, release, written
 from .text_sets import (
     SKETCH, TOKEN_MASK, Bloom, Elements, U, bloom_of, chunks, elements, level_weights, members, merged, parts_of, rarity_levels,
 )
 
 #: Entries held by a task before they are dealt out; a level from which tokens count as very common.
-FLUSH, HOT_LEVEL = 1_500_000, 40
+FLUSH, HOT_LEVEL = 400_000, 40
 _POS_CAP = 65_535
 
 
 class Spec(NamedTuple):
-    """What is joined: lines or whole texts; Jaccard similarity in percent; shared tokens asked for at most."""
+    """What is joined: lines or whole texts; Jaccard similarity in percent; whether elements ask for several matches."""
 
     lines: bool
     percent: int = 75
-    most_matches: int = 1
+    adaptive: bool = False
 
 
 def needed(n, percent: int):
@@ -87,7 +89,8 @@ def prefixes(e: Elements, spec: Spec, weights: np.ndarray) -> tuple[np.ndarray,
     """Indexes of the tokens in every element's prefix, their places, and how many matches the element asks for.
 
     A set of n shares needed(n) tokens with any partner, so prefixes of n - needed(n) + m tokens share m at least.
-    m is 1 where the tokens' estimated partners are few, and one more for each doubling of them.
+    If adaptive, m - 1 is 4 % of n, and 1 % more for each doubling of the partners that the sketch expects for the
+    prefix, 12 % at most; else m is 1.
     """
     if not len(e.starts):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -95,16 +98,17 @@ def prefixes(e: Elements, spec: Spec, weights: np.ndarray) -> tuple[np.ndarray,
     need = needed(e.sizes, spec.percent)
     base = e.sizes - need + 1
     matches = np.ones(len(e.starts), np.int64)
-    if spec.most_matches > 1:
+    if spec.adaptive:
         cost = np.where(place < base[e.owner], weights[(e.tokens >> U(58)).astype(np.int64)], 0.0)
         partners = np.add.reduceat(cost, e.starts)
-        matches = np.minimum(1 + np.log2(1 + partners).astype(np.int64), np.minimum(spec.most_matches, need))
+        share = np.minimum(4 + np.log2(1 + partners).astype(np.int64), 12)
+        matches = 1 + np.minimum(np.minimum(e.sizes * share // 100, need - 1), 254)
     inside = np.flatnonzero(place < (base + matches - 1)[e.owner])
     return inside, place[inside], matches
 
 
 def shared_prefixes(rows: DataFrame, spec: Spec, levels: np.ndarray, classes: DataFrame) -> DataFrame:
-    """Written rows token, pos, matches, id: prefix tokens that two different sets have at least."""
+    """Written rows token, pos, id, kept, lead (the element's first place): prefix tokens that two different sets have at least."""
     spark = rows.sparkSession
     ranges = partitions(spark)
     common = spark.sparkContext.broadcast(levels)
@@ -145,12 +149,12 @@ def shared_prefixes(rows: DataFrame, spec: Spec, levels: np.ndarray, classes: Da
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(token, key, pos, matches) -> Iterator[pa.RecordBatch]:
+        def rows_of(token, key, pos, matches, common_to) -> Iterator[pa.RecordBatch]:
             for s in range(0, len(token), 50_000):
                 part = slice(s, s + 50_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[part].view(np.int64)), pa.array(key[part].view(np.int64)), pa.array(pos[part].astype(np.int32)), pa.array(matches[part].astype(np.int32))],
-                    ["token", "key", "pos", "matches"])
+                    [pa.array(x[part].astype(k)) for x, k in ((token.view(np.int64), np.int64), (key.view(np.int64), np.int64), (pos, np.int32), (matches, np.int32), (common_to, np.int32))],
+                    ["token", "key", "pos", "matches", "common_to"])
 
         held = []
         for b in batches:
@@ -158,7 +162,7 @@ def shared_prefixes(rows: DataFrame, spec: Spec, levels: np.ndarray, classes: Da
                 n = len(data) // 19
                 entry = (np.frombuffer(data, U, n), np.frombuffer(data, U, n, 8 * n), np.frombuffer(data, np.uint16, n, 16 * n), np.frombuffer(data, np.uint8, n, 18 * n))
                 if slot >= ranges:
-                    yield from rows_of(*entry)
+                    yield from rows_of(*entry, np.full(n, 1 << 30))
                 else:
                     held.append(entry)
         if held:
@@ -170,11 +174,22 @@ def shared_prefixes(rows: DataFrame, spec: Spec, levels: np.ndarray, classes: Da
             token, key, pos, matches = token[new], key[new], pos[new], matches[new]
             like = np.concatenate([[False], token[1:] == token[:-1], [False]])
             keep = like[1:] | like[:-1]
-            yield from rows_of(token[keep], key[keep], pos[keep], matches[keep])
+            token, key, pos, matches = token[keep], key[keep], pos[keep], matches[keep]
+            _, of, sizes = np.unique(token, return_inverse=True, return_counts=True)
+            yield from rows_of(token, key, pos, matches, sizes[of] if len(token) else sizes)
 
     met = rows.filter("doc is not null").mapInArrow(deal, "slot int, data binary").repartition(ranges, "slot").mapInArrow(
-        meet, "token long, key long, pos int, matches int")
-    return written(met.dropDuplicates(["token", "key"]).join(classes.select("key", "id"), "key").select("token", "pos", "matches", "id"), "prefixes")
+        meet, "token long, key long, pos int, matches int, common_to int")
+    by = Window.partitionBy("key")
+    kept = F.lit(True)
+    if spec.adaptive:
+        # entries that arrive twice (very common tokens, from several tasks) can only make an element keep more
+        kept = F.row_number().over(by.orderBy(F.desc("common_to"), "token")) >= F.col("matches")
+    met = met.withColumn("kept", kept).withColumn("lead", F.min("pos").over(by))
+    entries = met.join(classes.select("key", "id"), "key").select("token", "pos", "id", "kept", "lead")
+    found = written(entries, "prefixes")
+    release(spark)
+    return found
 
 
 def comparable(x: Column, y: Column, percent: int) -> Column:
@@ -188,20 +203,57 @@ def reachable(nx: Column, i: Column, ny: Column, j: Column, percent: int) -> Col
     return (i >= _POS_CAP) | (j >= _POS_CAP) | (bound * (100 + percent) >= (nx + ny) * percent)
 
 
+def attainable(nx: Column, x_lead: Column, ny: Column, y_lead: Column, percent: int) -> Column:
+    """The positional filter by elements: no common token lies before either one's first shared token."""
+    return F.least(nx - x_lead, ny - y_lead) * (100 + percent) >= (nx + ny) * percent
+
+
+def _best_of_lists(met: DataFrame, percent: int) -> DataFrame:
+    """For each a the b that it meets in most lists, of (a, a_lead, b, b_lead) rows that pass the filters."""
+    ok = met.filter((F.col("a") != F.col("b")) & comparable(F.col("a.n"), F.col("b.n"), percent) & attainable(F.col("a.n"), F.col("a_lead"), F.col("b.n"), F.col("b_lead"), percent))
+    return ok.groupBy("a", "b").agg(F.count("*").alias("hits")).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
+
+
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each element a the first element b of its token lists that it shares most prefix tokens with.
+    """Written (a, b): for each element a the smallest set b of its kept tokens' lists that it meets in most of them.
 
     Linear in the entries: a list of any length yields one pair an entry, and its minimum is a map-side aggregate.
     """
-    first = entries.groupBy("token").agg(F.min("id").alias("b"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    met = entries.select("token", F.col("id").alias("a")).join(first, "token").filter((F.col("a") != F.col("b")) & comparable(F.col("a.n"), F.col("b.n"), percent))
-    return met.groupBy("a", "b").agg(F.count("*").alias("hits")).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
+    first = entries.groupBy("token").agg(F.min(F.struct("id.n", "id", "lead")).alias("f"), F.count("*").alias("size")).filter("size > 1").select(
+        "token", F.col("f.id").alias("b"), F.col("f.lead").alias("b_lead"))
+    met = entries.filter("kept").select("token", F.col("id").alias("a"), F.col("lead").alias("a_lead")).join(first, "token")
+    return written(_best_of_lists(met, percent), "star-pairs")
 
 
-def set_table(rows: DataFrame, spec: Spec, entries: DataFrame) -> DataFrame:
-    """Written rows doc, line, tokens of (at least) every element that entries name."""
+#: Ranges of doc ids that a token's list is worked through by.
+BLOCKS_OF_IDS = 64
+
+
+def earlier_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Written (a, b): for each element a the first element, and the smallest set, before it in most of its tokens' lists.
+
+    Running minima go by blocks of doc ids within a list, then over the blocks, so no list is in one task.
+    """
+    cuts = entries.agg(F.percentile_approx("id.doc", [i / BLOCKS_OF_IDS for i in range(1, BLOCKS_OF_IDS)], 1000)).first()[0] or []
+    block = F.lit(0)
+    for c in sorted(set(cuts)):
+        block = block + (F.col("id.doc") > F.lit(c)).cast("int")
+    x = entries.select("token", "id", "lead", block.alias("block"))
+    one = F.struct("id.n", "id", "lead")
+    inside = F.min(one).over(Window.partitionBy("token", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = x.groupBy("token", "block").agg(F.min(one).alias("least"), F.min(F.struct("id", "lead")).alias("head"))
+    lists = Window.partitionBy("token").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("token", "block", F.min("least").over(lists).alias("before"), F.min("head").over(Window.partitionBy("token")).alias("head"))
+    met = x.withColumn("inside", inside).join(blocks, ["token", "block"]).select(F.col("id").alias("a"), F.col("lead").alias("a_lead"), "head", F.least("inside", "before").alias("small"))
+    met = written(met.filter("small is not null"), "earlier")
+    best = [_best_of_lists(met.select("a", "a_lead", F.col(f"{c}.id").alias("b"), F.col(f"{c}.lead").alias("b_lead")), percent) for c in ("head", "small")]
+    return written(best[0].union(best[1]).distinct(), "star-pairs")
+
+
+def set_table(rows: DataFrame, spec: Spec, pairs: DataFrame) -> DataFrame:
+    """Written rows doc, line, tokens of (at least) every element in the pairs (a, b)."""
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(bloom_of(entries.select("id.doc", "id.line").distinct(), spec.lines))
+    bits = spark.sparkContext.broadcast(bloom_of(pairs.select("a.doc", "a.line").union(pairs.select("b.doc", "b.line")).distinct(), spec.lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Bloom(bits.value)

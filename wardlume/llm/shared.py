@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,3 +50,12 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of stages whose results have been written and that nothing refers to any more.
+
+    Spark does so when its driver collects garbage, which a driver with little to do puts off until disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -99,18 +99,21 @@ def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None) ->
     return Elements(row, line, starts, sizes, token, owner)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of about CHUNK characters from batches of (doc_id, text)."""
+def chunks(batches: Iterator[pa.RecordBatch], chars: int = CHUNK) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of about ``chars`` characters from batches of (doc_id, text), a few rows of a batch at a time."""
+    ids, texts, size = [], [], 0
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= CHUNK:
-                yield ids[start : i + 1], [x or "" for x in texts[start : i + 1]]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield ids[start:], [x or "" for x in texts[start:]]
+        for s in range(0, batch.num_rows, 64):
+            part = batch.slice(s, 64)
+            new = [x or "" for x in part.column(1).to_pylist()]
+            ids += part.column(0).to_pylist()
+            texts += new
+            size += sum(map(len, new))
+            if size >= chars:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def parts_of(counts: np.ndarray, task: int) -> pa.RecordBatch:
