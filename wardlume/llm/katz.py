@@ -41,7 +41,7 @@ CODES = (1 << 16) - 1
 RARE = np.uint16(CODES)
 START, END = U(0x5354415254), U(0x454E44)
 #: Tokens of one chunk of documents and of one range of words.
-CHUNK_TOKENS, RANGE_TOKENS = 500_000, 3_000_000
+CHUNK_TOKENS, RANGE_TOKENS = 500_000, 2_500_000
 SUMS = np.dtype([("chunk", "<u4"), ("doc", "<u2"), ("known", "<u4"), ("l1", "<f8"), ("s", "<f8"), ("m", "<u4", K_MAX), ("b", "<u4", K_MAX + 1), ("large", "<u4")])
 FIELDS = 2 * K_MAX + 1
 
@@ -247,18 +247,20 @@ def _by_slot(kind: int, slot: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple
 
 def _range_parts(blobs: list, words: np.ndarray, counts: np.ndarray, dense: np.ndarray, totals: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
     """One range of words: every occurrence of its pairs, and of its words unless they are frequent."""
-    cols: list[list] = [[], [], [], [], [], [], []]
+    cols: list[list] = [[], [], [], [], [], [], [], []]
     for chunk, n_train, data in blobs:
         code, rare, code_before, rare_before, doc = _unpack(data, "<u2", "<u8", "<u2", "<u8", "<u2")
-        # copies: the lookups of frequent words, then the hashes of the others
         w, v = words[np.minimum(code, len(words) - 1)], words[np.minimum(code_before, len(words) - 1)]
         w[code == RARE], v[code_before == RARE] = rare, rare_before
-        for k, x in enumerate((w, v, code, code_before, doc, np.full(len(doc), chunk, np.uint32), doc < n_train)):
+        for k, x in enumerate((mix(w ^ mix(v)), code, code_before, doc, np.full(len(doc), chunk, np.uint32), doc < n_train, rare, rare_before)):
             cols[k].append(x)
-    w, v, code, code_before, doc, chunk, train = map(np.concatenate, cols)
-    del cols, blobs
+    del w, v, blobs
+
+    def whole() -> np.ndarray:
+        return np.concatenate(cols.pop(0))
+
+    pair, code, code_before, doc, chunk, train, rare_w, rare_v = (whole() for _ in range(8))
     # occurrences of a pair side by side; its count is the same for all of them
-    pair = mix(w ^ mix(v))
     order = np.argsort(pair)
     pair = pair[order]
     first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
@@ -270,8 +272,8 @@ def _range_parts(blobs: list, words: np.ndarray, counts: np.ndarray, dense: np.n
     del order
     c = counts[np.minimum(code, CODES - 1)]
     is_rare = code == RARE
-    rare, rare_of = np.unique(w[is_rare], return_inverse=True)
-    del w
+    rare, rare_of = np.unique(rare_w, return_inverse=True)
+    del rare_w
     rare_count = np.bincount(rare_of, weights=train[is_rare], minlength=len(rare)).astype(np.int64)
     c[is_rare] = rare_count[rare_of]
     del rare, rare_of, is_rare, train
@@ -295,20 +297,23 @@ def _range_parts(blobs: list, words: np.ndarray, counts: np.ndarray, dense: np.n
     yield from _by_slot(DOC_SUMS, sums["chunk"].astype(np.int64) % ranges, sums)
     del sums
     # statistics of contexts, one type per seen pair: by pair count, by word count, sum of larger word counts
-    t = first[pair_count > 0]
-    n, cw, tv, tc = np.minimum(pair_count[pair_count > 0], K_MAX + 1), c[t], v[t], code_before[t]
+    known = first[pair_count > 0]
+    n, cw, tc = np.minimum(pair_count[pair_count > 0], K_MAX + 1), c[known], code_before[known]
     common = tc != RARE
     for r in range(1, K_MAX + 1):
         dense[:, r - 1] += np.bincount(tc[common & (n == r)], minlength=CODES)[:CODES]
         dense[:, K_MAX + r - 1] += np.bincount(tc[common & (cw == r)], minlength=CODES)[:CODES]
     large = common & (cw > K_MAX)
     dense[:, -1] += np.bincount(tc[large], weights=cw[large], minlength=CODES)[:CODES].astype(np.int64)
-    yield from _by_slot(TYPES, (mix(tv[~common]) % U(ranges)).astype(np.int64), tv[~common], n[~common].astype(np.uint8), cw[~common].astype(np.uint64))
+    at_rare = np.cumsum(code_before == RARE, dtype=np.int32) - 1
+    tv = rare_v[at_rare[known[~common]]]
+    yield from _by_slot(TYPES, (mix(tv) % U(ranges)).astype(np.int64), tv, n[~common].astype(np.uint8), cw[~common].astype(np.uint64))
     # occurrences that back off wait for their contexts
     p = np.flatnonzero(~seen)
     f, q = p[code_before[p] != RARE], p[code_before[p] == RARE]
     yield from _by_slot(PENDING, chunk[f].astype(np.int64) % ranges, chunk[f], doc[f], code_before[f])
-    yield from _by_slot(RARE_PENDING, (mix(v[q]) % U(ranges)).astype(np.int64), v[q], chunk[q], doc[q])
+    qv = rare_v[at_rare[q]]
+    yield from _by_slot(RARE_PENDING, (mix(qv) % U(ranges)).astype(np.int64), qv, chunk[q], doc[q])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ A line's tokens are its distinct five-word shingles; lines of fewer words are le
 sketch over all lines), a line's prefix is the rarest n - ceil(0.75 n) + 1 of them, and lines whose prefixes meet and
 that pass the length and positional filters are verified exactly. A line is removed when an earlier line, by (doc_id, line
 number), has a Jaccard similarity of 0.75 or more with it, removed or not. Equal sets are one class throughout; a line
-already matched by the first line or by the smallest earlier set of its token lists needs no further pairs.
+already matched by one of the first lines or smallest earlier sets of its token lists needs no further pairs.
 
 Defined results: a null text has no lines and stays null; rows with a null doc_id are left alone; rows that share a
 doc_id are told apart by nothing, so lines equal within one such document are removed from each; an empty table gives an
@@ -24,10 +24,14 @@ def _open_pairs(entries: DataFrame, matched: DataFrame, percent: int) -> DataFra
     """(a, b) of lines a without a match so far and earlier lines b that the filters leave."""
     x = entries.join(matched.select(F.col("a").alias("id")), "id", "left_anti")
     y = entries.select("token", F.col("pos").alias("pos2"), F.col("id").alias("id2"), F.col("lead").alias("lead2"))
-    return x.join(y, "token").filter(
+    met = x.join(y, "token").filter(
         (F.col("id2") < F.col("id")) & comparable(F.col("id.n"), F.col("id2.n"), percent)
         & attainable(F.col("id.n"), F.col("lead"), F.col("id2.n"), F.col("lead2"), percent)
-        & reachable(F.col("id.n"), F.col("pos"), F.col("id2.n"), F.col("pos2"), percent)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+        & reachable(F.col("id.n"), F.col("pos"), F.col("lead"), F.col("id2.n"), F.col("pos2"), F.col("lead2"), percent))
+    # beyond the shared prefix tokens, only what follows the prefix that ends first can still be common
+    rest = F.floor((F.greatest("a.n", "b.n") * percent + 99) / 100) - 1
+    return met.groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.count("*").alias("hits")).filter(
+        (F.col("hits") + rest) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent).select("a", "b")
 
 
 def later_matches(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,7 +43,7 @@ def later_matches(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     release(docs.sparkSession)
     entries = shared_prefixes(rows, spec, levels_of(surveyed), classes)
     stars = earlier_pairs(entries, percent)
-    near = written(similar(stars, set_table(rows, spec, stars), percent), "matches")
+    near = written(similar(stars, set_table(rows, spec, stars), percent).select("a").distinct(), "matches")
     release(docs.sparkSession)
     still = written(_open_pairs(entries, near, percent), "open-pairs")
     release(docs.sparkSession)

@@ -197,9 +197,9 @@ def comparable(x: Column, y: Column, percent: int) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
 
 
-def reachable(nx: Column, i: Column, ny: Column, j: Column, percent: int) -> Column:
-    """The positional filter: with a shared token at places i and j the overlap can still be large enough."""
-    bound = F.least(i, j) + F.least(nx - i, ny - j)
+def reachable(nx: Column, i: Column, x_lead: Column, ny: Column, j: Column, y_lead: Column, percent: int) -> Column:
+    """The positional filter: with a shared token at places i and j, and none before the leads, the overlap can still be large enough."""
+    bound = F.least(i - x_lead, j - y_lead) + F.least(nx - i, ny - j)
     return (i >= _POS_CAP) | (j >= _POS_CAP) | (bound * (100 + percent) >= (nx + ny) * percent)
 
 
@@ -208,14 +208,20 @@ def attainable(nx: Column, x_lead: Column, ny: Column, y_lead: Column, percent:
     return F.least(nx - x_lead, ny - y_lead) * (100 + percent) >= (nx + ny) * percent
 
 
+#: Partners that an element is verified against before pairs are enumerated.
+STARS = 4
+
+
 def _best_of_lists(met: DataFrame, percent: int) -> DataFrame:
-    """For each a the b that it meets in most lists, of (a, a_lead, b, b_lead) rows that pass the filters."""
+    """For each a the STARS bs that it meets in most lists, of (a, a_lead, b, b_lead) rows that pass the filters."""
     ok = met.filter((F.col("a") != F.col("b")) & comparable(F.col("a.n"), F.col("b.n"), percent) & attainable(F.col("a.n"), F.col("a_lead"), F.col("b.n"), F.col("b_lead"), percent))
-    return ok.groupBy("a", "b").agg(F.count("*").alias("hits")).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
+    hits = ok.groupBy("a", "b").agg(F.count("*").alias("hits"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("hits"), "b"))
+    return hits.withColumn("_n", rank).filter(F.col("_n") <= STARS).select("a", "b")
 
 
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Written (a, b): for each element a the smallest set b of its kept tokens' lists that it meets in most of them.
+    """Written (a, b): for each element a the smallest sets b of its kept tokens' lists that it meets in most of them.
 
     Linear in the entries: a list of any length yields one pair an entry, and its minimum is a map-side aggregate.
     """
@@ -229,25 +235,30 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
 BLOCKS_OF_IDS = 64
 
 
+def _block(cuts: list, column: Column, low: int = 0) -> Column:
+    """How many of the ascending cuts lie below the column, by halving."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    return F.when(column <= F.lit(cuts[mid]), _block(cuts[:mid], column, low)).otherwise(_block(cuts[mid + 1 :], column, low + mid + 1))
+
+
 def earlier_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Written (a, b): for each element a the first element, and the smallest set, before it in most of its tokens' lists.
+    """Written (a, b): for each element a the first elements and smallest sets b before it that it meets in most of its tokens' lists.
 
     Running minima go by blocks of doc ids within a list, then over the blocks, so no list is in one task.
     """
     cuts = entries.agg(F.percentile_approx("id.doc", [i / BLOCKS_OF_IDS for i in range(1, BLOCKS_OF_IDS)], 1000)).first()[0] or []
-    block = F.lit(0)
-    for c in sorted(set(cuts)):
-        block = block + (F.col("id.doc") > F.lit(c)).cast("int")
-    x = entries.select("token", "id", "lead", block.alias("block"))
+    x = entries.select("token", "id", "lead", _block(sorted(set(cuts)), F.col("id.doc")).alias("block"))
     one = F.struct("id.n", "id", "lead")
     inside = F.min(one).over(Window.partitionBy("token", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
     blocks = x.groupBy("token", "block").agg(F.min(one).alias("least"), F.min(F.struct("id", "lead")).alias("head"))
     lists = Window.partitionBy("token").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("token", "block", F.min("least").over(lists).alias("before"), F.min("head").over(Window.partitionBy("token")).alias("head"))
     met = x.withColumn("inside", inside).join(blocks, ["token", "block"]).select(F.col("id").alias("a"), F.col("lead").alias("a_lead"), "head", F.least("inside", "before").alias("small"))
-    met = written(met.filter("small is not null"), "earlier")
-    best = [_best_of_lists(met.select("a", "a_lead", F.col(f"{c}.id").alias("b"), F.col(f"{c}.lead").alias("b_lead")), percent) for c in ("head", "small")]
-    return written(best[0].union(best[1]).distinct(), "star-pairs")
+    two = F.array(F.struct(F.col("head.id").alias("b"), F.col("head.lead").alias("b_lead")), F.struct(F.col("small.id").alias("b"), F.col("small.lead").alias("b_lead")))
+    met = met.filter("small is not null").select("a", "a_lead", F.explode(F.array_distinct(two)).alias("x")).select("a", "a_lead", "x.b", "x.b_lead")
+    return written(_best_of_lists(met, percent), "star-pairs")
 
 
 def set_table(rows: DataFrame, spec: Spec, pairs: DataFrame) -> DataFrame:
