@@ -14,6 +14,8 @@ WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 #: The same as a regular expression's character class, for Java, RE2 and Python alike.
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
+#: The most bytes that one Arrow batch between Spark and Python holds (a longer row is a batch of its own).
+BATCH_BYTES, _BATCH_KEY = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
