@@ -106,6 +106,19 @@ def test_quality_filter_keeps_the_columns(spark, odd):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality_rules.judged(df).filter("kept").select("doc_id").collect()}
 
 
+def test_quality_rules_keep_very_long_clean_texts(spark):
+    n = 1_000_001
+    long = " ".join("the" if i % 10 == 0 else f"word{i}" for i in range(n))
+    few, most = " ".join(f"w{i}" for i in range(49)), "one two three four " * 30
+    df = spark.createDataFrame([(1, long), (2, few), (3, most), (4, few + " w49")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.judged(df).collect()}
+    assert got[1]["n_words"] == n and got[1]["n_repeat_words"] == 0 and got[1]["kept"]
+    # the base rule in full, not taken from the table
+    assert {i: r["base_failed"] for i, r in got.items()} == {i: r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"] for i, r in got.items()}
+    assert [got[i]["base_failed"] for i in (1, 2, 3, 4)] == [False, True, True, False]
+    assert 1 in {r["doc_id"] for r in quality_rules.kept_documents(df).collect()}
+
+
 def test_ngram_join_is_exact(spark, docs):
     sets = {i: shingles(t) for i, t in docs.items()}
     parent = {i: i for i in sets}

@@ -39,7 +39,7 @@ class Rule(NamedTuple):
 
 #: The production thresholds. A rule whose denominator is 0 holds.
 RULES = (
-    Rule("length", "n_words", "one", 50_000, 1_000_000_000),
+    Rule("length", "n_words", "one", 50_000, None),
     Rule("repeated_words", "n_repeat_words", "n_words", None, 500),
     Rule("word_length", "word_chars", "n_words", 2_000, 14_000),
     Rule("symbols", "n_symbols", "n_words", None, 300),
