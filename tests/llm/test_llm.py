@@ -182,6 +182,20 @@ def test_line_dedup_is_exact(spark, docs, near):
         assert r["text"] == "\n".join(x for k, x in enumerate(docs[r["doc_id"]].split("\n")) if k not in gone[r["doc_id"]])
 
 
+def test_line_dedup_removes_repeats_of_short_lines(spark, docs):
+    docs = dict(docs) | {1000 + i: f"Share this article\nnumber {i}\n\nA\nall Rights  reserved\n \t\nshare this\nSHARE THIS ARTICLE\none two three four five" for i in range(40)}
+    lines = [(i, k, shingles(x)) for i in sorted(docs) for k, x in enumerate((docs[i] or "").split("\n"))]
+    lines = [x for x in lines if x[2]]
+    gone, seen = defaultdict(list), []
+    for i, k, s in lines:
+        if any(100 * len(s & t) >= 75 * len(s | t) for t in seen):
+            gone[i].append(k)
+        seen.append(s)
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert {i: r["removed_lines"] for i, r in got.items()} == {i: gone[i] for i in docs}
+    assert got[1000]["removed_lines"] == [7] and got[1001]["text"] == "number 1\n\n \t"
+
+
 def test_html_blocks():
     page = """<body><header><a href=x>Home</a></header><div id="cookie-notice"><p>We use cookies and there are many words in here</p></div><main><article><header><h1>Title</h1></header>
     <p>First para <a href=x>link</a>&amp; more.<script>var t="</p>";</script></p><aside>side bar</aside><p>Second&nbsp;para <b>&lt;x&gt;</article><section class="comments"><p>I think this

@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join: rarity-ordered tokens, prefix, length and positional filters.
 
-A line's tokens are its distinct five-word shingles; lines of fewer words are left alone. Tokens are ordered by rarity (a
+A line's tokens are its distinct five-word shingles; a line of one to four words is one token, its whole word sequence, so
+it matches its copies. Lines without a word are left alone. Tokens are ordered by rarity (a
 sketch over all lines), a line's prefix is the rarest n - ceil(0.75 n) + 1 of them, and lines whose prefixes meet and
 that pass the length and positional filters are verified exactly. A line is removed when an earlier line, by (doc_id, line
 number), has a Jaccard similarity of 0.75 or more with it, removed or not. Equal sets are one class throughout; a line

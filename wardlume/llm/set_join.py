@@ -45,6 +45,11 @@ def needed(n, percent: int):
     return (n * percent + 99) // 100
 
 
+def joinable(e: Elements, spec: Spec) -> np.ndarray:
+    """Elements that sets other than their own can match. Above 50 percent a line of one token has only its copies, which are its class."""
+    return np.full(len(e.sizes), True) if not spec.lines or spec.percent <= 50 else e.sizes > 1
+
+
 def corpus(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
 
@@ -63,7 +68,8 @@ def survey(rows: DataFrame, spec: Spec) -> DataFrame:
 
         for ids, texts in chunks(batches):
             e = elements(texts, spec.lines)
-            counts += np.bincount((e.tokens & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            tokens = e.tokens[joinable(e, spec)[e.owner]]
+            counts += np.bincount((tokens & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             n = len(e.row)
             yield batch(n, kind=np.ones(n, np.int32), key=e.keys().view(np.int64), key2=e.keys(1).view(np.int64), doc=[ids[i] for i in e.row.tolist()], line=e.line, n=e.sizes)
             if not spec.lines:
@@ -135,7 +141,7 @@ def shared_prefixes(rows: DataFrame, spec: Spec, levels: np.ndarray, classes: Da
             inside, place, matches = prefixes(e, spec, weights)
             key = e.keys()
             # copies within the task are one set
-            fresh = np.array([k not in seen and not seen.add(k) for k in key.tolist()], bool) if len(key) else np.empty(0, bool)
+            fresh = np.array([on and k not in seen and not seen.add(k) for k, on in zip(key.tolist(), joinable(e, spec).tolist(), strict=True)], bool) if len(key) else np.empty(0, bool)
             if len(seen) > 2_000_000:
                 seen.clear()
             inside, place = (x[fresh[e.owner[inside]]] for x in (inside, place)) if len(key) else (inside, place)

@@ -52,7 +52,7 @@ class Elements(NamedTuple):
 def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None) -> Elements:
     """The sets, tokens ascending; with levels (of the sketch's counters) rare tokens come first, then by hash.
 
-    lines: an element is a line of five words or more, else a whole text of one word or more.
+    lines: an element is a line, else a whole text, of one word or more.
     """
     parts = [t.encode("utf-8", "replace") for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts])
@@ -68,9 +68,6 @@ def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None) ->
         of = np.searchsorted(ends, start, side="right")
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
     count = np.diff(np.append(first, len(of)))
-    if lines:
-        on = count >= SHINGLE_WORDS
-        first, count = first[on], count[on]
     name = of[first]
     n = np.where(count >= SHINGLE_WORDS, count - SHINGLE_WORDS + 1, 1)
     stop = np.cumsum(n)
