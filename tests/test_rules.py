@@ -45,6 +45,47 @@ def test_fingerprints_survive_insertion_and_wrapping(spark):
     assert prints[0] == prints[1] == prints[2]
 
 
+def test_fingerprints_are_those_of_all_findings(spark):
+    page = "<body>" + "".join(f'<p><a href="/t{i}">click here</a></p>' for i in range(450))
+    nodes, found = audit(spark, page, page.replace('<p><a href="/t7">click here</a></p>', ""))
+    total = {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()}
+    prints = findings.fingerprints(found, nodes)
+    assert {r["doc_id"]: r["count"] for r in prints.groupBy("doc_id").count().collect()} == total and min(total.values()) > 400
+    same_site = lambda df, i: df.filter(f"doc_id = {i}").withColumn("site", F.lit("s"))
+    links = found.filter("node_type = 'link'")
+    whole, cut = findings.fingerprints(links, nodes), findings.fingerprints(links, nodes, findings.MOST_FINGERPRINTS)
+    got = findings.fingerprint_diff(same_site(whole, 0), same_site(whole, 1), "site").first().asDict()
+    assert got == {"site": "s", "new_count": 0, "resolved_count": 1, "unchanged_count": 449}
+    assert cut.filter("truncated").count() == cut.count() == 800
+    for a, b in ((cut, cut), (cut, whole), (whole, cut)):
+        got = findings.fingerprint_diff(same_site(a, 0), same_site(b, 1), "site").first()
+        assert got["partial"] and got["resolved_count"] == 0
+    short = findings.fingerprints(links, nodes, 1000)
+    got = findings.fingerprint_diff(same_site(short, 0), same_site(short, 1), "site").first()
+    assert (got["partial"], got["resolved_count"]) == (False, 1)
+
+
+def test_diffs_carry_the_cut_of_either_scan(spark):
+    rows = [(1, "u", i, i, p, "1", t, 80) for i, (p, t) in enumerate([(["a", "b"], False), (["a"], True), (["b"], False), (["c"], False)])]
+    df = spark.createDataFrame(rows, "user_id long, url_key string, id long, created_at long, fingerprints array<string>, version string, truncated boolean, score int")
+    assert [(r["resolved_count"], r["partial"]) for r in findings.scan_changes(df).orderBy("id").collect()] == [(0, True), (0, True), (1, False)]
+
+
+def test_streaming_alerts_carry_the_cut(spark, tmp_path):
+    from wardlume.streaming.jobs import rescan_alerts
+
+    schema = "site string, scan_id long, fingerprints array<string>, truncated boolean"
+    rows = [("s", i, p, t) for i, (p, t) in enumerate([(["a", "b"], False), (["a"], True), (["b"], None), (["c"], False)])]
+    for k, want in (("plain", [(0, 0, 1), (1, 1, 1), (2, 1, 1)]), ("marked", [(0, 0, 0, True), (1, 1, 0, True), (2, 1, 1, False)])):
+        for i in range(2):
+            spark.createDataFrame(rows[2 * i : 2 * i + 2], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{k}/in{i}")
+        scans = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{k}/in*")
+        alerts = rescan_alerts(scans if k == "marked" else scans.drop("truncated"))
+        alerts.writeStream.format("memory").queryName(f"alerts_{k}").outputMode("append").option("checkpointLocation", f"{tmp_path}/{k}/cp").trigger(availableNow=True).start().awaitTermination()
+        got = spark.table(f"alerts_{k}").orderBy("scan_id").collect()
+        assert [(r["scan_id"] - 1, *r[2:]) for r in got] == want
+
+
 def test_deep_wrappers_are_quick(spark):
     import time
 

@@ -32,31 +32,45 @@ def signatures(nodes: DataFrame) -> DataFrame:
         .when(F.col("bits").isNotNull(), F.concat_ws("|", F.col("kind"), joined)).otherwise(F.concat("kind", F.lit("|")))).alias("signature"))
 
 
-def fingerprints(findings: DataFrame, nodes: DataFrame, most: int = MOST_FINGERPRINTS) -> DataFrame:
+def fingerprints(findings: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
     """(doc_id, violation_id, fingerprint): stable under changes elsewhere; equal findings are told apart by their order.
 
-    Breadth-first order, the first ``most`` findings of a document, as the stored history does.
+    All findings, in breadth-first order. With ``most`` (MOST_FINGERPRINTS for a row of the stored
+    history) only that many of each document, and ``truncated``: the document has more.
     """
-    ranked = findings.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("bfs_pos", "rule_id"))).filter(F.col("n") <= most)
+    ranked = findings.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("bfs_pos", "rule_id")))
+    cut = []
+    if most is not None:
+        ranked = ranked.withColumn("truncated", F.count("*").over(Window.partitionBy("doc_id")) > most).filter(F.col("n") <= most)
+        cut = ["truncated"]
     base = ranked.join(signatures(nodes), ["doc_id", "node_id"]).withColumn("base", F.concat_ws("|", "rule_id", "signature"))
     index = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("n")) - 1
-    return base.select("doc_id", "violation_id", F.substring(F.sha1(F.concat(F.col("base"), F.lit("#"), index.cast("string")).cast("binary")), 1, 16).alias("fingerprint"))
+    return base.select("doc_id", "violation_id", F.substring(F.sha1(F.concat(F.col("base"), F.lit("#"), index.cast("string")).cast("binary")), 1, 16).alias("fingerprint"), *cut)
 
 
 def fingerprint_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Per key: fingerprints that are new, resolved and unchanged between two scans (key, fingerprint)."""
+    """Per key: fingerprints that are new, resolved and unchanged between two scans (key, fingerprint).
+
+    If a scan has the column ``truncated``, the result has ``partial``: one of the key's scans was cut off, and nothing counts as resolved.
+    """
     a, b = before.select(key, "fingerprint").distinct().withColumn("old", F.lit(True)), after.select(key, "fingerprint").distinct().withColumn("now", F.lit(True))
     both = a.join(b, [key, "fingerprint"], "full")
-    return both.groupBy(key).agg(F.count_if(F.col("old").isNull()).alias("new_count"), F.count_if(F.col("now").isNull()).alias("resolved_count"),
-                                 F.count_if(F.col("old") & F.col("now")).alias("unchanged_count"))
+    out = both.groupBy(key).agg(F.count_if(F.col("old").isNull()).alias("new_count"), F.count_if(F.col("now").isNull()).alias("resolved_count"),
+                                F.count_if(F.col("old") & F.col("now")).alias("unchanged_count"))
+    cuts = [x.filter("truncated").select(key) for x in (before, after) if "truncated" in x.columns]
+    if not cuts:
+        return out
+    cut = cuts[0].union(cuts[-1]).distinct().withColumn("partial", F.lit(True))
+    return out.join(cut, key, "left").withColumns({
+        "partial": F.coalesce("partial", F.lit(False)), "resolved_count": F.when(F.col("partial"), 0).otherwise(F.col("resolved_count")).cast("long")})
 
 
 def scan_changes(history: DataFrame) -> DataFrame:
-    """Each scan against the one before of its (user_id, url_key); none across versions; a cut-off predecessor resolves nothing and is partial."""
+    """Each scan against the one before of its (user_id, url_key); none across versions; where one of the two was cut off, nothing counts as resolved and it is partial."""
     order = Window.partitionBy("user_id", "url_key").orderBy("created_at", "id")
     prior = {f"p_{c}": F.lag(c).over(order) for c in ("fingerprints", "version", "truncated", "score")}
     x = history.withColumns(prior).filter((F.col("p_version") == F.col("version")))
-    partial = F.coalesce("p_truncated", F.lit(False))
+    partial = F.coalesce("p_truncated", F.lit(False)) | F.coalesce("truncated", F.lit(False))
     return x.select("user_id", "url_key", "id", F.size(F.array_except("fingerprints", "p_fingerprints")).alias("new_count"),
                     F.when(partial, 0).otherwise(F.size(F.array_except("p_fingerprints", "fingerprints"))).alias("resolved_count"),
                     F.size(F.array_intersect("fingerprints", "p_fingerprints")).alias("unchanged_count"), (F.col("score") - F.col("p_score")).alias("score_change"), partial.alias("partial"))

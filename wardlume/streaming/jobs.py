@@ -49,17 +49,24 @@ def failure_window(events: DataFrame, most: int = 5, seconds: float = 900.0) ->
 
 
 def rescan_alerts(scans: DataFrame) -> DataFrame:
-    """(site, scan_id, new_count, resolved_count) of a stream of (site, scan_id, fingerprints): against the site's last scan."""
+    """(site, scan_id, new_count, resolved_count) of a stream of (site, scan_id, fingerprints): against the site's last scan.
+
+    If the scans have ``truncated``, alerts have ``partial``: one of the two scans was cut off, and nothing counts as resolved.
+    """
+    marked = "truncated" in scans.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = set(json.loads(state.get[0])) if state.exists else None
+        last, cut = (set(json.loads(state.get[0])), marked and bool(state.get[1])) if state.exists else (None, False)
         out = []
         for r in pd.concat(list(batches)).sort_values("scan_id").itertuples():
-            now = set(r.fingerprints)
+            now, now_cut = set(r.fingerprints), marked and r.truncated is not None and bool(r.truncated)
             if last is not None:
-                out.append((r.site, r.scan_id, len(now - last), len(last - now)))
-            last = now
-        state.update((json.dumps(sorted(last)),))
-        yield pd.DataFrame(out, columns=["site", "scan_id", "new_count", "resolved_count"])
+                partial = cut or now_cut
+                out.append((r.site, r.scan_id, len(now - last), 0 if partial else len(last - now), partial))
+            last, cut = now, now_cut
+        state.update((json.dumps(sorted(last)), cut)[: 1 + marked])
+        made = pd.DataFrame(out, columns=["site", "scan_id", "new_count", "resolved_count", "partial"])
+        yield made if marked else made.drop(columns="partial")
 
-    return scans.groupBy("site").applyInPandasWithState(step, "site string, scan_id long, new_count long, resolved_count long", "last string", "append", GroupStateTimeout.NoTimeout)
+    rows = "site string, scan_id long, new_count long, resolved_count long" + (", partial boolean" if marked else "")
+    return scans.groupBy("site").applyInPandasWithState(step, rows, "last string, cut boolean" if marked else "last string", "append", GroupStateTimeout.NoTimeout)
