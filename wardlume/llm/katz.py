@@ -12,7 +12,7 @@ logarithms and counts-of-counts are added up per document, since a score is line
 Contexts' statistics are summed densely for frequent words and dealt by context for the others. Only the
 totals of pairs' counts (a few numbers), the dense tables and the discounts ever reach the driver.
 
-Tables in the shared folder: ``katz-parts`` (partitioned by kind: document sums, pending contexts, context types).
+Tables in the shared folder: ``katz-parts`` (a column kind: document sums, pending contexts, context types); none of discounted counts or backoff weights.
 
 Defined results: a null text counts as empty, so its document is the end token alone; a null doc_id trains; repeated rows
 count and score one by one; an empty table gives an empty result; words are told apart by 64-bit hashes.
