@@ -1,7 +1,7 @@
-"""Exact dedup: a tree merge of sorted digest runs, in DataFrame operations only.
+"""Exact dedup: a tree merge of digest runs, in DataFrame operations only.
 
 Every document becomes a 256-bit digest of its text without separators, with a second check (length and 64-bit
-hash of the same text). A run is one partition's digests in order. Runs are merged in rounds: in each round the runs
+hash of the same text). A run is one partition's digests, not sorted. Runs are merged in rounds: in each round the runs
 whose numbers agree but for their lowest bits meet, are merged by digest, and keep for each digest the verified
 smallest identifier (most code points first, then smallest doc_id) and the group's size. Digests are dealt into
 as many ranges as the shuffle has partitions, each with a merge tree of its own, so no root ever holds all digests.
