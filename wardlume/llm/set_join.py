@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import partitions, release, written
 from .text_sets import (
-    SKETCH, TOKEN_MASK, Bloom, Elements, U, bloom_of, chunks, elements, level_weights, members, merged, parts_of, rarity_levels,
+    SKETCH, TOKEN_MASK, Elements, U, chunks, elements, id_filter, level_weights, members, merged, parts_of, rarity_levels,
 )
 
 #: Entries held by a task before they are dealt out; a level from which tokens count as very common.
@@ -269,18 +269,16 @@ def earlier_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def set_table(rows: DataFrame, spec: Spec, pairs: DataFrame) -> DataFrame:
     """Written rows doc, line, tokens of (at least) every element in the pairs (a, b)."""
-    spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(bloom_of(pairs.select("a.doc", "a.line").union(pairs.select("b.doc", "b.line")).distinct(), spec.lines))
+    rows, has = id_filter(rows, pairs.select("a.doc", "a.line").union(pairs.select("b.doc", "b.line")).distinct(), spec.lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = Bloom(bits.value)
         for ids, texts in chunks(batches):
-            on = np.flatnonzero(wanted.has(members(ids)))
+            on = np.flatnonzero(has(members(ids)))
             if not len(on):
                 continue
             ids, e = [ids[i] for i in on], elements([texts[i] for i in on], spec.lines)
             if spec.lines and len(e.row):
-                keep = wanted.has(members([ids[i] for i in e.row.tolist()], e.line))
+                keep = has(members([ids[i] for i in e.row.tolist()], e.line))
             else:
                 keep = np.ones(len(e.row), bool)
             sizes, pick = e.sizes[keep], keep[e.owner] if len(e.owner) else np.empty(0, bool)

@@ -163,23 +163,24 @@ def members(ids: list, lines: np.ndarray | None = None) -> np.ndarray:
 
 
 class Bloom:
-    """A Bloom filter of a fixed number of bits. False positives cost work, never results."""
+    """A Bloom filter of 2^k bits. False positives cost work, never results."""
 
-    BITS = 1 << 24
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.last = U(len(bits) * 8 - 1)
 
-    def __init__(self, bits: np.ndarray | None = None):
-        self.bits = np.zeros(self.BITS // 8, np.uint8) if bits is None or not len(bits) else bits
+    @classmethod
+    def of_size(cls, bits: int) -> Bloom:
+        return cls(np.zeros(bits // 8, np.uint8))
 
     def _places(self, x: np.ndarray) -> list[np.ndarray]:
-        return [((x >> U(s)) & U(self.BITS - 1)).astype(np.int64) for s in (0, 13, 26, 40)]
+        again = mix(x + U(1)) | U(1)
+        return [((x + U(i) * again) & self.last).astype(np.int64) for i in range(4)]
 
     def add(self, x: np.ndarray) -> None:
         for p in self._places(x):
             np.bitwise_or.at(self.bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
-    def __contains__(self, x) -> bool:
-        return bool(self.has(np.array([x], U))[0])
-
     def has(self, x: np.ndarray) -> np.ndarray:
         out = np.ones(len(x), bool)
         for p in self._places(x):
@@ -187,12 +188,21 @@ class Bloom:
         return out
 
 
-def bloom_of(ids: DataFrame, per_line: bool) -> np.ndarray:
+#: Bits a member, the smallest filter, and the largest that is sent to every task (32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+
+
+def bloom_bits(members_: int) -> int:
+    """The filter's size for so many members: a power of two."""
+    return max(LEAST_BITS, 1 << (BITS_EACH * max(members_, 1) - 1).bit_length())
+
+
+def bloom_of(ids: DataFrame, per_line: bool, bits: int) -> np.ndarray:
     """The bits of all (doc, line) rows: their documents, and with per_line their lines too."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = Bloom()
+        filter_ = Bloom.of_size(bits)
         for b in batches:
             docs = b.column(0).to_pylist()
             filter_.add(members(docs))
@@ -200,4 +210,19 @@ def bloom_of(ids: DataFrame, per_line: bool) -> np.ndarray:
                 filter_.add(members(docs, b.column(1).to_numpy()))
         yield parts_of(filter_.bits, TaskContext.get().partitionId())
 
-    return merged(ids.select("doc", F.col("line").cast("long")).mapInArrow(run, "block int, salt int, data binary"), np.uint8, np.bitwise_or)
+    found = merged(ids.select("doc", F.col("line").cast("long")).mapInArrow(run, "block int, salt int, data binary"), np.uint8, np.bitwise_or)
+    return found if len(found) else np.zeros(bits // 8, np.uint8)
+
+
+def id_filter(rows: DataFrame, wanted: DataFrame, per_line: bool = False) -> tuple[DataFrame, Callable[[np.ndarray], np.ndarray]]:
+    """Rows (doc, ...) that may hold a wanted (doc, line), and a test of members() for use within tasks.
+
+    A Bloom filter sized by the number of wanted rows is sent to the tasks; where it would be larger than MOST_BITS, the rows
+    are joined with the wanted documents instead and the test lets everything through.
+    """
+    wanted = wanted.select("doc", "line" if per_line else F.lit(0).alias("line"))
+    bits = bloom_bits(wanted.count() * (2 if per_line else 1))
+    if bits > MOST_BITS:
+        return rows.join(wanted.select("doc").distinct(), "doc", "left_semi"), lambda x: np.ones(len(x), bool)
+    sent = rows.sparkSession.sparkContext.broadcast(bloom_of(wanted, per_line, bits))
+    return rows, lambda x: Bloom(sent.value).has(x)
