@@ -4,6 +4,9 @@ Every rule is a row (name, numerator, denominator, lower bound, upper bound) ove
 ``compile_rules`` turns the table into one boolean column per rule and a verdict by cross-multiplied
 integer comparisons, so no division and no rounding is involved.
 
+All counts of a text are one expression that binds what it uses more than once, so a filter or a choice of columns above
+it evaluates it once and not once for each use.
+
 Defined results: a null text counts as no text (all counts 0, rejected by the base rule); an empty table gives an
 empty result; repeated rows are judged one by one; other columns of the input are carried along untouched unless
 they clash with a name this operator makes, in which case the operator's own column wins.
@@ -11,6 +14,7 @@ they clash with a name this operator makes, in which case the operator's own col
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -50,73 +54,72 @@ RULES = (
 BASE_RULES = ("length", "repeated_words")
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_shout_lines", "one")
+VERDICTS = ("base_failed", "kept")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _covered(windows: Column) -> Column:
+    """Words that lie in windows whose hash is there twice or more; a window is the word at its place and two more."""
+    in_order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def places(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: (F.when(k > 0, F.get(s, k - 1)["h"]) == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+
+    def words(p: Column) -> Column:
+        new = F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3))).cast("long"))
+        return F.aggregate(new, F.lit(0).cast("long"), lambda total, n: total + n)
+
+    return _let(_let(in_order, places), words)
+
+
 def _repeat_words(words: Column) -> Column:
     """Words covered by three-word windows that occur twice or more in the text."""
     # Words hold no space, so a window's words joined by spaces identify it; its 64-bit hash stands for it.
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 2),
-        lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)),
-    )
-    return F.when(F.size(words) >= 4, windows).otherwise(F.array().cast("array<bigint>"))
+    windows = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
+    none = F.lit(0).cast("long")
+    return F.when(F.size(words) >= 4, _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _covered(w)).otherwise(none))).otherwise(none)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input and its integer counts, in a chain of projections without a shuffle."""
-    body = text_or_empty(text)
-    stop = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws})])
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_shout_lines", "one")
-    df = docs.drop(*made).withColumns({
-        "_words": F.filter(F.split(body, f"{SEPARATOR_CLASS}+"), lambda w: w != ""),
-        "_lines": F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD_CLASS)),
-        "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"),
-    })
-    df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_stop_words": F.size(F.filter("_words", lambda w: F.array_contains(stop, F.lower(w)))).cast("long"),
-        "n_shout_lines": F.size(F.filter("_lines", lambda x: (F.upper(x) == x) & (F.lower(x) != x))).cast("long"),
-        "_windows": _repeat_words(F.col("_words")),
-        "one": F.lit(1).cast("long"),
-    })
-    # windows that occur more than once: neighbours in the order of (hash, place)
-    df = df.withColumn(
-        "_sorted",
-        F.when(
-            F.size(F.array_distinct("_windows")) < F.size("_windows"),
-            F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
-    )
-    df = df.withColumn("_next", F.slice("_sorted", 2, F.greatest(F.size("_sorted"), F.lit(1))))
-    df = df.withColumn("_same", F.zip_with("_sorted", "_next", lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
-    df = df.withColumn(
-        "_starts",
-        F.sort_array(F.transform(
-            F.filter(
-                F.zip_with(F.arrays_zip("_sorted", "_same"), F.concat(F.array(F.lit(False)), F.col("_same")),
-                           lambda a, before: F.struct(a["_sorted"]["i"].alias("i"), (a["_same"] | before).alias("hit"))),
-                lambda x: x["hit"] & x["i"].isNotNull(),
-            ),
-            lambda x: x["i"],
-        )),
-    )
-    df = df.withColumn(
-        "n_repeat_words",
-        F.aggregate(
-            F.zip_with("_starts", F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))),
-                       lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))),
-            F.lit(0).cast("long"), lambda s, x: s + x.cast("long"),
-        ),
-    )
-    return df.drop("_words", "_lines", "_windows", "_sorted", "_next", "_same", "_starts")
-
-
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
+def counts(body: Column) -> Column:
+    """A struct of the COUNTS of a text that isn't null."""
+    stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
+
+    def of_words(words: Column) -> dict[str, Column]:
+        return {
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*stop))).cast("long"),
+            "n_repeat_words": _repeat_words(words),
+        }
+
+    def of_lines(lines: Column) -> dict[str, Column]:
+        return {
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_shout_lines": F.size(F.filter(lines, lambda x: (F.upper(x) == x) & (F.lower(x) != x))).cast("long"),
+        }
+
+    def struct(made: dict[str, Column]) -> Column:
+        return F.struct(*[c.alias(n) for n, c in made.items()])
+
+    words = F.filter(F.split(body, f"{SEPARATOR_CLASS}+"), lambda w: w != "")
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD_CLASS))
+    both = F.struct(_let(words, lambda w: struct(of_words(w))).alias("w"), _let(lines, lambda x: struct(of_lines(x))).alias("l"))
+    own = {"n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"), "one": F.lit(1).cast("long")}
+    return _let(both, lambda b: F.struct(*[(own[n] if n in own else b["l" if n.endswith("_lines") else "w"][n]).alias(n) for n in COUNTS]))
+
+
+def compile_rules(rules: tuple[Rule, ...] = RULES, count: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """A boolean column for each row of the threshold table: the rule holds."""
     out = {}
     for r in rules:
-        top, bottom = F.col(r.numerator) * 1000, F.col(r.denominator)
+        top, bottom = count(r.numerator) * 1000, count(r.denominator)
         holds = F.lit(True)
         if r.lower is not None:
             holds = holds & (top >= bottom * r.lower)
@@ -128,22 +131,31 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The input, its counts, ``base_failed`` and ``kept`` (every rule of the table holds)."""
-    made = compile_rules(rules)
-    base = [c for n, c in made.items() if n in BASE_RULES]
-    every = list(made.values())
-    failed, kept = F.lit(False), F.lit(True)
-    for c in base:
-        failed = failed | ~c
-    for c in every:
-        kept = kept & c
-    return measured(docs.drop("base_failed", "kept"), text).withColumns({"base_failed": failed, "kept": kept})
 
+    def verdict(c: Column) -> Column:
+        made = compile_rules(rules, lambda n: c[n])
+        failed, kept = F.lit(False), F.lit(True)
+        for n, holds in made.items():
+            failed = failed | ~holds if n in BASE_RULES else failed
+            kept = kept & holds
+        return F.struct(*[c[n].alias(n) for n in COUNTS], failed.alias("base_failed"), kept.alias("kept"))
 
-def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of the input that hold every rule, with the input's columns only.
+    carried = [c for c in docs.columns if c not in COUNTS + VERDICTS]
+    name = "_judged"
+    while name in carried:
+        name += "_"
+    df = docs.select(*[docs[c] for c in carried], _let(counts(text_or_empty(docs[text])), verdict).alias(name))
+    # never null: no second look at the counts to see whether they are
+    made = [F.coalesce(F.col(name)[c], F.lit(0).cast("long")).alias(c) for c in COUNTS] + [F.coalesce(F.col(name)[c], F.lit(False)).alias(c) for c in VERDICTS]
+    return df.select(*[F.col(f"`{c}`") for c in carried], *made)
 
-    The row marker is no function of the row, so the optimizer keeps the filter above the projections; below
-    them it would have to repeat the whole chain of counts inside its condition.
-    """
-    marked = judged(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
-    return marked.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The input and its integer counts, without a shuffle."""
+    return judged(docs, text=text).drop(*VERDICTS)
+
+
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of the input that hold every rule, with all of the input's columns."""
+    kept = _let(counts(text_or_empty(docs[text])), lambda c: F.forall(F.array(*compile_rules(rules, lambda n: c[n]).values()), lambda holds: holds))
+    return docs.filter(F.coalesce(kept, F.lit(False)))
