@@ -10,6 +10,8 @@ GENERIC_LINK_TEXT = (
 )
 # The shorter list of the document-level scan.
 GENERIC_LINK_LABELS = ("click here", "here", "read more", "learn more", "more", "link", "this")
+# Header labels that say nothing.
+GENERIC_HEADERS = ("column", "column 1", "column 2", "header", "n/a", "na", "value")
 # Top-level domains that make a bare domain of a link text.
 LINK_DOMAINS = "com|org|net|edu|gov|mil|int|io|co|us|uk|ca|au|de|fr|jp|cn|info|biz|app|dev|ai"
 # Link targets that lead nowhere.

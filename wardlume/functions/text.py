@@ -148,3 +148,29 @@ def masked_email(c: Column) -> Column:
 def credit_cost(extension: Column) -> Column:
     pairs = [F.lit(x) for k, v in fixed.CREDIT_COSTS.items() for x in (k, v)]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_replace(extension, r"^\.", ""))), F.lit(fixed.DEFAULT_CREDIT_COST))
+
+
+def fuzzy_score(query: str, c: Column) -> Column:
+    """How well the query's letters occur in a text in order, 0 for an empty query, null where they don't all.
+
+    Each letter counts 1, in a run 5 and 2 more for each letter of the run so far, 8 more at the start or 6 after a separator; short texts get up to 20.
+    """
+    q = query.strip().lower()
+    if not q:
+        return F.lit(0.0)
+    t = F.lower(F.coalesce(c, F.lit("")))
+    letters, wanted = F.split(t, ""), F.array(*[F.lit(x) for x in q])
+
+    def step(s: Column, x: Column) -> Column:
+        hit = (s["at"] < len(q)) & (x["c"] == F.get(wanted, s["at"]))
+        streak = F.when(s["last"] == x["i"] - 1, s["streak"] + 1).otherwise(0)
+        place = F.when(x["i"] == 0, 8).when(x["before"].rlike(r"[\s._\-/()]"), 6).otherwise(0)
+        # a first letter at the start follows place -1, which no letter has: it is a run too
+        gain = F.when(s["last"] == x["i"] - 1, 5 + 2 * streak).otherwise(1) + place
+        return F.when(hit, F.struct((s["at"] + 1).alias("at"), (s["score"] + gain).alias("score"), x["i"].alias("last"), streak.alias("streak"))).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("score"), F.lit(-1).alias("last"), F.lit(0).alias("streak"))
+    places = F.transform(letters, lambda x, i: F.struct(x.alias("c"), i.alias("i"), F.coalesce(F.get(letters, i - 1), F.lit("")).alias("before")))
+    end = F.aggregate(places, start, step)
+    found = F.transform(F.array(end), lambda e: F.when(e["at"] == len(q), e["score"] + F.greatest(F.lit(0.0), 20 - F.length(t) / 4)))[0]
+    return F.when(t != "", found)

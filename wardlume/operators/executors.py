@@ -17,14 +17,12 @@ def _order() -> Window:
 def normalized_heading_levels(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, old_level, level): no heading is more than one below the one before, as that one was fixed.
 
-    A fold over one document's headings, which is bounded by the document.
+    The fixed level is the least, over the headings up to here, of a heading's level and the headings after it; one window.
     """
-    h = nodes.filter("node_type = 'heading'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("dfs_pos", "node_id", "level"))).alias("hs"))
-    fold = F.aggregate(
-        "hs", F.array().cast("array<struct<node_id:string,old_level:int,level:int>>"),
-        lambda done, x: F.concat(done, F.array(F.struct(x["node_id"].alias("node_id"), x["level"].alias("old_level"), F.when(F.size(done) == 0, x["level"]).otherwise(
-            F.least(x["level"], F.element_at(done, -1)["level"] + 1, F.lit(6))).alias("level")))))
-    return h.select("doc_id", F.explode(fold).alias("x")).select("doc_id", "x.*").filter("old_level <> level")
+    up_to_here = _order().rowsBetween(Window.unboundedPreceding, 0)
+    h = nodes.filter("node_type = 'heading'").withColumn("n", F.row_number().over(_order()))
+    level = F.when(F.col("n") == 1, F.col("level")).otherwise(F.least(F.lit(6), F.col("n") + F.min(F.col("level") - F.col("n")).over(up_to_here)))
+    return h.select("doc_id", "node_id", F.col("level").alias("old_level"), level.cast("int").alias("level")).filter("old_level <> level")
 
 
 def promoted_headings(nodes: DataFrame) -> DataFrame:
@@ -58,7 +56,8 @@ def header_scopes(nodes: DataFrame) -> DataFrame:
 def wrapped_list_children(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, list_id): children of lists that are no items, to be wrapped in one."""
     lists = nodes.filter("node_type = 'list'").select("doc_id", F.col("node_id").alias("list_id"))
-    return nodes.filter("node_type <> 'list_item'").join(lists, (nodes.doc_id == lists.doc_id) & (nodes.parent_id == lists.list_id)).select(nodes.doc_id, "node_id", "list_id")
+    others = nodes.filter("node_type <> 'list_item'").select("doc_id", "node_id", F.col("parent_id").alias("list_id"))
+    return others.join(lists, ["doc_id", "list_id"]).select("doc_id", "node_id", "list_id")
 
 
 def link_texts(nodes: DataFrame) -> DataFrame:

@@ -133,6 +133,24 @@ def monitors_due(sites: DataFrame, as_of: Column, stale_seconds: int = 900, most
     return sites.filter(F.col("enabled") & (F.col("next_run_at") <= as_of) & free & (F.col("consecutive_failures") < most_failures))
 
 
+def released_monitors(runs: DataFrame, as_of: Column, most_failures: int = 5) -> DataFrame:
+    """Sites after a run (site columns, failed, issues): the next run by frequency, the claim dropped, off after too many failures in a row."""
+    days = F.when(F.col("frequency") == "daily", 1).otherwise(7)
+    failures = F.when(F.col("failed"), F.coalesce("consecutive_failures", F.lit(0)) + 1).otherwise(0)
+    return runs.withColumns({"next_run_at": as_of + F.make_dt_interval(days), "claimed_at": F.lit(None).cast("timestamp"), "consecutive_failures": failures,
+                             "enabled": F.col("enabled") & (failures < most_failures), "last_issue_count": F.coalesce("issues", "last_issue_count")})
+
+
+def alerts(changes: DataFrame) -> DataFrame:
+    """Scans worth a message: those with new issues."""
+    return changes.filter("new_count > 0")
+
+
+def expired(artefacts: DataFrame, as_of: Column, hours: int = 1) -> DataFrame:
+    """What a sweep of files older than ``hours`` takes away."""
+    return artefacts.filter(F.col("created_at") < as_of - F.make_dt_interval(hours=F.lit(hours)))
+
+
 def token_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of model calls by price per million tokens; unknown models take the price named unknown."""
     p = F.broadcast(prices)

@@ -6,33 +6,17 @@ shipped tables mapped by plain arithmetic to such inputs; the SQL uses the same
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import color, fixed_values, language, text, urls
 from .operators import dashboards, executors, findings, layout, ledger, rules, scoring
 from .plans import dims, planner
+from .registry import ORACLES, QUERIES, query
 from .sources.html import parse_pages
 from .sources.staging import staged
 from .sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def wrap(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return wrap
-
-
 def _values(words) -> str:
     return ", ".join("'" + str(w).replace("'", "''") + "'" for w in words)
 
@@ -474,3 +458,6 @@ def alt_verdicts(spark, sf):
 @query(r"""SELECT page_id, 'Read more about ' || regexp_replace(regexp_extract(url, '//([^/?#]*)', 1), '^www\.', '') AS suggestion FROM pages""")
 def heuristic_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.heuristic_link_text(F.col("url"), F.lit("a link")).alias("suggestion"))
+
+
+from . import queries_nodes, queries_records  # noqa: E402, F401  they register theirs
