@@ -115,7 +115,8 @@ def alt_texts(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, alt_text) for images without a description, from caption and nearest text; what describes nothing is dropped."""
     near = F.last(F.when(F.col("node_type").isin("heading", "paragraph") & ~text.blank(F.col("text")), F.col("text")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
     x = nodes.withColumn("near", near).filter((F.col("node_type") == "image") & ~F.coalesce("is_decorative", F.lit(False)) & (text.blank(F.col("alt_text")) | text.alt_is_nondescriptive(F.col("alt_text"))))
-    made = F.concat_ws(" — ", F.try_element_at("props", F.lit("title")), F.substring("near", 1, 80))
+    prop = lambda n: F.try_element_at("props", F.lit(n))
+    made = F.coalesce(prop("caption"), F.concat_ws(" — ", prop("title"), F.substring("near", 1, 80)))
     return x.select("doc_id", "node_id", F.substring(made, 1, 140).alias("alt_text")).filter(~text.blank(F.col("alt_text")) & ~text.alt_is_nondescriptive(F.col("alt_text")))
 
 

@@ -125,27 +125,46 @@ def table_shape(nodes: DataFrame) -> DataFrame:
     return of(nodes, "table").join(shape.withColumnRenamed("table_id", "node_id"), ["doc_id", "node_id"], "left").fillna(0, none)
 
 
-@rule("TABLE_MISSING_HEADERS")
-def _(nodes):
-    return table_shape(nodes).filter("headers = 0"), {"rows": F.col("n_rows")}
+#: Rules over a table's shape: condition and evidence over ``table_shape``. ``audit`` evaluates them all in one pass.
+TABLE_RULES: dict[str, Callable[[], tuple[Column, dict[str, Column]]]] = {}
 
 
-@rule("TABLE_CAPTION_MISSING")
-def _(nodes):
+def table_rule(name: str) -> Callable[[Callable[[], tuple]], None]:
+    def wrap(find: Callable[[], tuple]) -> None:
+        TABLE_RULES[name] = find
+        RULES[name] = lambda nodes: table_findings(nodes, [name])
+
+    return wrap
+
+
+def table_findings(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """Findings of several table rules from one shape of every table."""
     siblings = Window.partitionBy("doc_id", "parent_id").orderBy("sibling_pos")
     named = F.col("node_type").isin("heading", "paragraph") & ~text.blank(F.col("text"))
-    after_text = nodes.select("doc_id", "node_id", F.coalesce(F.lag(named).over(siblings), F.lit(False)).alias("introduced"))
-    t = table_shape(nodes).join(after_text, ["doc_id", "node_id"])
+    before = of(nodes.withColumn("introduced", F.coalesce(F.lag(named).over(siblings), F.lit(False))), "table").select("doc_id", "node_id", "introduced")
+    shapes = table_shape(nodes)
+    shapes = shapes.join(before, ["doc_id", "node_id"]) if "TABLE_CAPTION_MISSING" in names else shapes
+    cases = [F.when(hit, F.struct(F.lit(n).alias("rule_id"), _evidence(evidence).alias("evidence"))) for n in names for hit, evidence in [TABLE_RULES[n]()]]
+    return shapes.select("doc_id", "node_id", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")).select("doc_id", "node_id", "x.rule_id", "x.evidence")
+
+
+@table_rule("TABLE_MISSING_HEADERS")
+def _():
+    return F.col("headers") == 0, {"rows": F.col("n_rows")}
+
+
+@table_rule("TABLE_CAPTION_MISSING")
+def _():
     layout = F.lower(F.coalesce(prop("role"), F.lit(""))).isin("presentation", "none")
-    return t.filter(~layout & text.blank(prop("caption")) & (F.col("n_rows") >= 3) & (F.col("most_cells") >= 3)
-                    & ((F.col("source_format") == "docx") | ~F.col("introduced"))), {"rows": F.col("n_rows"), "columns": F.col("most_cells")}
+    return (~layout & text.blank(prop("caption")) & (F.col("n_rows") >= 3) & (F.col("most_cells") >= 3)
+            & (F.coalesce(F.col("source_format") == "docx", F.lit(False)) | ~F.col("introduced"))), {"rows": F.col("n_rows"), "columns": F.col("most_cells")}
 
 
-@rule("TABLE_COMPLEX_NEEDS_SUMMARY")
-def _(nodes):
+@table_rule("TABLE_COMPLEX_NEEDS_SUMMARY")
+def _():
     merged = (F.col("merged") > 0) & (F.col("n_cells") >= 6)
     large = (F.col("max_width") >= 3) & ((F.col("n_rows") >= 20) | (F.col("n_cells") >= 120))
-    return table_shape(nodes).filter(text.blank(prop("caption")) & (merged | large)), {"rows": F.col("n_rows"), "cells": F.col("n_cells")}
+    return text.blank(prop("caption")) & (merged | large), {"rows": F.col("n_rows"), "cells": F.col("n_cells")}
 
 
 @rule("TABLE_NESTED")
@@ -218,7 +237,7 @@ def _(nodes):
 @node_rule("LOW_CONTRAST_TEXT")
 def _():
     fg, bg = color.css_hex(prop("color")), F.coalesce(color.css_hex(prop("background")), F.lit("FFFFFF"))
-    low = prop("color").isNotNull() & color.low_contrast(fg, bg, prop("size_pt").try_cast("double"), is_true("bold"))
+    low = F.when(prop("color").isNotNull(), color.low_contrast(fg, bg, prop("size_pt").try_cast("double"), is_true("bold"))).otherwise(False)
     return low, {"fg": fg, "bg": bg, "ratio": F.round(color.contrast(fg, bg), 2)}
 
 
@@ -253,8 +272,9 @@ def _():
 def audit(nodes: DataFrame, only: list[str] | None = None) -> DataFrame:
     """Findings of all rules, or of those named: doc_id, node_id, rule_id, severity, evidence, violation_id, path, bfs_pos, dfs_pos."""
     names = list(RULES) if only is None else only
-    single = [n for n in names if n in NODE_RULES]
-    parts = ([single_node_findings(nodes, single)] if single else []) + [RULES[n](nodes) for n in names if n not in NODE_RULES]
+    single, tables = ([n for n in names if n in group] for group in (NODE_RULES, TABLE_RULES))
+    parts = ([single_node_findings(nodes, single)] if single else []) + ([table_findings(nodes, tables)] if tables else [])
+    parts += [RULES[n](nodes) for n in names if n not in NODE_RULES and n not in TABLE_RULES]
     hits = reduce(DataFrame.union, parts)
     place = nodes.select("doc_id", "node_id", "node_type", "path", "bfs_pos", "dfs_pos")
     severity = dims.rules(nodes.sparkSession).select("rule_id", "severity")

@@ -230,6 +230,30 @@ def _style(e: Element, above: dict) -> dict:
     return out
 
 
+def _caption(e: Element, hops: int = 4, most: int = 200) -> str:
+    """What is written near an image: its figure's caption, its title, else the nearest text of three words or more before it."""
+    for up in (e.parent, e.parent.parent if e.parent else None):
+        if up is not None and up.tag == "figure":
+            for c in up.children:
+                if not isinstance(c, str) and c.tag == "figcaption" and c.text():
+                    return c.text()[:most]
+    if e.attrs.get("title", "").strip():
+        return e.attrs["title"].strip()[:most]
+    at = e
+    for _ in range(hops):
+        if at.parent is None:
+            break
+        before = at.parent.children[: next(i for i, c in enumerate(at.parent.children) if c is at)]
+        for c in reversed(before):
+            words = "" if isinstance(c, str) or c.tag in SKIPPED else c.text()
+            if len(words.split()) >= 3:
+                return words[:most]
+        at = at.parent
+        if at.tag in ("body", "html"):
+            break
+    return ""
+
+
 def page_nodes(doc_id, page: str | None) -> list[dict]:
     """The rows of one page in reading order (depth first)."""
     rows: list[dict] = []
@@ -268,7 +292,7 @@ def page_nodes(doc_id, page: str | None) -> list[dict]:
             node = add(parent, "link", text=e.text(), target=e.attrs["href"], props=props | ({"link_nameless": "true"} if _nameless(e, ids) else {}))
         elif e.tag == "img":
             decorative = e.attrs.get("alt") == "" or e.attrs.get("role") in ("presentation", "none") or e.attrs.get("aria-hidden") == "true"
-            node = add(parent, "image", is_decorative=decorative, alt_text=None if decorative else e.attrs.get("alt"), target=e.attrs.get("src"), props={k: e.attrs["title"] for k in ("title",) if e.attrs.get("title")})
+            node = add(parent, "image", is_decorative=decorative, alt_text=None if decorative else e.attrs.get("alt"), target=e.attrs.get("src"), props={k: v for k, v in (("title", e.attrs.get("title")), ("caption", _caption(e))) if v})
         elif e.tag in ("ul", "ol"):
             node = add(parent, "list", ordered=e.tag == "ol", marker="decimal" if e.tag == "ol" else "bullet")
         elif e.tag == "li":
