@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .shared import partitions
 from .text_sets import TOKEN_MASK, U, chunks, elements
@@ -87,6 +86,17 @@ def _meet(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _credits(token[on], key[on])
 
 
+def _pair(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, U, n), np.frombuffer(data, np.uint32, n, 8 * n)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys once each, and the sums of their numbers."""
+    key, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(of, weights=np.concatenate([h for _, h in parts]), minlength=len(key)).astype(np.int64)
+
+
 def shared_counts(rows: DataFrame, lines: bool, n_tokens: int) -> DataFrame:
     """(key, hits) of sets by digest: at least as many of a set's tokens as other sets have too. Sets without any are left out."""
     tasks = partitions(rows.sparkSession)
@@ -124,24 +134,49 @@ def shared_counts(rows: DataFrame, lines: bool, n_tokens: int) -> DataFrame:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, hits: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(hits.astype(np.int64))], ["key", "hits"])
+        """Credits of this task's ranges, added up as far as memory goes and dealt by key."""
+        credited: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def dealt_out() -> pa.RecordBatch:
+            key, hits = _added(credited)
+            credited.clear()
+            slot = ((key * U(0x9E3779B97F4A7C15)) >> U(32)) % U(tasks)
+            order = np.argsort(slot, kind="stable")
+            key, hits, slot = key[order], hits[order].astype(np.uint32), slot[order]
+            first = _runs(slot)
+            data = [k.tobytes() + h.tobytes() for k, h in zip(np.split(key, first[1:]), np.split(hits, first[1:]), strict=True)] if len(key) else []
+            return pa.RecordBatch.from_arrays([pa.array(slot[first].astype(np.int64)), pa.array(data, pa.binary())], ["slot", "data"])
 
         at, held = None, []
         for b in batches:
             for slot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if slot != at and held:
-                    yield out(*_meet(held))
+                    credited.append(_meet(held))
+                    size += len(credited[-1][0])
                     held = []
                 at = slot
                 if slot >= ranges:
-                    n = len(data) // 12
-                    yield out(np.frombuffer(data, U, n), np.frombuffer(data, np.uint32, n, 8 * n))
+                    credited.append(_pair(data))
+                    size += len(credited[-1][0])
                 else:
                     held.append(data)
+                if size >= FLUSH:
+                    yield dealt_out()
+                    size = 0
         if held:
-            yield out(*_meet(held))
-
-    dealt = rows.filter("doc is not null").mapInArrow(deal, "slot long, data binary")
-    met = dealt.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(meet, "key long, hits long")
-    return met.groupBy("key").agg(F.sum("hits").alias("hits"))
+            credited.append(_meet(held))
+        if credited:
+            yield dealt_out()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_pair(data) for b in batches for data in b.column(1).to_pylist()]
+        if parts:
+            key, hits = _added(parts)
+            for s in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[s : s + 100_000].view(np.int64)), pa.array(hits[s : s + 100_000])], ["key", "hits"])
+
+    block = "slot long, data binary"
+    dealt = rows.filter("doc is not null").mapInArrow(deal, block)
+    met = dealt.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(meet, block)
+    return met.repartition(tasks, "slot").mapInArrow(total, "key long, hits long")
