@@ -24,22 +24,28 @@ from pyspark.sql import functions as F
 #: Element names by their role in a page.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br picture source".split())
 CONTAINERS = set("html body div section article main nav aside header footer form ul ol dl table thead tbody tfoot tr td th figure blockquote fieldset details dialog menu center hgroup address".split())
-RAW = set("script style textarea title noscript template iframe svg math canvas object select noframes xmp audio video".split())
+RAW = set("script style textarea title iframe noembed noframes xmp".split())
+DROPPED = set("noscript template svg math canvas object select audio video map".split())
 BOILER_TAGS = set("nav aside footer form dialog menu button fieldset".split())
 MAIN_TAGS = {"article", "main"}
 HEADINGS = {f"h{i}" for i in range(1, 7)}
-#: Words in class, id or role that name page furniture or the article.
+#: Words that name page furniture wherever they stand in a name of class, id or role.
 BOILER_WORDS = set(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright "
-    "disqus disclaimer dialog footer form gdpr hidden header login masthead menu menubar modal nav navbar navigation newsletter notice notices "
-    "overlay pager pagination popup popular promo promoted promotion recommended recommendations related replies reply respond responses share sharing shares "
-    "sidebar sidebars sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar trending widget widgets alert complementary contentinfo search toc".split())
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent "
+    "disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter pager pagination popup promo promoted "
+    "sidebar sidebars sidenav signup sponsor sponsored subscribe subscription teaser topbar complementary contentinfo".split())
+#: Words that name it alone or at the end of a name of two words, and before a word for a place; elsewhere they are ordinary words.
+BOILER_HEADS = set(
+    "alert copyright dialog disclaimer form header hidden login notice notices overlay popular promotion recommended recommendations related replies reply respond "
+    "responses search share sharing shares skip social tags toc toolbar trending widget widgets".split())
+PLACES = set("area bar block box buttons container content form group icons inner items links list outer panel posts section widget wrap wrapper".split())
+#: Words that name the article.
 MAIN_WORDS = set("article content main post entry story body text articlebody maincontent postcontent".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Block(NamedTuple):
@@ -51,62 +57,67 @@ class Block(NamedTuple):
     heading: bool
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "in_main", "heading", "page_has_main")
+FEATURES = ("furniture", "in_main", "page_has_main", "heading", "words", "density", "words_before", "density_before", "words_after", "density_after")
 
-#: The labelled table, in the order of FEATURES (densities in percent), then 1 for main text and 0 for page furniture.
+#: The labelled table: pages whose text blocks begin with + for main text or - for page furniture; {n} stands for n words.
 LABELLED = (
-    # paragraphs, headings and short lines inside an article
-    (60, 0, 12, 0, 80, 0, 0, 1, 0, 1, 1), (12, 0, 6, 100, 60, 0, 0, 1, 1, 1, 1), (1, 0, 40, 0, 55, 0, 0, 1, 0, 1, 1), (3, 0, 2, 0, 4, 0, 0, 1, 0, 1, 1),
-    (120, 3, 90, 0, 1, 100, 0, 1, 0, 1, 1), (25, 20, 30, 0, 45, 0, 0, 1, 0, 1, 1), (8, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1), (2, 0, 1, 100, 14, 0, 0, 1, 1, 1, 1),
-    (45, 0, 45, 0, 9, 0, 0, 1, 0, 1, 1), (5, 0, 60, 0, 70, 0, 0, 1, 1, 1, 1), (300, 1, 5, 0, 200, 0, 0, 1, 0, 1, 1), (16, 40, 50, 0, 60, 0, 0, 1, 0, 1, 1),
-    (7, 45, 40, 0, 30, 0, 0, 1, 0, 1, 1), (10, 0, 1, 100, 1, 100, 0, 1, 0, 1, 1), (4, 0, 1, 100, 5, 0, 0, 1, 0, 1, 1),
-    # lists of links inside an article
-    (2, 100, 1, 100, 2, 100, 0, 1, 0, 1, 0), (4, 100, 60, 0, 5, 100, 0, 1, 0, 1, 0), (1, 100, 30, 0, 9, 0, 0, 1, 0, 1, 0), (6, 85, 4, 100, 10, 0, 0, 1, 0, 1, 0),
-    (9, 100, 8, 100, 7, 100, 0, 1, 0, 1, 0),
-    # menus, sidebars, notices, adverts, comments, forms and footers, in or out of an article, short or long
-    (1, 100, 1, 100, 1, 100, 1, 0, 0, 1, 0), (1, 100, 0, 0, 1, 100, 1, 0, 0, 1, 0), (8, 0, 1, 100, 12, 0, 1, 0, 0, 1, 0), (15, 10, 60, 0, 0, 0, 1, 0, 0, 1, 0),
-    (50, 0, 40, 0, 35, 0, 1, 0, 0, 1, 0), (70, 0, 3, 100, 60, 0, 1, 1, 0, 1, 0), (9, 0, 80, 0, 9, 0, 1, 1, 0, 1, 0), (3, 0, 70, 0, 30, 0, 1, 1, 1, 1, 0),
-    (30, 0, 5, 0, 20, 0, 1, 0, 0, 0, 0), (2, 50, 5, 0, 3, 100, 1, 0, 0, 0, 0), (100, 2, 10, 0, 90, 0, 1, 0, 0, 0, 0), (4, 0, 20, 0, 60, 0, 1, 0, 1, 0, 0), (40, 0, 1, 100, 45, 0, 1, 0, 0, 0, 0),
-    # anything outside the article of a page that has one
-    (20, 0, 90, 0, 3, 100, 0, 0, 0, 1, 0), (6, 0, 1, 100, 10, 0, 0, 0, 1, 1, 0), (60, 0, 70, 0, 0, 0, 0, 0, 0, 1, 0), (2, 100, 3, 100, 5, 0, 0, 0, 0, 1, 0), (35, 0, 4, 0, 8, 0, 0, 0, 0, 1, 0),
-    (12, 0, 0, 0, 14, 0, 0, 0, 0, 1, 0), (90, 5, 2, 100, 30, 0, 0, 0, 0, 1, 0),
-    # pages without an article element: long text of low density, headings and short lines beside it
-    (60, 0, 10, 0, 80, 0, 0, 0, 0, 0, 1), (25, 5, 70, 0, 40, 0, 0, 0, 0, 0, 1), (90, 10, 2, 100, 100, 0, 0, 0, 0, 0, 1), (8, 0, 2, 100, 60, 0, 0, 0, 1, 0, 1),
-    (3, 0, 60, 0, 60, 0, 0, 0, 0, 0, 1), (14, 0, 50, 0, 3, 100, 0, 0, 0, 0, 1), (40, 0, 30, 0, 4, 50, 0, 0, 0, 0, 1), (6, 0, 40, 0, 55, 0, 0, 0, 1, 0, 1), (20, 0, 20, 0, 20, 0, 0, 0, 0, 0, 1),
-    (11, 0, 1, 100, 30, 0, 0, 0, 1, 0, 1), (5, 0, 45, 0, 30, 0, 0, 0, 0, 0, 1), (21, 0, 3, 0, 2, 0, 0, 0, 0, 0, 1), (24, 0, 2, 0, 1, 100, 0, 0, 0, 0, 1),
-    (30, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (2, 0, 21, 0, 24, 0, 0, 0, 0, 0, 1), (80, 2, 1, 100, 1, 100, 0, 0, 0, 0, 1), (12, 0, 20, 0, 2, 0, 0, 0, 0, 0, 1),
-    (45, 12, 1, 100, 2, 100, 0, 0, 0, 0, 1), (22, 30, 25, 0, 1, 50, 0, 0, 0, 0, 1), (15, 0, 3, 0, 1, 100, 0, 0, 0, 0, 1), (3, 0, 0, 0, 22, 0, 0, 0, 1, 0, 1),
-    # pages without an article element: menus, captions between links, closing lines
-    (1, 100, 1, 100, 1, 100, 0, 0, 0, 0, 0), (2, 100, 60, 0, 2, 100, 0, 0, 0, 0, 0), (3, 0, 1, 100, 2, 100, 0, 0, 0, 0, 0), (5, 60, 4, 100, 50, 0, 0, 0, 0, 0, 0), (4, 0, 2, 100, 1, 100, 0, 0, 0, 0, 0),
-    (12, 70, 30, 0, 40, 0, 0, 0, 0, 0, 0), (30, 80, 2, 100, 40, 0, 0, 0, 0, 0, 0), (2, 50, 3, 100, 0, 0, 0, 0, 0, 0, 0), (6, 90, 0, 0, 70, 0, 0, 0, 0, 0, 0), (1, 0, 1, 100, 1, 100, 0, 0, 0, 0, 0),
+    # an article with all that surrounds it, lists of links and sentences full of links in it
+    "<nav><a>-{1}</a><ul><li><a>-{1}</a><li><a>-{1}</a></ul></nav><div class=ad>-{8}</div><article><h1>+{9}</h1><p>+{4}<p>+{60}<p>+{25} <a>{5}</a><p><a>+{3}</a><ul><li><a>+{2}</a><li><a>+{4}</a><li>+{9}</ul>"
+    "<p>+{2} <a>{6}</a> {1} <a>{5}</a><aside>-{20}</aside><h2>+{2}</h2><p>+{120}<form>-{3}</form></article><section class=comments><h3>-{2}</h3><p>-{70}<p>-{9}</section><footer>-{12}</footer>",
+    # an article without a mark of its own in a main element, long furniture
+    "<header><a>-{2}</a><p>-{14}</header><main><h1>+{5}</h1><p>+{1}<p>+{300}<p>+{16} <a>{11}</a><blockquote>+{40}</blockquote><div class=related><h4>-{3}</h4><a>-{7}</a><p>-{30}</div><p>+{8}</main><p>-{50}<div class=cookies>-{60}</div><footer><p>-{35}<a>-{2}</a></footer>",
+    # articles of short, long and linked blocks, and unmarked blocks of all sizes around them
+    "<p>-{6}<p>-{90}<article><p>+{20}<p>+{45}</article><p>-{12}<p><a>-{2}</a><p>-{35}", "<article><p>+{8}</article>", "<div><a>-{1}</a></div><article><h1>+{2}</h1><p>+{14}</article><p>-{20}<p>-{60}",
+    "<div>-{40}</div><div>-{3}</div><article><h1>+{6}</h1><ul><li>+{3}<li>+{1}<li><a>+{2}</a><li><a>+{5}</a><li><a>+{1}</a></ul><p>+{2}<p>+{75}<p><a>+{12}</a></article><div>-{25}</div><div>-{7}</div><div>-{110}</div>",
+    "<p>-{15}<article><p><a>+{4}</a><p><a>+{30}</a><p>+{55}<h3>+{4}</h3><p>+{6}<table><tr><td>+{1}<td>+{2}<td><a>+{1}</a><tr><td>+{9}<td>+{33}</table></article><p>-{4}<p>-{50}<p>-{17}",
+    "<div><a>-{3}</a></div><p>-{28}<article><h2>+{12}</h2><p>+{150}<p>+{35} <a>{30}</a><p>+{5} <a>{5}</a><p>+{11}<p>+{1}<p>+{95}</article><p>-{70}<p>-{22}<div><a>-{2}</a></div>",
+    "<article><h1>+{3}</h1><p><a>+{2}</a><p><a>+{2}</a><p><a>+{1}</a><p>+{48}<p>+{7}<div class=share>-{4}</div><div class=tags><a>-{1}</a></div><div class=newsletter>-{40}</div></article><p>-{45}<p>-{9}",
+    # no article and no main element: text of low density, headings and short lines beside it, links in rows around
+    "<div><a>-{1}</a></div><div><a>-{2}</a></div><div><a>-{1}</a></div><h1>+{8}</h1><p>+{60}<p>+{25}<p>+{3}<p>+{70} <a>{4}</a><p>+{14}<p>+{40}<div><a>-{2}</a></div><div><a>-{3}</a></div><div>-{2} <a>{2}</a></div>",
+    "<td><a>-{2}</a><td><a>-{1}</a><td><a>-{4}</a><tr><td>+{90} <a>{9}</a><tr><td>+{80}<tr><td>+{6}<tr><td>+{45}<tr><td><a>-{1}</a> {1}<tr><td><a>-{2}</a>",
+    "<div><a>-{1}</a></div><div>-{3}</div><div><a>-{2}</a></div><div>-{1}</div><div><a>-{1}</a></div><h2>+{11}</h2><div>+{30}</div><div>+{21}</div><div>+{24}</div><div><a>-{6}</a></div><div>-{4}</div><div><a>-{1}</a></div>",
+    "<p>+{30}", "<h1>+{3}</h1><p>+{22}", "<p>+{20}<p>+{12}<p>+{2}", "<h1>+{5}</h1><p>+{15}<p><a>-{3}</a><p><a>-{1}</a><p><a>-{2}</a>", "<p>+{12}", "<p><a>-{30}</a> {8}<p>+{40}<p>+{22} <a>{9}</a><p>+{25}<p>-{4} <a>{9}</a><p><a>-{2}</a>",
+    "<div><a>-{4}</a></div><div>-{2} <a>{3}</a></div><p>+{50}<p>+{45} <a>{6}</a><div><a>-{1}</a></div><div><a>-{2}</a></div><div class=footer>-{15} <a>{2}</a></div>",
+    "<div id=menu><a>-{1}</a><a>-{1}</a></div><div class=sidebar><p>-{30}<p>-{9}</div><p>+{100}<p>+{4}<p>+{60}<div id=footer>-{30}</div>",
 )
 
 
-def grow(rows: tuple[tuple[int, ...], ...], depth: int = 6) -> tuple | int:
-    """A binary decision tree by least Gini impurity: (feature, threshold, at most, above), or a label."""
+def labelled_rows() -> tuple[tuple[int, ...], ...]:
+    """The labelled pages' blocks as rows of FEATURES and the label."""
+    rows = []
+    for page in LABELLED:
+        found = blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page))
+        rows += [(*x, int(b.text[0] == "+")) for b, x in zip(found, features(found), strict=True)]
+    return tuple(rows)
+
+
+def grow(rows: tuple[tuple[int, ...], ...], depth: int = 6, least: int = 3) -> tuple | int:
+    """A binary decision tree by least Gini impurity with ``least`` rows a leaf: (feature, threshold, at most, above), or a label."""
     ones = sum(r[-1] for r in rows)
-    if depth == 0 or ones in (0, len(rows)):
-        return int(2 * ones >= len(rows))
     best = None
-    for f in range(len(FEATURES)):
+    for f in range(len(FEATURES) if depth and ones not in (0, len(rows)) else 0):
         values = sorted({r[f] for r in rows})
         for low, high in zip(values, values[1:], strict=False):
             cut = (low + high) / 2
+            sides = [r for r in rows if r[f] <= cut], [r for r in rows if r[f] > cut]
+            if min(map(len, sides)) < least:
+                continue
             cost = 0.0
-            for side in ([r for r in rows if r[f] <= cut], [r for r in rows if r[f] > cut]):
+            for side in sides:
                 p = sum(r[-1] for r in side) / len(side)
                 cost += len(side) * p * (1 - p)
             if best is None or cost < best[0] - 1e-12:
-                best = (cost, f, cut)
+                best = (cost, f, cut, sides)
     if best is None:
         return int(2 * ones >= len(rows))
-    _, f, cut = best
-    return f, cut, grow(tuple(r for r in rows if r[f] <= cut), depth - 1), grow(tuple(r for r in rows if r[f] > cut), depth - 1)
+    _, f, cut, (low, high) = best
+    low, high = (grow(tuple(x), depth - 1, least) for x in (low, high))
+    return low if low == high and isinstance(low, int) else (f, cut, low, high)
 
 
 @functools.cache
 def tree() -> tuple | int:
-    return grow(LABELLED)
+    return grow(labelled_rows())
 
 
 def decide(node: tuple | int, x: tuple[int, ...]) -> int:
@@ -115,14 +126,33 @@ def decide(node: tuple | int, x: tuple[int, ...]) -> int:
     return node
 
 
+def _is_furniture(name: str) -> bool:
+    """Whether a name of class, id or role is one of page furniture."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    if any(p in BOILER_WORDS for p in parts):
+        return True
+    heads = [p in BOILER_HEADS for p in parts]
+    return any(heads) and (len(parts) == 1 or (len(parts) == 2 and (heads[1] or parts[1] in PLACES)) or all(h or p in PLACES for h, p in zip(heads, parts, strict=True)))
+
+
 def _flags(name: str, attributes: str) -> tuple[bool, bool]:
     """(page furniture, article) as an element's name and its class, id and role say."""
-    if not attributes:
-        return name in BOILER_TAGS, name in MAIN_TAGS
-    named = [_WORD.findall((a or b or c).lower()) for a, b, c in _NAMES.findall(attributes)]
-    words = {w for ws in named for w in ws}
-    furniture = name in BOILER_TAGS or bool(words & BOILER_WORDS) or bool(_HIDDEN.search(attributes))
-    return furniture and name not in ("html", "body"), name in MAIN_TAGS or (bool(words & MAIN_WORDS) and not furniture and name not in ("html", "body"))
+    furniture, main = name in BOILER_TAGS, name in MAIN_TAGS
+    if attributes and name not in ("html", "body"):
+        names = [n for found in _NAMES.findall(attributes) for x in found for n in x.split()]
+        furniture = furniture or any(map(_is_furniture, names)) or bool(_HIDDEN.search(attributes))
+        main = main or (not furniture and any(p.lower() in MAIN_WORDS for n in names for p in _PARTS.findall(n)))
+    return furniture, main
+
+
+def _closing(page: str, name: str, at: int) -> int:
+    """Where the element that opens before ``at`` has been closed, or ``at`` if it never is."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if depth == 0:
+            return m.end()
+    return at
 
 
 def blocks(page: str) -> list[Block]:
@@ -159,6 +189,10 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
+        if name in DROPPED:
+            if not ending and not attributes.endswith("/"):
+                at = _closing(page, name, at)
+            continue
         if name in INLINE:
             if name == "a":
                 in_link = 0 if ending else 1
@@ -188,21 +222,19 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def features(found: list[Block]) -> list[tuple[int, ...]]:
+    """A row of FEATURES for each block of a page."""
+    has_main = int(any(b.main and not b.boiler for b in found))
+    sizes = [(0, 0), *((b.words, 100 * b.linked // b.words) for b in found), (0, 0)]
+    return [(int(b.boiler), int(b.main), has_main, int(b.heading), *sizes[i + 1], *sizes[i], *sizes[i + 2]) for i, b in enumerate(found)]
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
     """The main text, and how many blocks the page has and how many of them were kept."""
     if not page:
         return "", 0, 0
-    found = blocks(page)
-    grown, has_main = tree(), int(any(b.main and not b.boiler for b in found))
-    words = [b.words for b in found]
-    density = [100 * b.linked // b.words for b in found]
-    kept = []
-    for i, b in enumerate(found):
-        before, after = i > 0, i + 1 < len(found)
-        x = (words[i], density[i], words[i - 1] if before else 0, density[i - 1] if before else 0, words[i + 1] if after else 0,
-             density[i + 1] if after else 0, int(b.boiler), int(b.main), int(b.heading), has_main)
-        if decide(grown, x):
-            kept.append(b.text)
+    found, grown = blocks(page), tree()
+    kept = [b.text for b, x in zip(found, features(found), strict=True) if decide(grown, x)]
     return "\n\n".join(kept), len(found), len(kept)
 
 
