@@ -2,7 +2,7 @@
 
 A document of n tokens costs n linear units and n * n / capacity attention units. Whole stretches of ``capacity``
 tokens become sequences of their own where the text is tokenised; the rests are dealt evenly into groups of
-about ``group_chars`` characters' worth, and each group is packed by itself: rests in descending length, each to
+about ``group_chars`` bytes' worth, and each group is packed by itself, a task going through its groups one at a time: rests in descending length, each to
 the sequence of lowest cost that has room for it; a rest that fits nowhere whole is cut into the rooms left, cheapest
 sequence first. A group opens as few sequences as its tokens need, so it pads less than one sequence.
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import text_slices
+from .shared import partitions
 
 #: Characters of text in one packing group: it bounds a task's memory at every size of input.
 GROUP_CHARS = 16_000_000
@@ -49,6 +50,23 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: f
     return pieces
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Each group's rows, from batches in the order of the column group."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for b in batches:
+        group = b.column("group").to_numpy()
+        cut = np.append(np.flatnonzero(np.diff(group, prepend=group[:1] - 1)), len(group)) if len(group) else []
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            if group[s] != at and held:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = int(group[s])
+            held.append(b.slice(s, e - s))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, group_chars: int = GROUP_CHARS,
     doc_id: str = "doc_id", text: str = "text",
@@ -56,8 +74,9 @@ def pack(
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32, cost."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     groups = max(1, -(-total // group_chars))
+    tasks = min(groups, partitions(docs.sparkSession))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import bpe
@@ -89,33 +108,30 @@ def pack(
         from . import bpe
 
         wide = np.uint16 if max(len(bpe.load(tokenizer).strings), end_id + 1) <= 1 << 16 else np.uint32
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        # the order rows arrive in is not fixed; the order of packing is
-        table = table.sort_by([("length", "descending"), ("serial", "ascending")])
-        length = table["length"].to_numpy()
-        full = int((length == capacity).sum())
-        first = TaskContext.get().partitionId() << 32
-        start, rest = table["start"].to_numpy(), table["rest"]
-        out = [(i, 0, capacity, i, 0) for i in range(full)]
-        out += [(i + full, s, n, q + full, o) for i, s, n, q, o in assign(length[full:], capacity)]
-        crc = table["crc"].slice(0, full).to_pylist()
-        ids: dict[int, np.ndarray] = {}
-        for i, s, n, _, _ in out[full:]:
-            if s == 0:
-                ids = {i: np.frombuffer(rest[i].as_py(), wide).astype("<u4")}
-            crc.append(zlib.crc32(ids[i][s : s + n].tobytes()))
-        item, inner, size, sequence, offset = (np.array(x, np.int64) for x in zip(*out, strict=True))
-        take = pa.array(item)
-        result = pa.table({
-            "doc_id": table["doc_id"].take(take), "start": start[item] + inner, "length": size,
-            "doc_tokens": table["doc_tokens"].take(take), "sequence_id": sequence + first, "offset": offset,
-            "ids_crc32": pa.array(crc, pa.int64()), "cost": size + size * size / capacity,
-        })
-        yield from result.to_batches(max_chunksize=10_000)
+        for group, table in _groups(batches):
+            # the order rows arrive in is not fixed; the order of packing is
+            table = table.sort_by([("length", "descending"), ("serial", "ascending")])
+            length = table["length"].to_numpy()
+            full = int((length == capacity).sum())
+            start, rest = table["start"].to_numpy(), table["rest"]
+            out = [(i, 0, capacity, i, 0) for i in range(full)]
+            out += [(i + full, s, n, q + full, o) for i, s, n, q, o in assign(length[full:], capacity)]
+            crc = table["crc"].slice(0, full).to_pylist()
+            ids: dict[int, np.ndarray] = {}
+            for i, s, n, _, _ in out[full:]:
+                if s == 0:
+                    ids = {i: np.frombuffer(rest[i].as_py(), wide).astype("<u4")}
+                crc.append(zlib.crc32(ids[i][s : s + n].tobytes()))
+            item, inner, size, sequence, offset = (np.array(x, np.int64) for x in zip(*out, strict=True))
+            take = pa.array(item)
+            result = pa.table({
+                "doc_id": table["doc_id"].take(take), "start": start[item] + inner, "length": size,
+                "doc_tokens": table["doc_tokens"].take(take), "sequence_id": sequence + (group << 32), "offset": offset,
+                "ids_crc32": pa.array(crc, pa.int64()), "cost": size + size * size / capacity,
+            })
+            yield from result.to_batches(max_chunksize=10_000)
 
     pieces = rows.mapInArrow(tokenised, f"serial long, doc_id {kind}, start long, length long, doc_tokens long, crc long, rest binary")
-    return pieces.repartition(groups, "serial").mapInArrow(
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("serial"), F.lit(groups)))
+    return dealt.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(
         packed, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, cost double")
