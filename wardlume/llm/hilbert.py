@@ -3,7 +3,8 @@
 Several metadata columns are quantised to ``bits`` bits each by their own quantiles, the cells are numbered
 along a Hilbert curve, rows are sorted by that number, and the sorted sequence is cut into runs of equal row
 count (law ``rows``) or near equal bytes (law ``bytes``). Each run then covers a small box in every dimension, so the
-minimum and maximum of each column in a shard's files let readers skip it.
+minimum and maximum of each column in a shard's files let readers skip it. Cells are spread over the whole range of
+every axis, so a column of few values counts as much along the curve as one of many.
 
 Defined results: null metadata counts as the smallest value; a null text has size 1; equal rows take consecutive
 places; an empty table gives an empty result. Columns that clash with the operator's own are not carried along.
@@ -23,26 +24,53 @@ LAWS = ("rows", "bytes")
 
 
 def ordered_number(df: DataFrame, name: str) -> Column:
-    """A long that keeps the column's order: numbers as they are, strings by their first seven bytes."""
+    """A double that keeps the order of a column of numbers, dates or booleans; null counts as the smallest."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.coalesce(F.col(name), F.lit("")).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return F.coalesce(F.col(name).cast("long"), F.lit(-(1 << 62)))
+    x = F.unix_micros(F.col(name).cast("timestamp")) if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) else F.col(name)
+    return F.coalesce(x.cast("double"), F.lit(float("-inf")))
 
 
-def quantised(df: DataFrame, columns: list[str], bits: int) -> list[Column]:
-    """For each column the number of inner quantile bounds that lie below its value: 0 to 2**bits - 1.
+def string_cells(df: DataFrame, name: str, bits: int) -> DataFrame:
+    """(value, cell): each distinct string's cell, by the share of rows whose string is smaller. Null counts as the empty string.
 
-    The bounds are one row of mergeable quantile summaries over all rows, 2**bits - 1 numbers a column.
+    Strings are compared whole. Their counts are range partitioned, places are summed within partitions and offset by partition totals.
     """
+    counts = df.groupBy(F.coalesce(F.col(name), F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(partitions(df.sparkSession), "value").sortWithinPartitions("value")
+    placed = written(ranged.withColumn("at", F.monotonically_increasing_id()), "values").withColumn("part", F.shiftright("at", 33))
+    totals = placed.groupBy("part").agg(F.sum("n").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = totals.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    whole = totals.agg(F.sum("rows")).first()[0] or 1
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    x = placed.join(F.broadcast(offsets), "part").withColumn("smaller", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return x.select("value", F.floor(F.col("smaller") * (1 << bits) / whole).cast("int").alias("cell"))
+
+
+def quantised(df: DataFrame, columns: list[str], bits: int) -> tuple[DataFrame, list[Column]]:
+    """The table with what the cells need, and for each column its cell, spread over 0 to 2**bits - 1.
+
+    A number's cell is the share of the column's quantile bounds below it; the bounds are one row of mergeable summaries over all rows,
+    2**bits - 1 numbers a column. A string's cell is looked up by its whole value.
+    """
+    top = (1 << bits) - 1
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(ordered_number(df, c), cuts, 10_000).alias(f"q{k}") for k, c in enumerate(columns)]).first()
-    out = []
+    numbers = [c for c in columns if not isinstance(df.schema[c].dataType, T.StringType)]
+    row = df.agg(*[F.percentile_approx(ordered_number(df, c), cuts, 10_000).alias(f"q{columns.index(c)}") for c in numbers]).first() if numbers else {}
+    cells, out = {}, []
+    for k, c in enumerate(columns):
+        if c in numbers:
+            bounds = sorted(set(row[f"q{k}"] or []))
+            x = ordered_number(df, c)
+            below = reduce(lambda s, b: s + (x > F.lit(b)).cast("int"), bounds, F.lit(0))
+            out.append(F.floor(below * top / max(1, len(bounds))).cast("int"))
+        else:
+            cells[c] = string_cells(df, c, bits).withColumnsRenamed({"value": f"_value{k}", "cell": f"_cell{k}"})
+            out.append(F.col(f"_cell{k}"))
     for k, c in enumerate(columns):
-        bounds = sorted(set(row[f"q{k}"] or []))
-        x = ordered_number(df, c)
-        out.append(reduce(lambda s, b: s + (x > F.lit(b)).cast("int"), bounds, F.lit(0)))
-    return out
+        if c in cells:
+            df = df.join(cells[c], F.coalesce(df[c], F.lit("")) == F.col(f"_value{k}"))
+    return df, out
 
 
 def hilbert_index(axes: list[str], bits: int) -> list[tuple[str, Column]]:
@@ -93,14 +121,14 @@ def hilbert_shards(
     """
     if law not in LAWS:
         raise ValueError(f"law is one of {LAWS}")
-    body = text_or_empty(text)
     axes = [f"_axis{k}" for k in range(len(columns))]
-    df = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        *[q.alias(a) for q, a in zip(quantised(docs, columns, bits), axes, strict=True)],
-    )
+    body = text_or_empty(text)
+    named = [f"_column{k}" for k in range(len(columns))]
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+        *[F.col(c).alias(n) for c, n in zip(columns, named, strict=True)])
+    rows, cells = quantised(rows, named, bits)
+    df = rows.select("doc_id", "size", "text_crc32", *[q.alias(a) for q, a in zip(cells, axes, strict=True)])
     for name, step in hilbert_index(axes, bits):
         df = df.withColumn(name, step)
     df = df.select("doc_id", "size", "text_crc32", "curve")
