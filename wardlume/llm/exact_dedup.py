@@ -1,9 +1,9 @@
 """Exact dedup: a tree merge of digest runs, in DataFrame operations only.
 
 Every document becomes a 256-bit digest of its text without separators, with a second check (length and 64-bit
-hash of the same text). A run is one partition's digests, not sorted. Runs are merged in rounds: in each round the runs
-whose numbers agree but for their lowest bits meet, are merged by digest, and keep for each digest the verified
-smallest identifier (most code points first, then smallest doc_id) and the group's size. Digests are dealt into
+hash of the same text). A run is one partition's digests in order. Runs are merged in rounds: in each round the runs
+whose numbers agree but for their lowest bits go to one task, are put in one order and merged by digest as neighbours, and keep for
+each digest the verified smallest identifier (most code points first, then smallest doc_id) and the group's size. Digests are dealt into
 as many ranges as the shuffle has partitions, each with a merge tree of its own, so no root ever holds all digests.
 On the way down every run hears its parent's answer, so a group that holds a third of all rows stays spread over
 its runs: no join has the bare digest as its key before the group has shrunk to one row per run.
@@ -39,6 +39,11 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
+def _exchanged(runs: DataFrame) -> DataFrame:
+    """Whole runs, each range's in one task and in the order of their digests: the merge needs no other shuffle or sort."""
+    return runs.repartition(partitions(runs.sparkSession), "range", "run").sortWithinPartitions("range", "run", *KEY)
+
+
 def _merge(runs: DataFrame, by: list[str]) -> DataFrame:
     """Merge the runs that share ``by``: of equal digests the best document, and how many there are."""
     return runs.groupBy(*by, *KEY).agg(
@@ -62,7 +67,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fan
     while n_runs > 1:
         n_runs = -(-n_runs // fan_in)
         up = levels[-1].withColumn("run", F.floor(F.col("run") / fan_in))
-        levels.append(written(_merge(up, ["range", "run"]), "digest-level"))
+        levels.append(written(_merge(_exchanged(up), ["range", "run"]), "digest-level"))
     # down: each run learns its group's root
     told = levels[-1].select("range", "run", *KEY, F.col("doc_id").alias("keep_id"), F.col("n_points").alias("keep_points"), "group_size")
     for level in reversed(levels[:-1]):
