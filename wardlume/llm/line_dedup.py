@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .set_join import Spec, attainable, classes_of, comparable, corpus, earlier_pairs, levels_of, reachable, set_table, shared_prefixes, similar, survey
-from .shared import release, written
+from .shared import release, unused, written
 
 
 def _open_pairs(entries: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
@@ -57,10 +57,12 @@ def later_matches(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     return lines
 
 
-def line_dedup(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input with later matches cut out of ``text``, and ``removed_lines`` (array of line numbers, ascending)."""
-    drop = later_matches(docs, percent, doc_id, text).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed_lines"))
-    gone = F.coalesce(F.col("removed_lines"), F.array().cast("array<bigint>"))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("removed_lines"), i.cast("long"))), "\n")
-    return docs.drop("removed_lines").join(drop.withColumnRenamed("doc", "_drop_doc"), F.col(doc_id).cast("long") == F.col("_drop_doc"), "left").withColumns({
-        text: F.when(F.col("removed_lines").isNotNull(), kept).otherwise(F.col(text)), "removed_lines": gone}).drop("_drop_doc")
+def line_dedup(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text", removed: str = "removed_lines") -> DataFrame:
+    """The input with later matches cut out of ``text``, and ``removed`` (array of line numbers, ascending), in place of a column of that name."""
+    docs = docs.drop(removed)
+    owner, gone = unused(docs, "owner"), unused(docs, "gone")
+    drop = later_matches(docs, percent, doc_id, text).groupBy(F.col("doc").alias(owner)).agg(F.sort_array(F.collect_set("line")).alias(gone))
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long")))
+    return docs.join(drop, F.col(doc_id).cast("long") == F.col(owner), "left").withColumns({
+        text: F.when(F.col(gone).isNotNull(), F.array_join(lines, "\n")).otherwise(F.col(text)),
+        removed: F.coalesce(F.col(gone), F.array().cast("array<bigint>"))}).drop(owner, gone)

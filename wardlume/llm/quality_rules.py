@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SEPARATOR_CLASS, WORD_CLASS, text_or_empty
+from .shared import SEPARATOR_CLASS, WORD_CLASS, text_or_empty, unused
 
 #: Very common function words of the four languages of the corpus.
 STOP_WORDS = {
@@ -141,9 +141,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
         return F.struct(*[c[n].alias(n) for n in COUNTS], failed.alias("base_failed"), kept.alias("kept"))
 
     carried = [c for c in docs.columns if c not in COUNTS + VERDICTS]
-    name = "_judged"
-    while name in carried:
-        name += "_"
+    name = unused(docs, "judged")
     df = docs.select(*[docs[c] for c in carried], _let(counts(text_or_empty(docs[text])), verdict).alias(name))
     # never null: no second look at the counts to see whether they are
     made = [F.coalesce(F.col(name)[c], F.lit(0).cast("long")).alias(c) for c in COUNTS] + [F.coalesce(F.col(name)[c], F.lit(False)).alias(c) for c in VERDICTS]
