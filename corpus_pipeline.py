@@ -1,7 +1,11 @@
 """A training-data pipeline over ``documents``: quality rules, line dedup, near-duplicate removal, packing.
 
 Each stage works on all that its predecessor kept, written as Parquet in between. No stage but the first is expressible
-in SQL on whole tables (similarity joins, tokenizers), so the pipeline has no oracle and is tested against brute force.
+in SQL on whole tables (similarity joins, tokenizers), so the pipeline has no oracle; each stage is tested against brute force.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names are taken as the stages' operators say. A document
+with a null, empty or wordless text is rejected by the quality rules. One that line dedup leaves without a word, as all its
+lines are in earlier documents, is dropped there: it has nothing left that packing could use.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlume.llm import line_dedup, ngram_join, packing, quality_rules
-from wardlume.llm.shared import written
+from wardlume.llm.shared import WORD_CLASS, unused, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs)
+    """Documents without the lines that an earlier line matches, unless no word is left; n_chars follows the text."""
+    removed = unused(docs, "removed_lines")
+    out = line_dedup.line_dedup(docs, removed=removed).filter((F.size(removed) == 0) | F.col("text").rlike(WORD_CLASS))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
