@@ -184,3 +184,23 @@ def test_streaming_rate_limit_equals_batch(spark, tmp_path):
     got = {r["event_id"]: r["allowed"] for r in spark.table("limited").collect()}
     batch = ledger.rate_limited(spark.createDataFrame(rows, "key string, event_id long, at double").withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long"))), "key", "ts", 3, 4.0)
     assert got == {r["event_id"]: r["allowed"] for r in batch.collect()}
+
+
+def test_streaming_state_ends(spark, tmp_path):
+    import time
+
+    from wardlume.streaming.jobs import failure_window
+
+    schema = "key string, event_id long, at double, failed boolean"
+    spark.createDataFrame([("a", i, float(i), True) for i in range(4)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = failure_window(events, most=2, seconds=60.0, idle=1).writeStream.format("memory").queryName("windows").outputMode("append").trigger(processingTime="1 second").start()
+    left = None
+    for _ in range(120):
+        time.sleep(0.5)
+        states = [o["numRowsTotal"] for o in (q.lastProgress or {}).get("stateOperators", [])]
+        left = states[0] if states else left
+        if left == 0 and spark.table("windows").count() == 4:
+            break
+    q.stop()
+    assert left == 0 and [r["blocked"] for r in spark.table("windows").orderBy("event_id").collect()] == [False, False, True, True]

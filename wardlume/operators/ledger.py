@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,52 +82,63 @@ def trailing(rows: DataFrame, keys: list[str], at: str, hours: int, cap: int) ->
     return rows.withColumn("in_window", F.count("*").over(w) - 1).withColumn("allowed", F.col("in_window") < cap)
 
 
+def folded(rows: DataFrame, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], schema: str) -> DataFrame:
+    """A fold over each key's rows (key first, then the columns of order) that carries only its state from batch to batch.
+
+    ``step`` changes the state and returns a row of the schema. Spark deals rows by key and sorts them, spilling if need be; a key with a
+    large share of all rows takes one task long, but no more memory than a batch.
+    """
+    key = rows.columns[0]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = object(), None
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                now = None if pd.isna(r[0]) else r[0]
+                if now != at:
+                    at, state = now, start()
+                out.append(step(state, r))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def balances(ledger: DataFrame) -> DataFrame:
     """Replay of a signed ledger in order: debits that the balance does not cover are refused, a key is spent or granted once, a
     reversal takes back what is there and reports the shortfall. A fold over one wallet's entries."""
+    once = F.col("kind").isin("spend_once", "grant_once", "purchase") & (F.coalesce("ref", F.lit("")) != "")
+    nth = F.row_number().over(Window.partitionBy("user_id", "kind", "ref").orderBy("at", "id"))
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        balance, seen, rows = 0, set(), []
-        for r in pdf.sort_values(["at", "id"]).itertuples():
-            amount, applied, short = int(r.amount), 0, 0
-            once = r.kind in ("spend_once", "grant_once", "purchase")
-            key = (r.kind, r.ref) if once and isinstance(r.ref, str) and r.ref else None
-            if key is not None and key in seen:
-                pass
-            elif r.kind == "reversal":
-                applied = -min(balance, -amount)
-                short = -amount + applied
-            elif amount >= 0 or balance + amount >= 0:
-                applied = amount
-            if key is not None:
-                seen.add(key)
-            balance += applied
-            rows.append((r.user_id, r.id, applied, short, balance))
-        return pd.DataFrame(rows, columns=["user_id", "id", "applied", "shortfall", "balance"])
-
-    return ledger.select("user_id", "id", "at", "kind", "amount", "ref").groupBy("user_id").applyInPandas(replay, "user_id long, id long, applied long, shortfall long, balance long")
+    def step(wallet: dict, r: tuple) -> tuple:
+        amount, applied, short = int(r.amount), 0, 0
+        if r.kind == "reversal":
+            applied = -min(wallet["balance"], -amount)
+            short = -amount + applied
+        elif not r.again and (amount >= 0 or wallet["balance"] + amount >= 0):
+            applied = amount
+        wallet["balance"] += applied
+        return r.user_id, r.id, applied, short, wallet["balance"]
+
+    x = ledger.select("user_id", "id", "at", "kind", "amount", (once & (nth > 1)).alias("again"))
+    return folded(x, ["at", "id"], lambda: {"balance": 0}, step, "user_id long, id long, applied long, shortfall long, balance long")
 
 
 def rate_limited(events: DataFrame, key: str, at: str, most: int = 60, seconds: float = 60.0) -> DataFrame:
     """Each request with whether it was let through: ``most`` in any ``seconds``; a request that is refused does not count."""
     kind = events.schema[key].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        window, out = deque(), []
-        pdf = pdf.sort_values(["s", "i"])
-        for s in pdf["s"]:
-            while window and window[0] <= s - seconds:
-                window.popleft()
-            ok = len(window) < most
-            if ok:
-                window.append(s)
-            out.append(ok)
-        return pdf[["k", "i"]].assign(allowed=out)
+    def step(window: deque, r: tuple) -> tuple:
+        while window and window[0] <= r.s - seconds:
+            window.popleft()
+        ok = len(window) < most
+        if ok:
+            window.append(r.s)
+        return r.k, r.i, ok
 
     x = events.select(F.col(key).alias("k"), F.col("event_id").alias("i"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("s"))
-    return x.groupBy("k").applyInPandas(fold, f"k {kind}, i long, allowed boolean").withColumnsRenamed({"k": key, "i": "event_id"})
+    return folded(x, ["s", "i"], deque, step, f"k {kind}, i long, allowed boolean").withColumnsRenamed({"k": key, "i": "event_id"})
 
 
 def monitors_due(sites: DataFrame, as_of: Column, stale_seconds: int = 900, most_failures: int = 5) -> DataFrame:

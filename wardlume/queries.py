@@ -189,24 +189,24 @@ def long_sentences(spark, sf):
 
 def _vote_sql(words) -> str:
     # words are counted one by one: the lists hold no word that is part of another's boundary
-    parts = [f"len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({_values(ws)})))" for _, ws in words]
+    parts = [f"len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({_values(ws)})))" for _, ws in words]
     return ", ".join(f"{p} AS {c}" for p, (c, _) in zip(parts, words, strict=True))
 
 
-@query(f"""WITH v AS (SELECT doc_id, {_vote_sql(fixed_values.LANGUAGE_WORDS)} FROM documents WHERE text IS NOT NULL), b AS (SELECT *, greatest(en, fr, es, de, it) AS best FROM v)
+@query(f"""WITH v AS (SELECT doc_id, {_vote_sql(fixed_values.LANGUAGE_WORDS)} FROM documents), b AS (SELECT *, greatest(en, fr, es, de, it) AS best FROM v)
 SELECT doc_id, en, fr, es, de, it, CASE WHEN best = 0 THEN NULL WHEN en = best THEN 'en' WHEN fr = best THEN 'fr' WHEN es = best THEN 'es' WHEN de = best THEN 'de' ELSE 'it' END AS language,
   round(CASE WHEN best = 0 THEN 0 ELSE least(0.85, 0.3 + 0.05 * best) END, 2)::DOUBLE AS confidence FROM b""")
 def language_vote(spark, sf):
-    votes = language.language_votes(F.col("text"))
-    d = table(spark, sf, "documents").filter("text is not null").select("doc_id", *[n.cast("long").alias(c) for c, n in votes.items()])
+    votes = language.language_votes(F.coalesce("text", F.lit("")))
+    d = table(spark, sf, "documents").select("doc_id", *[n.cast("long").alias(c) for c, n in votes.items()])
     named = {c: F.col(c) for c in votes}
     return d.withColumns({"language": language.winner(named), "confidence": F.round(language.vote_confidence(F.greatest(*named.values())), 2)})
 
 
-@query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '[\x{3040}-\x{30FF}]')) AS ja, len(regexp_extract_all(text, '\p{Cyrillic}')) AS ru FROM documents WHERE text IS NOT NULL)
+@query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '[\x{3040}-\x{30FF}]')) AS ja, len(regexp_extract_all(text, '\p{Cyrillic}')) AS ru FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
 SELECT doc_id, letters, CASE WHEN letters > 0 AND ja > 0 AND ja::DOUBLE / letters >= 0.6 THEN 'ja' WHEN letters > 0 AND ru > 0 AND ru::DOUBLE / letters >= 0.6 THEN 'ru' END AS script FROM c""")
 def dominant_scripts(spark, sf):
-    d = table(spark, sf, "documents").filter("text is not null")
+    d = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return d.select("doc_id", F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("letters"), language.dominant_script(F.col("text"))["code"].alias("script"))
 
 
@@ -226,9 +226,9 @@ def title_checks(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.title_is_placeholder(t).alias("placeholder"), text.blank(t).alias("empty"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN l = '' THEN 'doc' ELSE l END AS label FROM (SELECT doc_id, trim(left(regexp_replace(trim(regexp_replace(regexp_replace(text, '[/\\:*?"<>|\p{Cc}\p{Cf}\p{Co}]', '', 'g'), '\s+', ' ', 'g')), '^[. ]+', ''), 96)) AS l FROM documents WHERE text IS NOT NULL)""")
+@query(r"""SELECT doc_id, CASE WHEN l = '' THEN 'doc' ELSE l END AS label FROM (SELECT doc_id, trim(left(regexp_replace(trim(regexp_replace(regexp_replace(text, '[/\\:*?"<>|\p{Cc}\p{Cf}\p{Co}]', '', 'g'), '\s+', ' ', 'g')), '^[. ]+', ''), 96)) AS l FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
 def document_labels(spark, sf):
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", text.document_id(F.col("text")).alias("label"))
+    return table(spark, sf, "documents").select("doc_id", text.document_id(F.col("text")).alias("label"))
 
 
 @query("""WITH b AS (SELECT date_trunc('week', max(ts))::DATE AS last FROM events), w AS (SELECT (last - 7 * i::INT)::DATE AS week FROM b, range(12) r(i)),
@@ -412,10 +412,10 @@ def policy_scores(spark, sf):
     return scoring.policy_scores(i, "policy-508-wcag20-aa")
 
 
-@query("""WITH b AS (SELECT DISTINCT l_orderkey % 500 AS doc_id, (l_partkey % 40)::VARCHAR AS issue_key FROM lineitem WHERE l_linenumber % 2 = 0), a AS (SELECT DISTINCT l_orderkey % 500 AS doc_id, (l_partkey % 40)::VARCHAR AS issue_key FROM lineitem WHERE l_linenumber % 2 = 1)
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey::VARCHAR AS issue_key FROM lineitem WHERE l_linenumber % 2 = 0), a AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey::VARCHAR AS issue_key FROM lineitem WHERE l_linenumber % 2 = 1)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.issue_key, b.issue_key) AS issue_key, CASE WHEN a.doc_id IS NULL THEN 'fixed' WHEN b.doc_id IS NULL THEN 'introduced' ELSE 'remaining' END AS state FROM b FULL JOIN a ON a.doc_id = b.doc_id AND a.issue_key = b.issue_key""")
 def issue_deltas(spark, sf):
-    x = table(spark, sf, "lineitem").selectExpr("l_orderkey % 500 as doc_id", "cast(l_partkey % 40 as string) as issue_key", "l_linenumber % 2 as phase")
+    x = table(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "cast(l_partkey as string) as issue_key", "l_linenumber % 2 as phase")
     return findings.issue_delta(x.filter("phase = 0"), x.filter("phase = 1"))
 
 
