@@ -14,6 +14,9 @@ GENERIC_LINK_LABELS = ("click here", "here", "read more", "learn more", "more",
 GENERIC_HEADERS = ("column", "column 1", "column 2", "header", "n/a", "na", "value")
 # Top-level domains that make a bare domain of a link text.
 LINK_DOMAINS = "com|org|net|edu|gov|mil|int|io|co|us|uk|ca|au|de|fr|jp|cn|info|biz|app|dev|ai"
+# Patterns of lines that read like headings, numbered or all in capitals.
+NUMBERED_LINE = r"^(\d+(?:\.\d+){0,5})\s+.+$"
+CAPITAL_LINE = r"^[A-Z0-9][A-Z0-9 \-:&,'\".]+$"
 # Link targets that lead nowhere.
 BROKEN_TARGETS = ("", "#", "http://", "https://")
 PLACEHOLDER_TARGETS = ("http://", "https://", "www.", "mailto:")
@@ -30,6 +33,11 @@ IMAGE_WORDS = (
     "screen shot", "headshot", "snapshot", "image file",
 )
 CAMERA_PREFIXES = ("dscn", "dscf", "dsc", "imgp", "img", "gopr", "screen ?shot", "screenshot", "capture")
+ALT_PATTERNS = (
+    r"^(https?://|www\.|ftp://|file:|data:image/)", r"^([a-zA-Z]:[\\/]|\.{0,2}[\\/])\S+$", r"^\d{2,5}\s*[x×*]\s*\d{2,5}(\s*px)?$",
+    r"^(image|picture|figure|graphic|photo|img)\b.*?\bshown\s+(in|on)\s+(the\s+)?(page|slide|sheet|document|deck|file)(\s*\d+)?\.?$",
+    r"^(image|picture|figure|graphic|photo|img)\b.*?\b(page|slide|sheet)\s*\d+\.?$",
+)
 ALT_BANNED_PREFIXES = ("image of", "picture of", "photo of", "graphic of")
 ALT_BANNED_VALUES = ("decorative", "n/a", "none", "no alt")
 ALT_MAX_CHARS = 140

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,13 +82,8 @@ def alt_is_nondescriptive(c: Column) -> Column:
     """A description that is there but describes nothing: filler, a file name, an address, a size, the kind of image."""
     a = trimmed(F.coalesce(c, F.lit("")))
     low = F.lower(a)
-    kinds = "image|picture|figure|graphic|photo|img"
-    return (a != "") & (
-        low.isin(*fixed.JUNK_ALT) | low.rlike(rf"\.({'|'.join(fixed.IMAGE_EXTENSIONS)})$")
-        | low.rlike(r"^(https?://|www\.|ftp://|file:|data:image/)") | a.rlike(r"^([a-zA-Z]:[\\/]|\.{0,2}[\\/])\S+$")
-        | low.rlike(r"^\d{2,5}\s*[x×*]\s*\d{2,5}(\s*px)?$") | low.rlike(rf"^({_any(fixed.IMAGE_WORDS)})[\s_\-#:]*\d*$")
-        | low.rlike(rf"^({kinds})\b.*?\bshown\s+(in|on)\s+(the\s+)?(page|slide|sheet|document|deck|file)(\s*\d+)?\.?$")
-        | low.rlike(rf"^({kinds})\b.*?\b(page|slide|sheet)\s*\d+\.?$") | low.rlike(rf"^({'|'.join(fixed.CAMERA_PREFIXES)})[\s_\-]?\d+"))
+    patterns = (*fixed.ALT_PATTERNS, rf"\.({'|'.join(fixed.IMAGE_EXTENSIONS)})$", rf"^({_any(fixed.IMAGE_WORDS)})[\s_\-#:]*\d*$", rf"^({'|'.join(fixed.CAMERA_PREFIXES)})[\s_\-]?\d+")
+    return (a != "") & reduce(lambda hit, p: hit | low.rlike(p), patterns, low.isin(*fixed.JUNK_ALT))
 
 
 def alt_verdict(c: Column) -> Column:
@@ -121,11 +118,11 @@ def document_id(c: Column) -> Column:
 def heading_level_of_line(c: Column) -> Column:
     """Level of a line that reads like a heading: numbered, all capitals, or short and ending in a colon; else null."""
     t = trimmed(c)
-    number = F.regexp_extract(t, r"^(\d+(?:\.\d+){0,5})\s+.+$", 1)
+    number = F.regexp_extract(t, fixed.NUMBERED_LINE, 1)
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
     return (F.when((t == "") | (F.length(t) > 120) | t.contains("\n"), F.lit(None).cast("int"))
             .when(number != "", F.least(F.lit(6), F.regexp_count(number, F.lit(r"\.")) + 1))
-            .when((F.length(t) <= 80) & t.rlike(r"^[A-Z0-9][A-Z0-9 \-:&,'\".]+$"), 1).when((words <= 8) & t.endswith(":"), 2))
+            .when((F.length(t) <= 80) & t.rlike(fixed.CAPITAL_LINE), 1).when((words <= 8) & t.endswith(":"), 2))
 
 
 def list_marker(c: Column) -> Column:
