@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe_codec, exact_dedup, hilbert, html_blocks, katz, line_dedup, ngram_join, packing, quality_rules
+from . import bitplane, bpe_codec, exact_dedup, hilbert, html_blocks, katz, line_dedup, ngram_join, packing, quality_rules, whitening
 from .shared import shared_dir
 
 
@@ -75,6 +75,10 @@ def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), scale=256, most=4)
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_katz_backoff": op10_katz_backoff,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 # DuckDB's RE2 has no lone surrogates and splits as Java does here: the class is plain ASCII.
