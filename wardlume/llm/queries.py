@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe_codec, exact_dedup, hilbert, html_blocks, katz, line_dedup, ngram_join, packing, quality_rules, whitening
+from . import bitplane, bpe_codec, divergence, exact_dedup, hilbert, html_blocks, katz, line_dedup, ngram_join, packing, quality_rules, whitening
 from .shared import shared_dir
 
 
@@ -79,6 +79,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), scale=256, most=4)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -91,6 +95,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_katz_backoff": op10_katz_backoff,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 # DuckDB's RE2 has no lone surrogates and splits as Java does here: the class is plain ASCII.
@@ -145,4 +150,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_st
 FROM m
 """
 
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op9_quality_rules": OP9_SQL}
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+w AS (SELECT i, lang, source, unnest(terms) AS term FROM d),
+df AS (SELECT lang, term FROM (SELECT DISTINCT i, lang, term FROM w) GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN df USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+l AS (SELECT lang, sum(total) AS total FROM s GROUP BY ALL),
+lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, df.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * v.v) AS p,
+         1 + (1000000000::HUGEINT * (lc.n + 5)) // (l.total + 5 * v.v) AS q
+  FROM g JOIN df USING (lang) JOIN v USING (lang) JOIN l USING (lang) JOIN lc ON lc.lang = g.lang AND lc.term = df.term
+  LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = df.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, abs(a.p - b.p) FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source),
+items AS (
+  SELECT lang, source, part, item, sum(value)::BIGINT AS value FROM pairs GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM items)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op9_quality_rules": OP9_SQL, "op12_source_divergence": OP12_SQL}
