@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import release, written
 from .shared_tokens import shared_counts
-from .text_sets import TOKEN_MASK, chunks, elements, id_filter, members
+from .text_sets import SHINGLE_WORDS, TOKEN_MASK, chunks, elements, id_filter, members
 
 #: Central sets that a set is verified against before pairs are listed.
 STARS = 2
@@ -52,7 +52,7 @@ def digests(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "doc long, key long, key2 long, n long"), "digests")
 
 
-def set_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def set_table(rows: DataFrame, wanted: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """Written (key, n, tokens) of the wanted classes (doc, key, key2, n), one row each."""
     rows, has = id_filter(rows, wanted)
 
@@ -60,7 +60,7 @@ def set_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for ids, texts in chunks(batches):
             on = np.flatnonzero(has(members(ids)))
             if len(on):
-                e = elements([texts[i] for i in on], lines=False)
+                e = elements([texts[i] for i in on], lines=False, width=width)
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(e.sizes)).astype(np.int32)), pa.array((e.tokens & TOKEN_MASK).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[on[i]] for i in e.row.tolist()], pa.int64()), pa.array(e.keys().view(np.int64)), pa.array(e.keys(1).view(np.int64)), pa.array(e.sizes.astype(np.int64)), tokens],
@@ -177,11 +177,17 @@ def ngram_join(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text:
     cross = cross_pairs(entries, components(near), percent)
     release(spark)
     far = _links(cross, sets, percent)
+    return grouped(all_, classes, near.union(far))
+
+
+def grouped(all_: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Each row of (doc, key, key2, n) with its component, from classes (key, key2, n, doc, copies) and links (a, b) of their keys."""
+    some = all_.filter("n > 0 and doc is not null")
     # sets of rows that share a doc_id are one node
     twice = some.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("most")).filter("a <> most").select("doc", "a")
     same = some.join(twice, "doc").select("a", F.col("key").alias("b"))
-    roots = components(near.union(far).union(same))
-    release(spark)
+    roots = components(links.union(same))
+    release(all_.sparkSession)
     named = classes.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
     named = named.join(named.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("key", "key2", "n", F.col("doc").alias("class_id"), "component_id", "copies")
     found = some.join(named, ["key", "key2", "n"]).select("doc", "n", "component_id", "class_id", "copies")

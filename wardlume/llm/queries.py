@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe_codec, divergence, exact_dedup, hilbert, html_blocks, katz, line_dedup, ngram_join, packing, quality_rules, whitening
+from . import bitplane, bpe_codec, divergence, exact_dedup, hilbert, html_blocks, katz, line_dedup, minhash_forest, ngram_join, packing, quality_rules, whitening
 from .shared import shared_dir
 
 
@@ -83,6 +83,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
 
 
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_dedup(_table(spark, sf_dir, "documents"), percent=85, width=3)
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -96,6 +100,7 @@ QUERIES = {
     "op10_katz_backoff": op10_katz_backoff,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_source_divergence": op12_source_divergence,
+    "op13_minhash_forest": op13_minhash_forest,
 }
 
 # DuckDB's RE2 has no lone surrogates and splits as Java does here: the class is plain ASCII.

@@ -1,7 +1,7 @@
 """Word-shingle sets of documents or lines, hashed for whole batches with numpy; and fixed-size sums over all tasks.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lowered. A set is the distinct five-word shingles of an element;
-an element of fewer words has its whole sequence as its one shingle. Shingles are 58-bit hashes.
+Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lowered. A set is the distinct five-word shingles of an element
+(or shingles of another width that the caller asks for); an element of fewer words has its whole sequence as its one shingle. Shingles are 58-bit hashes.
 """
 
 from __future__ import annotations
@@ -49,10 +49,10 @@ class Elements(NamedTuple):
         return mix(np.add.reduceat(mix((self.tokens & TOKEN_MASK) + U(salt)), self.starts) + self.sizes.astype(U))
 
 
-def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None) -> Elements:
+def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None, width: int = SHINGLE_WORDS) -> Elements:
     """The sets, tokens ascending; with levels (of the sketch's counters) rare tokens come first, then by hash.
 
-    lines: an element is a line, else a whole text, of one word or more.
+    lines: an element is a line, else a whole text, of one word or more. width: words of a shingle.
     """
     parts = [t.encode("utf-8", "replace") for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts])
@@ -69,11 +69,11 @@ def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None) ->
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
     count = np.diff(np.append(first, len(of)))
     name = of[first]
-    n = np.where(count >= SHINGLE_WORDS, count - SHINGLE_WORDS + 1, 1)
+    n = np.where(count >= width, count - width + 1, 1)
     stop = np.cumsum(n)
     total = int(stop[-1]) if len(stop) else 0
     a = np.repeat(first - (stop - n), n) + np.arange(total)
-    h = span_hashes(w, a, a + np.repeat(np.minimum(count, SHINGLE_WORDS), n))
+    h = span_hashes(w, a, a + np.repeat(np.minimum(count, width), n))
     owner = np.repeat(np.arange(len(first)), n)
     token = h >> U(64 - TOKEN_BITS)
     if levels is not None:
