@@ -69,7 +69,7 @@ def test_odd_table(spark):
 def test_merges_when_little_is_held(spark):
     rows = [(" ".join(f"w{(i * j) % 97}" for j in range(40)), "en" if i % 3 else "de", f"s{i % 7}") for i in range(300)]
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(2)
-    found = divergence.divergence(df, least_docs=4, most_terms=5, limits=divergence.Limits(chunk=2000, held=50, cells=20))
+    found = divergence.divergence(df, least_docs=4, most_terms=5, limits=divergence.Limits(chunk=2000, held=50, cells=20, groups=3))
     assert set(rows_of(found)) == brute(rows, 4, 5)
 
 

@@ -30,11 +30,13 @@ from .shared import partitions, written
 
 
 class Limits(NamedTuple):
-    """What a task holds at a time: bytes of text counted at once, rows of counts before they are merged, cells of terms x sources."""
+    """What a task holds at a time: bytes of text counted at once, rows of counts before they are merged, cells of terms x sources; and the most
+    (lang, source) groups that are sent to every task (about 50 bytes each), beyond which they are joined."""
 
     chunk: int = 4_000_000
     held: int = 400_000
     cells: int = 500_000
+    groups: int = 200_000
 
 
 #: Probabilities are in units of 10^-9, with so many occurrences added to each term.
@@ -207,7 +209,10 @@ def divergence(docs: DataFrame, least_docs: int = 30, most_terms: int = 50, text
         "groups")
     langs = groups.groupBy("lang").agg(F.collect_list(F.struct("source", "total")).alias("groups"))
     sized = langs.join(kept.groupBy("lang").agg(F.count("*").alias("terms")), "lang")
-    sums = shard_sums(kept.join(sized, "lang").select("lang", "term", "sources", "counts", "terms", "groups"), most_terms, limits)
+    # a join by language alone would leave the shards' work to as many tasks as there are languages
+    few = groups.count() <= limits.groups
+    spread = kept.join(F.broadcast(sized), "lang") if few else kept.join(sized, "lang").repartition(partitions(docs.sparkSession), "lang", "term")
+    sums = shard_sums(spread.select("lang", "term", "sources", "counts", "terms", "groups"), most_terms, limits)
     sums = sums.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))  # a term is in one shard, a pair in all of them
     sums = written(sums, "divergence-sums")
     pairs = sums.filter("part = 'pair'")
