@@ -139,10 +139,10 @@ def latest_phase(issues: DataFrame) -> DataFrame:
 
 
 def line_changes(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, change, line, n): lines of a text that went or came, as often as they did; texts are cut at 20,000 characters."""
+    """(key, change, line, n): lines of a text that went or came, as often as they did, wherever they stand (``text_diff`` has their places)."""
 
     def lines(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, F.explode(F.split(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 20_000), "\n")).alias("line")).groupBy(key, "line").agg(F.count("*").alias(name))
+        return df.select(key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).groupBy(key, "line").agg(F.count("*").alias(name))
 
     both = lines(before, "b").join(lines(after, "a"), [key, "line"], "full").withColumn("n", F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0)))
     return both.filter("n <> 0").select(key, F.when(F.col("n") > 0, "+").otherwise("-").alias("change"), "line", F.abs("n").alias("n"))

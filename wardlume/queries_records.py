@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import color, fixed_values, text, urls
-from .operators import dashboards, document_checks, findings, ledger, scoring
+from .operators import dashboards, document_checks, findings, ledger, scoring, text_diff
 from .plans import dims, planner
 from .queries_nodes import passing_sql
 from .registry import ORACLES, Derived, pick, query
+from .sources.staging import staged
 from .sources.tables import table
 
 # an order as a document with counters
@@ -278,13 +279,35 @@ def scan_alerts(spark, sf):
     return ledger.alerts(scan_changes(spark, sf)).select("user_id", "url_key", "id")
 
 
-@query("""WITH l AS (SELECT doc_id, doc_id % 2 AS half, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE length(coalesce(text, '')) <= 20000), n AS (SELECT doc_id // 2 AS pair, line, count(*) FILTER (half = 1) - count(*) FILTER (half = 0) AS n FROM l GROUP BY 1, 2)
+@query("""WITH l AS (SELECT doc_id, doc_id % 2 AS half, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), n AS (SELECT doc_id // 2 AS pair, line, count(*) FILTER (half = 1) - count(*) FILTER (half = 0) AS n FROM l GROUP BY 1, 2)
 SELECT pair, CASE WHEN n > 0 THEN '+' ELSE '-' END AS change, md5(line) AS line, abs(n) AS n FROM n WHERE n <> 0""")
 def text_changes(spark, sf):
-    d = table(spark, sf, "documents").filter("length(coalesce(text, '')) <= 20000").withColumn("pair", F.expr("doc_id div 2"))
+    d = table(spark, sf, "documents").withColumn("pair", F.expr("doc_id div 2"))
     return findings.line_changes(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), "pair", "text").withColumn("line", F.md5("line"))
 
 
+# a later version of each document: lines dropped, changed and added by their place; and the document that follows it
+_REVISED = """transform(filter(sequence(1, size(split(text, '\n'))), i -> i % 7 <> 3), i ->
+ CASE WHEN i % 5 = 2 THEN concat('changed ', i) WHEN i % 11 = 4 THEN concat(split(text, '\n')[i - 1], '\nadded ', i) ELSE split(text, '\n')[i - 1] END)"""
+_VERSIONS_SQL = """d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, text AS before, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: i % 7 <> 3), lambda i:
+ CASE WHEN i % 5 = 2 THEN 'changed ' || i WHEN i % 11 = 4 THEN l[i] || chr(10) || 'added ' || i ELSE l[i] END), chr(10)) END AS after FROM d)"""
+
+
+@query(f"""WITH {_VERSIONS_SQL}, p AS (SELECT 2 * doc_id AS pair, before, after FROM r UNION ALL SELECT 2 * a.doc_id + 1, a.text, b.text FROM d a JOIN d b ON b.doc_id = a.doc_id + 1),
+n AS (SELECT *, coalesce(len(string_split(before, chr(10))), 0) AS b, coalesce(len(string_split(after, chr(10))), 0) AS a FROM p)
+SELECT pair, (a - b)::BIGINT AS net, sha256(after) AS after_sha256 FROM n""")
+def text_diffs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    revised = d.selectExpr("2 * doc_id AS pair", "text AS before", f"array_join({_REVISED}, '\n') AS after")
+    following = d.join(d.selectExpr("doc_id - 1 AS doc_id", "text AS after"), "doc_id").selectExpr("2 * doc_id + 1 AS pair", "text AS before", "after")
+    pairs = staged(revised.union(following), "versions")
+    hunks = staged(text_diff.unified_hunks(pairs, "pair"), "hunks")
+    counts = text_diff.unified_texts(hunks, "pair").select("pair", (F.col("added") - F.col("removed")).alias("net"))
+    back = text_diff.patched(pairs, hunks, "pair").select("pair", F.sha2("after", 256).alias("after_sha256"))
+    return back.join(counts, "pair", "left").select("pair", F.coalesce("net", F.lit(0)).cast("long").alias("net"), "after_sha256")
+
+
 # teams, users and jobs: a customer is a user, a nation a team
 USERS = Derived("customer", {"user_id": "c_custkey", "email": "concat(c_name, '@x.org')", "verified": "c_custkey % 3 = 0", "team_id": "c_nationkey", "role": "CASE WHEN c_custkey % 20 = 0 THEN 'owner' ELSE 'member' END"})
 TEAMS = Derived("nation", {"team_id": "n_nationkey", "owner_id": "n_nationkey * 7"})
