@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import remediation, rules, tree_edits
+from .operators import names, remediation, tree_edits
 from .registry import pick, query
-from .sources.html import NODES
+from .sources.html import ELEMENTS, NODES
 from .sources.staging import staged
 from .sources.tables import table
 
@@ -173,3 +172,60 @@ def converted_lists(spark, sf):
     items = fixed.filter("node_type = 'list_item'").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(
         F.count("*").alias("items"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sibling_pos", "text"))), lambda i: i["text"]), "|").alias("texts"))
     return fixed.filter("node_type = 'list'").join(items, ["doc_id", "node_id"]).select("doc_id", F.col("node_id").alias("list_id"), "ordered", "items", "texts")
+
+
+def _elements(spark, rows: DataFrame) -> DataFrame:
+    kinds = dict(spark.createDataFrame([], ELEMENTS).dtypes)
+    return staged(rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]), "elements")
+
+
+def _element(df: DataFrame, pos: str, last: str, parent: str, tag: str, said: str = "''", **attrs: str) -> DataFrame:
+    pairs = [x for k, v in attrs.items() for x in (F.lit(k.rstrip("_").replace("_", "-")), F.expr(v).cast("string"))]
+    made = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    return df.select(F.col("doc").alias("doc_id"), F.expr(pos).alias("pos"), F.expr(last).alias("last"), F.expr(parent).alias("parent"), F.lit(tag).alias("tag"), made.alias("attrs"), F.expr(said).alias("said"), F.lit(False).alias("hidden"))
+
+
+# an order is a form, a line a field: with a label for its id, in a label, after a text, alone, after a label of its own, or not to be filled in; the last in table cells
+def _fields(spark, sf) -> DataFrame:
+    x = _lines(spark, sf).selectExpr("doc", "ln", "pk % 7 AS k", "sk", "10 * ln AS b")
+    of = lambda k: x.filter(f"k = {k}")
+    return _elements(spark, reduce(DataFrame.union, [
+        _element(of(0), "b", "b + 1", "1", "label", "concat('For ', ln)", for_="concat('f', ln)"), _element(of(0), "b + 2", "b + 2", "1", "input", id="concat('f', ln)"),
+        _element(of(1), "b", "b + 1", "1", "label", "'Around'"), _element(of(1), "b + 1", "b + 1", "b", "input", type="'checkbox'"),
+        _element(of(2), "b", "b", "1", "#text", "concat('  Name ', ln, ': ')"), _element(of(2), "b + 1", "b + 1", "1", "select"),
+        _element(of(3), "b", "b", "1", "textarea", aria_label="CASE WHEN sk % 4 = 0 THEN 'Own name' END", title="CASE WHEN sk % 4 = 1 THEN ' ' END"),
+        _element(of(4), "b", "b", "1", "label", "concat('* Label ', ln)"), _element(of(4), "b + 1", "b + 1", "1", "input", type="CASE WHEN sk % 3 = 0 THEN 'Email' END"),
+        _element(of(5), "b", "b", "1", "#text", "'Please enter it.'"), _element(of(5), "b + 1", "b + 1", "1", "input", type="'submit'"),
+        _element(of(6), "b", "b + 4", "2", "tr"), _element(of(6), "b + 1", "b + 1", "b", "td"),
+        _element(of(6), "b + 2", "b + 3", "b", "td"), _element(of(6), "b + 3", "b + 3", "b + 2", "input")]).withColumns({
+            "cell": F.expr("CASE WHEN tag = 'input' AND parent % 10 = 2 AND parent > 2 THEN parent END"), "bare": F.expr("CASE WHEN tag = 'td' AND pos % 10 = 1 THEN CASE WHEN (doc_id + pos) % 3 = 0 THEN 'Cell name' ELSE 'Is it so?' END END")}))
+
+
+@query(f"""WITH l AS ({_LINES}), x AS (SELECT doc, ln, pk % 7 AS k, sk, 10 * ln AS b FROM l),
+f AS (SELECT *, b + CASE k WHEN 0 THEN 2 WHEN 3 THEN 0 WHEN 6 THEN 3 ELSE 1 END AS pos FROM x WHERE k <> 5),
+n AS (SELECT *, lead(k) OVER (PARTITION BY doc, k IN (1, 6) ORDER BY ln) AS next FROM f)
+SELECT doc AS doc_id, pos::INT AS pos, k IN (0, 1) OR (k = 3 AND sk % 4 = 0) AS named,
+ CASE WHEN k = 2 AND (next IS NULL OR next IN (2, 4)) THEN 'Name ' || ln WHEN k = 4 AND (next IS NULL OR next IN (2, 4)) THEN 'Label ' || ln
+  WHEN k = 6 AND (doc + b + 1) % 3 = 0 THEN 'Cell name' END AS label FROM n""")
+def field_labels(spark, sf):
+    e = _fields(spark, sf)
+    fields = staged(names.named_fields(e), "fields")
+    return fields.join(names.derived_labels(e, fields), ["doc_id", "pos"], "left").select("doc_id", "pos", "named", "label")
+
+
+# a line is a link: with text, with a name of its own, by another's id, or with an image or a mark inside
+def _links(spark, sf) -> DataFrame:
+    x = _lines(spark, sf).selectExpr("doc", "ln", "pk % 8 AS k", "sk", "10 * ln AS b")
+    text = "CASE WHEN k = 1 THEN 'Text' WHEN k = 6 AND sk % 2 = 0 THEN 'Buy now' ELSE '' END"
+    return _elements(spark, reduce(DataFrame.union, [
+        _element(x, "b", "b + 2", "1", "a", text, href="CASE WHEN sk % 9 > 0 THEN '/x' END", aria_label="CASE WHEN k = 2 THEN 'Name' WHEN k = 6 THEN 'Press: buy now please' WHEN k = 7 THEN 'Other' END",
+                 aria_labelledby="CASE WHEN k = 3 THEN concat('none t', sk % 3) END", hidden="CASE WHEN k = 0 AND sk % 5 = 0 THEN '' END", role="CASE WHEN k = 0 AND sk % 5 = 1 THEN 'None' END"),
+        _element(x.filter("k = 4"), "b + 1", "b + 1", "b", "img", alt="CASE sk % 3 WHEN 0 THEN 'A view' WHEN 1 THEN '' END"),
+        _element(x.filter("k = 5"), "b + 2", "b + 2", "b", "span", aria_label="CASE WHEN sk % 2 = 0 THEN 'Mark' END"),
+        _element(x.select("doc").distinct(), "5", "5", "1", "p", "'words'", id="'t0'"), _element(x.select("doc").distinct(), "6", "6", "1", "p", id="'t1'")]))
+
+
+@query(f"""WITH l AS ({_LINES}), x AS (SELECT doc, ln, pk % 8 AS k, sk, 10 * ln AS b FROM l)
+SELECT doc AS doc_id, b::INT AS pos FROM x WHERE sk % 9 > 0 AND ((k = 0 AND sk % 5 > 1) OR (k = 3 AND sk % 3 > 0) OR (k = 4 AND sk % 3 = 1) OR (k = 5 AND sk % 2 = 1))""")
+def links_without_names(spark, sf):
+    return names.nameless_links(_links(spark, sf))
