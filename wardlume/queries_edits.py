@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .operators import names, remediation, tree_edits
 from .registry import pick, query
-from .sources.html import ELEMENTS, NODES
+from .sources import html_writer
+from .sources.html import ELEMENTS, NODES, parse_elements
 from .sources.staging import staged
 from .sources.tables import table
 
@@ -229,3 +230,20 @@ def _links(spark, sf) -> DataFrame:
 SELECT doc AS doc_id, b::INT AS pos FROM x WHERE sk % 9 > 0 AND ((k = 0 AND sk % 5 > 1) OR (k = 3 AND sk % 3 > 0) OR (k = 4 AND sk % 3 = 1) OR (k = 5 AND sk % 2 = 1))""")
 def links_without_names(spark, sf):
     return names.nameless_links(_links(spark, sf))
+
+
+# every page's language and title are set and its first-level headings go one level down: all else stays byte for byte
+@query(r"""SELECT page_id AS doc_id, 'written' AS status,
+ sha256(regexp_replace(regexp_replace(regexp_replace(html, '<html lang="[^"]*">', '<html lang="x-' || (page_id % 7) || '">'), '<title>[^<]*</title>', '<title>Page &lt;' || page_id || '&gt; &amp; more</title>'), '<(/?)h1>', '<\1h2>', 'g')) AS html_sha256
+ FROM pages""")
+def rewritten_pages(spark, sf):
+    pages = table(spark, sf, "pages")
+    elements = staged(parse_elements(pages), "elements")
+    nodes = elements.filter("node is not null").select("doc_id", "node.node_id", "node.node_type", "node.level")
+    root, top = nodes.filter("node_type = 'document'"), nodes.filter("level = 1")
+    report = reduce(DataFrame.union, [
+        tree_edits.edits(root, "set", "SET_DOCUMENT_LANGUAGE", node_id=F.col("node_id"), field=F.lit("language"), value=F.expr("concat('x-', doc_id % 7)")),
+        tree_edits.edits(root, "set", "SET_DOCUMENT_TITLE", node_id=F.col("node_id"), field=F.lit("props.title"), value=F.expr("concat('Page <', doc_id, '> & more')")),
+        tree_edits.edits(top, "set", "NORMALIZE_HEADING_LEVEL", node_id=F.col("node_id"), field=F.lit("level"), value=F.lit("2"))]).withColumn("status", F.lit("applied"))
+    out = html_writer.written_pages(pages, html_writer.source_edits(elements, report))
+    return out.select("doc_id", "status", F.sha2("html", 256).alias("html_sha256"))
