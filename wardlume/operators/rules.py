@@ -1,7 +1,8 @@
 """Detection rules: each is a function from the node table to (doc_id, node_id, rule_id, evidence) rows, one per node at most.
 
 ``audit`` runs all of them, or a chosen subset, over one node table. Rules over single nodes are evaluated in one pass; rules with
-an order use windows over a document's reading order, rules over tables and lists grouped aggregates of direct children.
+an order use windows over a document's reading order, rules over tables and lists grouped aggregates of direct children. Every hit carries its
+node's place along, so findings are never joined with all nodes again.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from ..functions import color, text
 from ..plans import dims
 
 KIDS = ("doc_id", "parent_id")
-Rule = Callable[[DataFrame], DataFrame]
+#: Columns of a node that its findings carry.
+PLACE = ("node_type", "path", "bfs_pos", "dfs_pos")
+Rule = Callable[..., DataFrame]
 RULES: dict[str, Rule] = {}
 
 
@@ -33,9 +36,9 @@ def rule(name: str) -> Callable[[Callable[[DataFrame], tuple]], Rule]:
     """Register a function from the node table to (nodes that are hit, evidence columns)."""
 
     def wrap(find: Callable[[DataFrame], tuple]) -> Rule:
-        def run(nodes: DataFrame) -> DataFrame:
+        def run(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             hit, evidence = find(nodes)
-            return hit.select("doc_id", "node_id", F.lit(name).alias("rule_id"), _evidence(evidence).alias("evidence"))
+            return hit.select("doc_id", "node_id", *keep, F.lit(name).alias("rule_id"), _evidence(evidence).alias("evidence"))
 
         RULES[name] = run
         return run
@@ -48,20 +51,27 @@ def node_rule(name: str, *kinds: str) -> Callable[[Callable[[], tuple]], None]:
 
     def wrap(find: Callable[[], tuple]) -> None:
         NODE_RULES[name] = (kinds, find)
-        RULES[name] = lambda nodes: single_node_findings(nodes, [name])
+        RULES[name] = lambda nodes, keep=(): single_node_findings(nodes, [name], keep)
 
     return wrap
 
 
-def single_node_findings(nodes: DataFrame, names: list[str]) -> DataFrame:
+def _hits(rows: DataFrame, keep: tuple[str, ...], cases: list[tuple[str, Column, dict[str, Column]]]) -> DataFrame:
+    """Rows that meet conditions, once for each: conditions first, as bits of one number, evidence only for rows that meet any."""
+    bits = sum((F.when(hit, F.lit(1 << i)).otherwise(0) for i, (_, hit, _) in enumerate(cases)), F.lit(0))
+    found = F.array(*[F.when(F.col("_bits").bitwiseAND(1 << i) > 0, F.struct(F.lit(name).alias("rule_id"), _evidence(evidence).alias("evidence"))) for i, (name, _, evidence) in enumerate(cases)])
+    hit = rows.withColumn("_bits", bits).filter("_bits > 0")
+    return hit.select("doc_id", "node_id", *keep, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("doc_id", "node_id", *keep, "x.rule_id", "x.evidence")
+
+
+def single_node_findings(nodes: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of several node rules in one pass over the table."""
     cases = []
     for n in names:
         kinds, find = NODE_RULES[n]
         hit, evidence = find()
-        cases.append(F.when((F.col("node_type").isin(*kinds) if kinds else F.lit(True)) & hit, F.struct(F.lit(n).alias("rule_id"), _evidence(evidence).alias("evidence"))))
-    found = F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull()))
-    return nodes.select("doc_id", "node_id", found.alias("x")).select("doc_id", "node_id", "x.rule_id", "x.evidence")
+        cases.append((n, F.col("node_type").isin(*kinds) & hit if kinds else hit, evidence))
+    return _hits(nodes, keep, cases)
 
 
 def of(nodes: DataFrame, *kinds: str) -> DataFrame:
@@ -132,20 +142,23 @@ TABLE_RULES: dict[str, Callable[[], tuple[Column, dict[str, Column]]]] = {}
 def table_rule(name: str) -> Callable[[Callable[[], tuple]], None]:
     def wrap(find: Callable[[], tuple]) -> None:
         TABLE_RULES[name] = find
-        RULES[name] = lambda nodes: table_findings(nodes, [name])
+        RULES[name] = lambda nodes, keep=(): table_findings(nodes, [name], keep)
 
     return wrap
 
 
-def table_findings(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """Findings of several table rules from one shape of every table."""
-    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("sibling_pos")
+def introduced_tables(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, introduced) of tables right behind a heading or a paragraph with text: only tables and such siblings are joined."""
     named = F.col("node_type").isin("heading", "paragraph") & ~text.blank(F.col("text"))
-    before = of(nodes.withColumn("introduced", F.coalesce(F.lag(named).over(siblings), F.lit(False))), "table").select("doc_id", "node_id", "introduced")
+    before = nodes.filter(named).select(*KIDS, (F.col("sibling_pos") + 1).alias("sibling_pos"), F.lit(True).alias("introduced"))
+    return of(nodes, "table").select("doc_id", "node_id", "parent_id", "sibling_pos").join(before, [*KIDS, "sibling_pos"], "left").select("doc_id", "node_id", F.coalesce("introduced", F.lit(False)).alias("introduced"))
+
+
+def table_findings(nodes: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of several table rules from one shape of every table."""
     shapes = table_shape(nodes)
-    shapes = shapes.join(before, ["doc_id", "node_id"]) if "TABLE_CAPTION_MISSING" in names else shapes
-    cases = [F.when(hit, F.struct(F.lit(n).alias("rule_id"), _evidence(evidence).alias("evidence"))) for n in names for hit, evidence in [TABLE_RULES[n]()]]
-    return shapes.select("doc_id", "node_id", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")).select("doc_id", "node_id", "x.rule_id", "x.evidence")
+    shapes = shapes.join(introduced_tables(nodes), ["doc_id", "node_id"]) if "TABLE_CAPTION_MISSING" in names else shapes
+    return _hits(shapes, keep, [(n, *TABLE_RULES[n]()) for n in names])
 
 
 @table_rule("TABLE_MISSING_HEADERS")
@@ -169,17 +182,17 @@ def _():
 
 @rule("TABLE_NESTED")
 def _(nodes):
-    inner = of(nodes, "table").select("doc_id", "node_id", F.explode(F.expr("slice(path, 1, size(path) - 1)")).alias("above"))
+    inner = of(nodes, "table").withColumn("above", F.explode(F.expr("slice(path, 1, size(path) - 1)")))
     outer = of(nodes, "table").select("doc_id", F.col("node_id").alias("above"))
-    return inner.join(outer, ["doc_id", "above"], "left_semi").select("doc_id", "node_id").distinct(), {}
+    return inner.join(outer, ["doc_id", "above"], "left_semi").dropDuplicates(["doc_id", "node_id"]), {}
 
 
 @rule("LIST_STRUCTURE_INVALID")
 def _(nodes):
     kids = nodes.filter("parent_id is not null").groupBy(*KIDS).agg(F.count_if(F.col("node_type") != "list_item").alias("strays")).withColumnRenamed("parent_id", "node_id")
-    x = nodes.join(kids, ["doc_id", "node_id"], "left")
-    broken = (F.col("node_type") == "list") & (F.col("strays").isNull() | (F.col("strays") > 0))
-    return x.filter(broken | ((F.col("node_type") != "list") & prop("fake_list_run_ids").isNotNull())), {"strays": F.col("strays")}
+    broken = of(nodes, "list").join(kids, ["doc_id", "node_id"], "left").filter(F.col("strays").isNull() | (F.col("strays") > 0))
+    typed = nodes.filter((F.col("node_type") != "list") & prop("fake_list_run_ids").isNotNull()).withColumn("strays", F.lit(None).cast("long"))
+    return broken.unionByName(typed), {"strays": F.col("strays")}
 
 
 @node_rule("LINK_TEXT_NON_DESCRIPTIVE", "link")
@@ -229,9 +242,9 @@ def _(nodes):
 @rule("READING_ORDER_AMBIGUOUS")
 def _(nodes):
     root = of(nodes, "document").select("doc_id", F.col("node_id").alias("root"))
-    sections = of(nodes, "section").filter(is_true("reading_order_inverted")).join(root, "doc_id").filter("parent_id = root").select("doc_id", "node_id")
+    sections = of(nodes, "section").filter(is_true("reading_order_inverted")).join(root, "doc_id").filter("parent_id = root").drop("root")
     whole = of(nodes, "document").filter(F.coalesce(prop("reading_order"), F.lit("")).isin("ambiguous", "unknown") | (F.coalesce(prop("reading_order_confidence").try_cast("double"), F.lit(1.0)) < 1))
-    return sections.union(whole.select("doc_id", "node_id")), {}
+    return sections.unionByName(whole), {}
 
 
 @node_rule("LOW_CONTRAST_TEXT")
@@ -243,9 +256,9 @@ def _():
 
 @rule("SLIDE_TITLE_MISSING")
 def _(nodes):
-    slides = of(nodes, "section").filter(is_true("missing_title")).select("doc_id", "node_id")
-    whole = of(nodes, "document").filter(is_true("missing_title")).select("doc_id", "node_id").join(slides.select("doc_id"), "doc_id", "left_anti")
-    return slides.union(whole), {}
+    slides = of(nodes, "section").filter(is_true("missing_title"))
+    whole = of(nodes, "document").filter(is_true("missing_title")).join(slides.select("doc_id"), "doc_id", "left_anti")
+    return slides.unionByName(whole), {}
 
 
 def is_scanned() -> Column:
@@ -273,11 +286,9 @@ def audit(nodes: DataFrame, only: list[str] | None = None) -> DataFrame:
     """Findings of all rules, or of those named: doc_id, node_id, rule_id, severity, evidence, violation_id, path, bfs_pos, dfs_pos."""
     names = list(RULES) if only is None else only
     single, tables = ([n for n in names if n in group] for group in (NODE_RULES, TABLE_RULES))
-    parts = ([single_node_findings(nodes, single)] if single else []) + ([table_findings(nodes, tables)] if tables else [])
-    parts += [RULES[n](nodes) for n in names if n not in NODE_RULES and n not in TABLE_RULES]
+    parts = ([single_node_findings(nodes, single, PLACE)] if single else []) + ([table_findings(nodes, tables, PLACE)] if tables else [])
+    parts += [RULES[n](nodes, PLACE) for n in names if n not in NODE_RULES and n not in TABLE_RULES]
     hits = reduce(DataFrame.union, parts)
-    place = nodes.select("doc_id", "node_id", "node_type", "path", "bfs_pos", "dfs_pos")
     severity = dims.rules(nodes.sparkSession).select("rule_id", "severity")
     vid = F.concat(F.lit("vio-"), F.col("node_id"), F.lit("-"), F.lower("rule_id"))
-    return hits.join(F.broadcast(severity), "rule_id").join(place, ["doc_id", "node_id"]).select(
-        "doc_id", vid.alias("violation_id"), "node_id", "node_type", "rule_id", "severity", "evidence", "path", "bfs_pos", "dfs_pos")
+    return hits.join(F.broadcast(severity), "rule_id").select("doc_id", vid.alias("violation_id"), "node_id", "node_type", "rule_id", "severity", "evidence", "path", "bfs_pos", "dfs_pos")

@@ -409,7 +409,10 @@ def parse_elements(pages: DataFrame, doc_id: str = "page_id", page: str = "html"
                 rows = [r for i, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in page_elements(i, p)]
                 yield pa.RecordBatch.from_arrays([pa.array([value(r, c) for r in rows], t) for c, t in _ELEMENT.items()], list(_ELEMENT))
 
-    return pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(page).cast("string").alias("html")).mapInArrow(run, ELEMENTS)
+    rows = pages.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(page).cast("string").alias("html"))
+    width = pages.sparkSession.sparkContext.defaultParallelism
+    # a few files would leave the parsing, by far the dearest step, to a few tasks; many are never shuffled
+    return (rows.repartition(width) if len(pages.inputFiles()) < width else rows).mapInArrow(run, ELEMENTS)
 
 
 def element_nodes(elements: DataFrame) -> DataFrame:
