@@ -504,3 +504,20 @@ def test_pipeline_stages_on_odd_tables(spark, odd, empty):
         left = {r["doc_id"] for r in x.collect()}
         assert left == ({50} if df is not empty else set())
         assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, x, "").collect()} == left
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<object><select>", "<svg ", "</div>", "<section></article>", "<p>a b<img>", "<a\"'>", "<a'", "<script>", "<!--", "<a href=x>t", "<table><tr><td>x"])
+def test_blocks_of_a_large_broken_page_take_time_in_proportion(piece):
+    import time
+
+    html_blocks.main_text("<p>x")  # the tree is grown once
+    began = time.process_time()
+    html_blocks.main_text(piece * (400_000 // len(piece)))
+    assert time.process_time() - began < 4
+
+
+def test_closings_of_dropped_elements():
+    page = "<p>one<svg>a<svg>b</svg>c</svg>two<svg>three<object>x</object>four<svg/>five</svg>six</svg>seven"
+    assert " ".join(b.text for b in html_blocks.blocks(page)) == "onetwosixseven"
+    assert " ".join(b.text for b in html_blocks.blocks("<p>a<svg>b<svg>c</svg>d")) == "abd"
+    assert " ".join(b.text for b in html_blocks.blocks("<div><p>a</section></div><article>b</div></article>c")) == "a b c"

@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,7 +43,8 @@ PLACES = set("area bar block box buttons container content form group icons inne
 #: Words that name the article.
 MAIN_WORDS = set("article content main post entry story body text articlebody maincontent postcontent".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
+# A tag has 400 stretches at most between and within quotes, so that quotes without an end don't send every tag to the page's end.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,400}+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -145,14 +147,17 @@ def _flags(name: str, attributes: str) -> tuple[bool, bool]:
     return furniture, main
 
 
-def _closing(page: str, name: str, at: int) -> int:
-    """Where the element that opens before ``at`` has been closed, or ``at`` if it never is."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else not m[0].endswith("/>")
-        if depth == 0:
-            return m.end()
-    return at
+def _closings(page: str, name: str) -> dict[int, int]:
+    """Where each element of that name that is closed ends, by the end of its start tag: one pass with a stack of those that are open."""
+    found, open_ = {}, []
+    # behind the last bracket no tag is complete: a search there would go to the page's end time and again
+    for m in re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I).finditer(page, 0, page.rfind(">") + 1):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_.append(m.end())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
 
 
 def blocks(page: str) -> list[Block]:
@@ -163,6 +168,7 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     in_link, heading = 0, False
+    held, closings = Counter(), {}
 
     def close() -> None:
         nonlocal text, linked
@@ -191,7 +197,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in DROPPED:
             if not ending and not attributes.endswith("/"):
-                at = _closing(page, name, at)
+                if name not in closings:
+                    closings[name] = _closings(page, name)
+                at = closings[name].get(at, at)
             continue
         if name in INLINE:
             if name == "a":
@@ -211,10 +219,11 @@ def blocks(page: str) -> list[Block]:
                 if name == "header" and not inside:
                     furniture = True
                 stack.append((name, above or furniture, inside or main))
-            else:
+                held[name] += 1
+            elif held[name]:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                    held[stack[k][0]] -= 1
+                    if stack.pop()[0] == name:
                         break
         elif name == "p":
             heading = False
