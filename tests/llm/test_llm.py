@@ -521,3 +521,12 @@ def test_closings_of_dropped_elements():
     assert " ".join(b.text for b in html_blocks.blocks(page)) == "onetwosixseven"
     assert " ".join(b.text for b in html_blocks.blocks("<p>a<svg>b<svg>c</svg>d")) == "abd"
     assert " ".join(b.text for b in html_blocks.blocks("<div><p>a</section></div><article>b</div></article>c")) == "a b c"
+
+
+def test_katz_numbers_of_chunks_are_their_own():
+    """Many chunks of a partition, and partitions with large numbers, never share a number or lose its bits."""
+    numbers = np.array([(p << katz.CHUNK_BITS) + k for p in (0, 1, 2, 1 << 20, (1 << 30) - 1) for k in (0, 1, 4095, 4096, 1 << 32)], np.uint64)
+    assert len(set(numbers.tolist())) == len(numbers) and numbers.astype(katz.SUMS["chunk"]).tolist() == numbers.tolist()
+    (back,) = katz._unpack(katz._pack(numbers), "<u8")
+    assert back.tolist() == numbers.tolist()
+    assert len(set(katz._home(numbers, 16).tolist())) > 4

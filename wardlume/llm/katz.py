@@ -42,8 +42,15 @@ RARE = np.uint16(CODES)
 START, END = U(0x5354415254), U(0x454E44)
 #: Tokens of one chunk of documents and of one range of words.
 CHUNK_TOKENS, RANGE_TOKENS = 500_000, 2_500_000
-SUMS = np.dtype([("chunk", "<u4"), ("doc", "<u2"), ("known", "<u4"), ("l1", "<f8"), ("s", "<f8"), ("m", "<u4", K_MAX), ("b", "<u4", K_MAX + 1), ("large", "<u4")])
+SUMS = np.dtype([("chunk", "<u8"), ("doc", "<u2"), ("known", "<u4"), ("l1", "<f8"), ("s", "<f8"), ("m", "<u4", K_MAX), ("b", "<u4", K_MAX + 1), ("large", "<u4")])
 FIELDS = 2 * K_MAX + 1
+#: A partition numbers its chunks in so many bits of 64: more than it can hold.
+CHUNK_BITS = 33
+
+
+def _home(chunk: np.ndarray, ranges: int) -> np.ndarray:
+    """The slot where all that belongs to a chunk of documents meets."""
+    return (mix(chunk.astype(U)) % U(ranges)).astype(np.int64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -157,7 +164,7 @@ def _dealt(rows: DataFrame, frequent: np.ndarray, ranges: int) -> DataFrame:
     common = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, chunk = Lookup(common.value, np.arange(len(common.value))), TaskContext.get().partitionId() << 12
+        codes, chunk = Lookup(common.value, np.arange(len(common.value))), TaskContext.get().partitionId() << CHUNK_BITS
 
         def deal(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
             held = _held_out(ids)
@@ -178,7 +185,7 @@ def _dealt(rows: DataFrame, frequent: np.ndarray, ranges: int) -> DataFrame:
                 data.append(_pack(code[part], token[part][code[part] == RARE], code_before[part], before[part][code_before[part] == RARE], doc[part]))
             k = len(slots)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * k + [1], pa.int32()), pa.array([*slots, chunk % ranges], pa.int64()), pa.array([chunk] * (k + 1), pa.int64()), pa.array([n_train] * (k + 1), pa.int32()),
+                [pa.array([0] * k + [1], pa.int32()), pa.array([*slots, int(_home(np.array([chunk]), ranges)[0])], pa.int64()), pa.array([chunk] * (k + 1), pa.int64()), pa.array([n_train] * (k + 1), pa.int32()),
                  pa.array([*data, None], pa.binary()), pa.array([None] * k + [ids], pa.list_(pa.int64())), pa.array([None] * k + [n.tolist()], pa.list_(pa.int64()))],
                 ["kind", "slot", "chunk", "n_train", "data", "doc_ids", "n_tokens"])
 
@@ -252,7 +259,7 @@ def _range_parts(blobs: list, words: np.ndarray, counts: np.ndarray, dense: np.n
         code, rare, code_before, rare_before, doc = _unpack(data, "<u2", "<u8", "<u2", "<u8", "<u2")
         w, v = words[np.minimum(code, len(words) - 1)], words[np.minimum(code_before, len(words) - 1)]
         w[code == RARE], v[code_before == RARE] = rare, rare_before
-        for k, x in enumerate((mix(w ^ mix(v)), code, code_before, doc, np.full(len(doc), chunk, np.uint32), doc < n_train, rare, rare_before)):
+        for k, x in enumerate((mix(w ^ mix(v)), code, code_before, doc, np.full(len(doc), chunk, U), doc < n_train, rare, rare_before)):
             cols[k].append(x)
     del w, v, blobs
 
@@ -294,7 +301,7 @@ def _range_parts(blobs: list, words: np.ndarray, counts: np.ndarray, dense: np.n
             sums["m"][:, r - 1] = add((seen & (big == r)).astype(np.uint32))
         sums["b"][:, r] = add((~seen & (c == r)).astype(np.uint32))
     sums["large"] = add((~seen & (c > K_MAX)).astype(np.uint32))
-    yield from _by_slot(DOC_SUMS, sums["chunk"].astype(np.int64) % ranges, sums)
+    yield from _by_slot(DOC_SUMS, _home(sums["chunk"], ranges), sums)
     del sums
     # statistics of contexts, one type per seen pair: by pair count, by word count, sum of larger word counts
     known = first[pair_count > 0]
@@ -311,7 +318,7 @@ def _range_parts(blobs: list, words: np.ndarray, counts: np.ndarray, dense: np.n
     # occurrences that back off wait for their contexts
     p = np.flatnonzero(~seen)
     f, q = p[code_before[p] != RARE], p[code_before[p] == RARE]
-    yield from _by_slot(PENDING, chunk[f].astype(np.int64) % ranges, chunk[f], doc[f], code_before[f])
+    yield from _by_slot(PENDING, _home(chunk[f], ranges), chunk[f], doc[f], code_before[f])
     qv = rare_v[at_rare[q]]
     yield from _by_slot(RARE_PENDING, (mix(qv) % U(ranges)).astype(np.int64), qv, chunk[q], doc[q])
 
@@ -346,7 +353,7 @@ def _context_sums(parts: DataFrame, d: np.ndarray, d1: np.ndarray, total: int, r
             for r in b.to_pylist():
                 (types if r["kind"] == TYPES else waits).setdefault(r["slot"], []).append(r["data"])
         for slot, data in waits.items():
-            wv, chunk, doc = (np.concatenate(x) for x in zip(*[_unpack(x, "<u8", "<u4", "<u2") for x in data], strict=True))
+            wv, chunk, doc = (np.concatenate(x) for x in zip(*[_unpack(x, "<u8", "<u8", "<u2") for x in data], strict=True))
             a = np.ones(len(wv))
             if slot in types:
                 v, n, cw = (np.concatenate(x) for x in zip(*[_unpack(x, "<u8", "<u1", "<u8") for x in types[slot]], strict=True))
@@ -361,7 +368,7 @@ def _context_sums(parts: DataFrame, d: np.ndarray, d1: np.ndarray, total: int, r
                 a = np.where(context[at] == wv, weight[at], 1.0)
             sums = np.zeros(len(wv), SUMS)
             sums["chunk"], sums["doc"], sums["s"] = chunk, doc, np.log10(a)
-            for kind, home, blob in _by_slot(DOC_SUMS, chunk.astype(np.int64) % ranges, sums):
+            for kind, home, blob in _by_slot(DOC_SUMS, _home(chunk, ranges), sums):
                 yield _part(kind, home, blob)
 
     some = parts.filter(F.col("kind").isin(TYPES, RARE_PENDING)).select("kind", "slot", "data")
@@ -408,7 +415,7 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     (s,) = _unpack(x["data"], SUMS)
                     parts_of_chunk.setdefault("sums", []).append(s)
                 else:
-                    c, doc, code = _unpack(x["data"], "<u4", "<u2", "<u2")
+                    c, doc, code = _unpack(x["data"], "<u8", "<u2", "<u2")
                     s = np.zeros(len(c), SUMS)
                     s["chunk"], s["doc"], s["s"] = c, doc, weights.value[code]
                     parts_of_chunk.setdefault("sums", []).append(s)
@@ -417,7 +424,7 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         s = np.concatenate(parts_of_chunk["sums"])
         s = s[np.argsort(s["chunk"], kind="stable")]
         for name, (n_train, ids, n_tokens) in chunk_docs.items():
-            a, b = np.searchsorted(s["chunk"], [name, name + 1])
+            a, b = np.searchsorted(s["chunk"], np.array([name, name + 1], U))
             own, size = s[a:b], len(ids)
             add = functools.partial(np.bincount, own["doc"], minlength=size)
             n = np.array(n_tokens, np.int64)
