@@ -7,7 +7,7 @@ from wardlume.sources.html import parse_pages, purpose, Element
 
 DIRTY = """<html><body><h1>Top</h1><h3>Deep</h3><h2></h2><img src=a.png><img src=b.png alt="IMG_1234"><a href="/docs">click here</a><a href="#">go</a>
 <iframe src=x></iframe><input name=email_address><input type=password name=password><span tabindex=3>x</span>
-<table><tr><td>a<td>b<td>c<tr><td>1<td>2<td>3<tr><td>4<td>5<td>6</table><ul></ul><p style="color:#999999">grey</p><a href="/n"></a></body></html>"""
+<table><tr><td>a<td>b<td>c<tr><td>1<td>2<td>3<tr><td>4<td>5<td>6</table><ul></ul><p style="color:#999999;background:#fff">grey</p><a href="/n"></a></body></html>"""
 CLEAN = """<html lang=en><head><title>A real title</title></head><body><h1>Top</h1><h2>Next</h2><img src=a.png alt="A red car on a road"><a href="/docs">Read the annual report</a>
 <iframe src=x title="Map"></iframe><label for=e>Email</label><input id=e name=email autocomplete=email><table><tr><th>a<th>b<tr><td>1<td>2</table><ul><li>x</ul></body></html>"""
 

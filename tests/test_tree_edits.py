@@ -189,7 +189,7 @@ def test_no_edits_and_no_nodes(spark):
 DIRTY = """<html><body><h1>Annual report</h1><p>It says what was done.</p><h3>Deep</h3><a href="https://data.example.gov/ops">click here</a>
 <p>- expand the audit programme</p><p>- replace old forms</p><p>- publish the figures</p><p>Then came winter.</p><p>1. first</p><p>2. second</p><p>3) third</p><p>1986. It was long</p>
 <img src=a.png title="Plan of the harbour"><table><tr><td>Name<td>Size<td>Price<tr><td>1.<td>2.<td>3.<tr><td>4<td>5<td>6</table><table><tr><td>1.5.<td>2<tr><td>3<td>4</table><ul><p>stray</p><li>x</ul>
-<div>Email: <input name=email_address></div><span tabindex=3>x</span><p style="color:#999999">grey text here</p></body></html>"""
+<div>Email: <input name=email_address></div><span tabindex=3>x</span><p style="color:#999999;background:#fff">grey text here</p></body></html>"""
 
 
 def test_fixes_are_applied_and_nothing_new_is_found(spark):

@@ -142,24 +142,33 @@ def _said_not_named() -> Column:
     return F.col("tag").isin("a", "button") & given("aria-label") & F.coalesce((F.length(seen) >= 2) & ~label.contains(seen), F.col("said").isNull())
 
 
-def page_counters(elements: DataFrame) -> DataFrame:
-    """One row per page: the fields, frames, purposes, places in the tab order and labels that document rules count."""
-    fields = named_fields(elements)
-    labelled = derived_labels(elements, fields).withColumn("derived", F.lit(True))
-    per_field = fields.join(labelled, ["doc_id", "pos"], "left").groupBy("doc_id").agg(
-        F.count("*").alias("form_fields_total"), F.count_if(~F.col("named")).alias("form_fields_unlabeled"), F.count_if(~F.col("named") & F.coalesce("derived", F.lit(False))).alias("form_fields_derivable"))
+def page_counters(elements: DataFrame, forms: bool = True) -> DataFrame:
+    """One row per page: the fields, frames, purposes, places in the tab order and labels that document rules count. forms: whether there are any fields."""
     own = elements.groupBy("doc_id").agg(
         F.count_if(F.col("purpose").isNotNull() & ~given("autocomplete")).alias("inputs_missing_autocomplete"), F.count_if(F.coalesce(attr("tabindex").rlike(r"^\s*\+?0*[1-9]\d*\s*$"), F.lit(False))).alias("positive_tabindex_count"),
         F.count_if(_untitled_frame()).alias("iframes_missing_title"), F.count_if(_said_not_named()).alias("label_in_name_mismatches"))
     counts = ["form_fields_total", "form_fields_unlabeled", "form_fields_derivable"]
+    if not forms:
+        return own.select("*", *[F.lit(0).cast("long").alias(c) for c in counts])
+    fields = named_fields(elements)
+    labelled = derived_labels(elements, fields).withColumn("derived", F.lit(True))
+    per_field = fields.join(labelled, ["doc_id", "pos"], "left").groupBy("doc_id").agg(
+        F.count("*").alias("form_fields_total"), F.count_if(~F.col("named")).alias("form_fields_unlabeled"), F.count_if(~F.col("named") & F.coalesce("derived", F.lit(False))).alias("form_fields_derivable"))
     return own.join(per_field, "doc_id", "left").fillna(0, counts)
 
 
 def node_properties(elements: DataFrame) -> DataFrame:
-    """(doc_id, node_id, _more): properties of nodes that follow from names: the counters of each page's document node, a mark of links without a name."""
-    counters = page_counters(elements)
+    """(doc_id, node_id, _more): properties of nodes that follow from names: the counters of each page's document node, a mark of links without a name.
+
+    Where no page has a field, or a link without text, the joins that look for their names are left out.
+    """
+    bare = (F.col("tag") == "a") & attr("href").isNotNull() & (F.col("said") == "")
+    some = elements.agg(F.max(F.col("tag").isin(*CONTROLS)).alias("forms"), F.max(bare).alias("bare")).first()
+    counters = page_counters(elements, bool(some["forms"]))
     names = [c for c in counters.columns if c != "doc_id"]
     roots = elements.filter("pos = 0 and node.props['status'] = 'ok'").select("doc_id", "node.node_id")
-    of_page = counters.join(roots, "doc_id").select("doc_id", "node_id", F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("string"))]).alias("_more"))
-    links = elements.filter("tag = 'a' and node is not null").select("doc_id", "pos", "node.node_id").join(nameless_links(elements), ["doc_id", "pos"])
-    return reduce(DataFrame.unionByName, [of_page, links.select("doc_id", "node_id", F.create_map(F.lit("link_nameless"), F.lit("true")).alias("_more"))])
+    out = [counters.join(roots, "doc_id").select("doc_id", "node_id", F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("string"))]).alias("_more"))]
+    if some["bare"]:
+        links = elements.filter("tag = 'a' and node is not null").select("doc_id", "pos", "node.node_id").join(nameless_links(elements), ["doc_id", "pos"])
+        out.append(links.select("doc_id", "node_id", F.create_map(F.lit("link_nameless"), F.lit("true")).alias("_more")))
+    return reduce(DataFrame.unionByName, out)

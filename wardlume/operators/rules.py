@@ -57,11 +57,10 @@ def node_rule(name: str, *kinds: str) -> Callable[[Callable[[], tuple]], None]:
 
 
 def _hits(rows: DataFrame, keep: tuple[str, ...], cases: list[tuple[str, Column, dict[str, Column]]]) -> DataFrame:
-    """Rows that meet conditions, once for each: conditions first, as bits of one number, evidence only for rows that meet any."""
-    bits = sum((F.when(hit, F.lit(1 << i)).otherwise(0) for i, (_, hit, _) in enumerate(cases)), F.lit(0))
-    found = F.array(*[F.when(F.col("_bits").bitwiseAND(1 << i) > 0, F.struct(F.lit(name).alias("rule_id"), _evidence(evidence).alias("evidence"))) for i, (name, _, evidence) in enumerate(cases)])
-    hit = rows.withColumn("_bits", bits).filter("_bits > 0")
-    return hit.select("doc_id", "node_id", *keep, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("doc_id", "node_id", *keep, "x.rule_id", "x.evidence")
+    """Rows that meet conditions, once for each of them, with the evidence."""
+    found = F.array(*[F.when(hit, F.struct(F.lit(name).alias("rule_id"), _evidence(evidence).alias("evidence"))) for name, hit, evidence in cases])
+    hits = rows.select("doc_id", "node_id", *keep, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    return hits.select("doc_id", "node_id", *keep, "x.rule_id", "x.evidence")
 
 
 def single_node_findings(nodes: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -250,10 +249,27 @@ def _(nodes):
 @node_rule("LOW_CONTRAST_TEXT")
 def _():
     fg, bg = color.css_hex(prop("color")), F.coalesce(color.css_hex(prop("background")), F.lit("FFFFFF"))
-    low = F.when(prop("color").isNotNull(), color.low_contrast(fg, bg, prop("size_pt").try_cast("double"), is_true("bold"))).otherwise(False)
+    low = F.when(prop("color").isNotNull() & prop("runs").isNull(), color.low_contrast(fg, bg, prop("size_pt").try_cast("double"), is_true("bold"))).otherwise(False)
     return low, {"fg": fg, "bg": bg, "ratio": F.round(color.contrast(fg, bg), 2)}
 
 
+#: A text's colours where they differ within it: the property ``runs``.
+RUNS = "array<struct<c:string,sz:double,b:boolean>>"
+
+
+def run_findings(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Texts of several colours with a run below the contrast that its size asks for: the worst run is the evidence. Runs are rows."""
+    some = nodes.filter(prop("runs").isNotNull())
+    runs = some.select("doc_id", "node_id", F.coalesce(color.css_hex(prop("background")), F.lit("FFFFFF")).alias("bg"), F.explode(F.from_json(prop("runs"), RUNS)).alias("r"))
+    rated = runs.select("doc_id", "node_id", "bg", F.upper("r.c").alias("fg"), color.required(F.col("r.sz"), F.coalesce("r.b", F.lit(False))).alias("required"), color.contrast(F.col("r.c"), F.col("bg")).alias("ratio"))
+    worst = rated.filter("ratio + 0.05 < required").groupBy("doc_id", "node_id").agg(F.min(F.struct("ratio", "fg", "bg")).alias("w"))
+    hit = some.join(worst, ["doc_id", "node_id"])
+    return hit.select("doc_id", "node_id", *keep, F.lit("LOW_CONTRAST_TEXT").alias("rule_id"), _evidence({"fg": F.col("w.fg"), "bg": F.col("w.bg"), "ratio": F.round("w.ratio", 2)}).alias("evidence"))
+
+
+RULES["LOW_CONTRAST_TEXT"] = lambda nodes, keep=(): single_node_findings(nodes, ["LOW_CONTRAST_TEXT"], keep).union(run_findings(nodes, keep))
+
+
 @rule("SLIDE_TITLE_MISSING")
 def _(nodes):
     slides = of(nodes, "section").filter(is_true("missing_title"))
@@ -288,6 +304,7 @@ def audit(nodes: DataFrame, only: list[str] | None = None) -> DataFrame:
     single, tables = ([n for n in names if n in group] for group in (NODE_RULES, TABLE_RULES))
     parts = ([single_node_findings(nodes, single, PLACE)] if single else []) + ([table_findings(nodes, tables, PLACE)] if tables else [])
     parts += [RULES[n](nodes, PLACE) for n in names if n not in NODE_RULES and n not in TABLE_RULES]
+    parts += [run_findings(nodes, PLACE)] if "LOW_CONTRAST_TEXT" in names else []
     hits = reduce(DataFrame.union, parts)
     severity = dims.rules(nodes.sparkSession).select("rule_id", "severity")
     vid = F.concat(F.lit("vio-"), F.col("node_id"), F.lit("-"), F.lower("rule_id"))

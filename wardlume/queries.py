@@ -22,7 +22,7 @@ def _values(words) -> str:
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return staged(parse_pages(table(spark, sf, "pages")), "nodes")
+    return parse_pages(table(spark, sf, "pages"))
 
 
 GENERIC = _values(fixed_values.GENERIC_LINK_TEXT)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import names, remediation, tree_edits
+from .operators import names, remediation, styles, tree_edits
 from .registry import pick, query
 from .sources import html_writer
 from .sources.html import ELEMENTS, NODES, parse_elements
@@ -247,3 +247,36 @@ def rewritten_pages(spark, sf):
         tree_edits.edits(top, "set", "NORMALIZE_HEADING_LEVEL", node_id=F.col("node_id"), field=F.lit("level"), value=F.lit("2"))]).withColumn("status", F.lit("applied"))
     out = html_writer.written_pages(pages, html_writer.source_edits(elements, report))
     return out.select("doc_id", "status", F.sha2("html", 256).alias("html_sha256"))
+
+
+# a line is a paragraph in a division: texts in the colours of both, of a span, and large and bold within it
+_OUTER, _INNER = pick("pk", "#777777", "#999999", None, "#949494", "#000"), pick("sk", None, "rgb(153, 153, 153)", "#949494", "nonsense")
+
+
+def _colored(spark, sf) -> DataFrame:
+    x = _lines(spark, sf).selectExpr("doc", "ln", "pk", "sk", "10 * ln AS b", f"{_OUTER} AS outer", f"{_INNER} AS inner")
+    parts = [_element(x.select("doc").distinct(), "1", "100000", "0", "body", style="'margin: 0; Background: #FFF url(a.png#123456)'"),
+             _element(x, "b", "b + 8", "1", "div", style="concat('color:red; color: ', outer, ' !important')"), _element(x, "b + 1", "b + 8", "b", "p"), _element(x, "b + 3", "b + 6", "b + 1", "span", style="concat('COLOR:', inner)"),
+             _element(x, "b + 5", "b + 6", "b + 3", "b", style="'font-weight: 700; font-size: 20px'"), *[_element(x, f"b + {i}", f"b + {i}", f"b + {u}", "#text", "'words'") for i, u in ((2, 1), (4, 3), (6, 5), (8, 1))]]
+    every = _elements(spark, reduce(DataFrame.union, parts))
+    kind = dict(every.dtypes)["node"]
+    fields = every.schema["node"].dataType.names
+    made = F.struct(*[F.when(F.lit(n == "node_id"), F.concat(F.lit("p"), F.col("pos").cast("string"))).when(F.lit(n == "node_type"), F.lit("paragraph")).cast(t).alias(n) if n in ("node_id", "node_type") else F.lit(None).cast(t).alias(n)
+                      for n, t in ((f, every.schema["node"].dataType[f].dataType) for f in fields)])
+    return every.withColumn("node", F.when(F.col("tag") == "p", made).cast(kind))
+
+
+_RUNS = f"""l AS ({_LINES}), x AS (SELECT doc, 10 * ln AS b, upper(replace(replace({_OUTER}, '#000', '#000000'), '#', '')) AS c1,
+ CASE sk % 4 WHEN 1 THEN '999999' WHEN 2 THEN '949494' END AS c2 FROM l),
+r AS (SELECT doc, b, k, CASE WHEN k IN (4, 6) THEN coalesce(c2, c1) ELSE c1 END AS color, k = 6 AS large FROM x, (VALUES (2), (4), (6), (8)) t(k))"""
+
+
+@query(f"WITH {_RUNS} SELECT doc AS doc_id, 'p' || (b + 1) AS node_id, (b + k)::INT AS pos, color, 'FFFFFF' AS background, CASE WHEN large THEN 15.0 END::DOUBLE AS size_pt, CASE WHEN large THEN true END AS bold FROM r")
+def text_runs(spark, sf):
+    return styles.text_runs(_colored(spark, sf)).select("doc_id", "node_id", "pos", "color", "background", "size_pt", "bold")
+
+
+@query(f"""WITH {_RUNS}, w AS (SELECT *, color = '999999' OR (color = '949494' AND NOT large) AS low FROM r WHERE color IS NOT NULL)
+SELECT doc AS doc_id, 'p' || (b + 1) AS node_id, count(*) AS runs, count(*) FILTER (low) AS low, max(color) FILTER (low) AS fg FROM w GROUP BY doc, b HAVING count(*) FILTER (low) > 0""")
+def worst_runs(spark, sf):
+    return styles.worst_runs(styles.text_runs(_colored(spark, sf))).select("doc_id", "node_id", "runs", "low", "fg")

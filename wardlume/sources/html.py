@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import names
+from ..operators import names, styles
 from .staging import staged
 
 NODES = (
@@ -204,25 +204,6 @@ def purpose(e: Element) -> str | None:
     return None
 
 
-_COLORS = re.compile(r"(?:^|;)\s*(color|background|background-color|font-size|font-weight)\s*:\s*([^;]+)", re.I)
-
-
-def _style(e: Element, above: dict) -> dict:
-    out = dict(above)
-    for k, v in _COLORS.findall(e.attrs.get("style", "")):
-        k, v = k.lower(), v.strip()
-        if k == "background":
-            k, v = "background-color", v.split()[0]
-        if k == "font-size":
-            m = re.fullmatch(r"([0-9.]+)\s*(px|pt)", v.lower())
-            v = str(float(m[1]) * (0.75 if m[2] == "px" else 1)) if m else above.get(k)
-        if k == "font-weight":
-            v = "true" if v.lower() in ("bold", "bolder") or v.isdigit() and int(v) >= 700 else "false"
-        if v is not None:
-            out[k] = v
-    return out
-
-
 def _entered(e: Element) -> str:
     """What an element that has just been entered says, if it is a block of text: three words or more."""
     if e.tag not in TEXT_BLOCKS:
@@ -264,21 +245,19 @@ def page_nodes(doc_id, page: str | None) -> tuple[list[dict], Element | None]:
     title = " ".join("".join(c for c in first["title"].children if isinstance(c, str)).split()) if "title" in first else None
     document = root.row = add(None, "document", language=lang or None, props={"status": "ok"} | ({"title": title} if title is not None else {}))
     near = ""  # the last text of three words or more before this place
-    todo: list[tuple[Element, dict, dict]] = [(root, document, {})]
+    todo: list[tuple[Element, dict]] = [(root, document)]
     while todo:
-        e, parent, style = todo.pop()
-        style = _style(e, style)
+        e, parent = todo.pop()
         node, inner = None, parent
-        props = {k: v for k, v in (("color", style.get("color")), ("background", style.get("background-color")), ("size_pt", style.get("font-size")), ("bold", style.get("font-weight"))) if v}
         if e.tag in SKIPPED or e.tag == "title":
             continue
         if e.tag in HEADINGS:
-            node = add(parent, "heading", text=e.text(), level=HEADINGS[e.tag], props=props)
+            node = add(parent, "heading", text=e.text(), level=HEADINGS[e.tag])
         elif e.tag == "p":
             if said := e.text():
-                node = add(parent, "paragraph", text=said, props=props)
+                node = add(parent, "paragraph", text=said)
         elif e.tag == "a" and "href" in e.attrs:
-            node = add(parent, "link", text=e.text(), target=e.attrs["href"], props=props)
+            node = add(parent, "link", text=e.text(), target=e.attrs["href"])
         elif e.tag == "img":
             decorative = e.attrs.get("alt") == "" or e.attrs.get("role") in ("presentation", "none") or e.attrs.get("aria-hidden") == "true"
             named = _figure_caption(e) or e.attrs.get("title", "").strip() or near
@@ -302,7 +281,7 @@ def page_nodes(doc_id, page: str | None) -> tuple[list[dict], Element | None]:
         near = _entered(e) or near
         e.row = node or e.row
         inner = node or parent
-        todo += [(c, inner, style) for c in reversed(e.children) if not isinstance(c, str)]
+        todo += [(c, inner) for c in reversed(e.children) if not isinstance(c, str)]
     return _finish(rows), root
 
 
@@ -325,12 +304,12 @@ def _finish(rows: list[dict]) -> list[dict]:
 
 def _spans(root: Element) -> tuple[str, dict[int, tuple[int, int]], list[tuple[Element, int, bool, int | None]], list[tuple[int, int, str]]]:
     """The page's visible text, each element's part of it by pos; the elements in order with their parent's pos, whether they are hidden and the cell they are in; the texts
-    beside form controls, as (pos, parent's pos, text). Numbers elements and texts in page order."""
+    beside form controls and in coloured parts, as (pos, parent's pos, text). Numbers elements and texts in page order."""
     parts, size, spans, order, texts = [], 0, {}, [], []
     number = 0
-    todo: list[tuple] = [("in", root, 0, False, None, True)]
+    todo: list[tuple] = [("in", root, 0, False, None, True, False)]
     while todo:
-        step, e, up, hidden, cell, shown = todo.pop()
+        step, e, up, hidden, cell, shown, styled = todo.pop()
         if step == "text":
             number += 1
             texts.append((number, up, e))
@@ -351,19 +330,20 @@ def _spans(root: Element) -> tuple[str, dict[int, tuple[int, int]], list[tuple[E
                 size += 1
             spans[e.pos] = (size, size)
             order.append((e, up, hidden, cell))
-            beside = any(not isinstance(c, str) and c.tag in CONTROLS for c in e.children)
+            styled = styled or "color" in e.attrs.get("style", "").lower()
+            beside = styled or any(not isinstance(c, str) and c.tag in CONTROLS for c in e.children)
             cell = e.pos if e.tag in ("td", "th") else None if e.tag == "table" else cell
-            todo.append(("out", e, up, hidden, cell, shown))
+            todo.append(("out", e, up, hidden, cell, shown, styled))
             for c in reversed(e.children):
                 if not isinstance(c, str):
-                    todo.append(("in", c, e.pos, hidden, cell, shown))
+                    todo.append(("in", c, e.pos, hidden, cell, shown, styled))
                 elif beside or shown:
-                    todo.append(("text", c, e.pos if beside else -1, hidden, cell, shown))
+                    todo.append(("text", c, e.pos if beside else -1, hidden, cell, shown, styled))
     return "".join(parts), spans, order, [t for t in texts if t[1] >= 0]
 
 
 def page_elements(doc_id, page: str | None) -> list[dict]:
-    """The element rows of one page, those that became nodes with their node; texts only beside form controls."""
+    """The element rows of one page, those that became nodes with their node; texts only beside form controls and in coloured parts."""
     rows, root = page_nodes(doc_id, page)
     if root is None:
         return [{"doc_id": doc_id, "pos": 0, "last": 0, "tag": "#root", "attrs": {}, "node": rows[0]}]
@@ -419,11 +399,13 @@ def element_nodes(elements: DataFrame) -> DataFrame:
     """The node table of written element rows: the nodes as parsed, the document nodes with what the page's rules count, links with a mark if they have no name."""
     nodes = elements.filter("node is not null").select("doc_id", "node.*")
     more = names.node_properties(elements)
+    if not elements.filter(styles.declaration("color").isNotNull()).isEmpty():  # else there is no colour to inherit
+        more = more.unionByName(styles.style_properties(elements)).groupBy("doc_id", "node_id").agg(F.map_from_entries(F.flatten(F.collect_list(F.map_entries("_more")))).alias("_more"))
     none = F.create_map().cast("map<string,string>")
     props = F.map_concat(F.coalesce("props", none), F.coalesce("_more", none))
     return nodes.join(more, ["doc_id", "node_id"], "left").withColumn("props", props).select(*_ORDER)
 
 
 def parse_pages(pages: DataFrame, doc_id: str = "page_id", page: str = "html") -> DataFrame:
-    """The node table of all pages. Filter pages before this, and read the result once (write it, or use it for all rules). Writes the element rows."""
-    return element_nodes(staged(parse_elements(pages, doc_id, page), "elements"))
+    """The node table of all pages, written, as its element rows are: rules read it many times, and its own plan is long. Filter pages before this."""
+    return staged(element_nodes(staged(parse_elements(pages, doc_id, page), "elements")), "nodes")

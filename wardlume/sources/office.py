@@ -9,6 +9,7 @@ yields its document node alone, with ``props['status'] = 'failed'``. Tables foll
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from ..operators import layout
 
 _FIELDS = {
     "kind": pa.string(), "seq": pa.int32(), "sub": pa.int32(), "slide": pa.int32(), "row": pa.int32(), "col": pa.int32(), "text": pa.string(), "style": pa.string(), "numbering": pa.string(), "target": pa.string(),
-    "alt_text": pa.string(), "hidden": pa.bool_(), "bold": pa.bool_(), "head": pa.bool_(), "size_pt": pa.float64(), "color": pa.string(), "top": pa.float64(), "left": pa.float64(), "height": pa.float64(),
+    "alt_text": pa.string(), "hidden": pa.bool_(), "bold": pa.bool_(), "head": pa.bool_(), "size_pt": pa.float64(), "color": pa.string(), "runs": pa.string(), "top": pa.float64(), "left": pa.float64(), "height": pa.float64(),
     "title": pa.string(), "language": pa.string(), "place": pa.string(),
 }
 _SPARK = {"string": "string", "int32": "int", "bool": "boolean", "double": "double"}
@@ -62,15 +63,18 @@ def _word_text(p: ElementTree.Element) -> str:
 def _word_paragraph(p: ElementTree.Element, seq: int, styles: dict[str, str], targets: dict[str, str], place: str) -> Iterator[dict]:
     """A paragraph, its links and its images."""
     style, number = p.find(f"{W}pPr/{W}pStyle"), p.find(f"{W}pPr/{W}numPr")
+    size = lambda r: next((float(s.get(f"{W}val")) / 2 for s in r.iterfind(f"{W}rPr/{W}sz") if (s.get(f"{W}val") or "").isdigit()), None)
+    bold = lambda r: (b := r.find(f"{W}rPr/{W}b")) is not None and b.get(f"{W}val") not in ("0", "false")
     runs = [r for r in p.iter(f"{W}r") if "".join(t.text or "" for t in r.iter(f"{W}t")).strip()]
     sizes = [float(s.get(f"{W}val")) / 2 for r in runs for s in r.iterfind(f"{W}rPr/{W}sz") if (s.get(f"{W}val") or "").isdigit()]
     colors = [c.get(f"{W}val") for r in runs for c in r.iterfind(f"{W}rPr/{W}color") if re.fullmatch("[0-9A-Fa-f]{6}", c.get(f"{W}val") or "")]
-    heavy = [(b := r.find(f"{W}rPr/{W}b")) is not None and b.get(f"{W}val") not in ("0", "false") for r in runs]
+    dyed = [{"c": c.get(f"{W}val"), "sz": size(r), "b": bold(r)} for r in runs for c in r.iterfind(f"{W}rPr/{W}color") if re.fullmatch("[0-9A-Fa-f]{6}", c.get(f"{W}val") or "")]
+    heavy = [bold(r) for r in runs]
     named = style.get(f"{W}val") if style is not None else None
     num = number.find(f"{W}numId") if number is not None else None
     marker = None if number is None else "bullet" if num is None else f"num-{num.get(f'{W}val')}"
     yield {"kind": "para", "seq": seq, "text": _word_text(p), "style": styles.get(named, named), "numbering": marker, "bold": bool(heavy) and all(heavy), "size_pt": max(sizes, default=None),
-           "color": colors[0] if colors else None, "place": place}
+           "color": colors[0] if colors else None, "runs": json.dumps(dyed) if len({d["c"] for d in dyed}) > 1 else None, "place": place}
     for i, link in enumerate(p.iter(f"{W}hyperlink")):
         to = targets.get(link.get(f"{R}id") or "") or (f"#{link.get(f'{W}anchor')}" if link.get(f"{W}anchor") else "")
         yield {"kind": "link", "seq": seq, "sub": i, "text": _word_text(link) or "link", "target": to, "place": place}
@@ -237,7 +241,7 @@ def docx_nodes(parts: DataFrame) -> DataFrame:
         "near": F.coalesce(F.nullif(caption, F.lit("")), F.when(words >= 3, F.col("text")), near)})
     items = p.filter("numbering is not null")
     lists = items.groupBy("doc_id", "format", "list_no").agg(F.min("seq").alias("seq"), F.first("numbering").alias("numbering"))
-    look = {"color": F.concat(F.lit("#"), "color"), "size_pt": F.col("size_pt"), "bold": F.col("bold")}
+    look = {"runs": F.col("runs"), "color": F.concat(F.lit("#"), "color"), "size_pt": F.col("size_pt"), "bold": F.col("bold")}
     fake_heading = layout.looks_like_heading(F.col("style"), F.col("text"), F.col("bold"), F.col("size_pt"))
     plain = p.filter("numbering is null and level is null and linked is null and text <> ''").withColumn("fake_heading", (F.col("place") == "body") & fake_heading)
     marked = p.join(plain.select("doc_id", "seq", F.col("fake_heading")), ["doc_id", "seq"], "left").filter("place = 'body'")
