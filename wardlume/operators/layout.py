@@ -37,10 +37,14 @@ def is_list_item(c: Column) -> Column:
     return list_marker(c).isNotNull()
 
 
+def running_key(c: Column) -> Column:
+    """What a running line is known by: its text, or that it is a page number."""
+    return F.when(is_page_number(c), "#").otherwise(F.lower(trimmed(c)))
+
+
 def running_lines(blocks: DataFrame) -> DataFrame:
     """(doc_id, slot, text): headers and footers, the same text in the same slot on two pages or more, or page numbers there."""
-    key = F.when(is_page_number(F.col("text")), "#").otherwise(F.lower(trimmed(F.col("text"))))
-    return blocks.filter(F.col("slot").isin("top", "bottom")).groupBy("doc_id", "slot", key.alias("text")).agg(F.count_distinct("page").alias("pages")).filter("pages >= 2")
+    return blocks.filter(F.col("slot").isin("top", "bottom")).groupBy("doc_id", "slot", running_key(F.col("text")).alias("text")).agg(F.count_distinct("page").alias("pages")).filter("pages >= 2")
 
 
 def two_columns(blocks: DataFrame, min_gap: float = 40.0) -> DataFrame:
@@ -69,16 +73,20 @@ def clusters(values: DataFrame, keys: list[str], at: str, tolerance: float) -> D
     return islands(values, keys, at, tolerance).groupBy(*keys, "island").agg(F.avg(at).alias("center"), F.count("*").alias("n"))
 
 
-def table_groups(blocks: DataFrame, tall: float = 4.0, align: float = 10.0) -> DataFrame:
-    """(doc_id, page, table_no, rows, columns): three rows or more of equally many aligned columns, one after the other."""
-    rows = islands(blocks, ["doc_id", "page"], "y", tall).withColumnRenamed("island", "row")
+def aligned_rows(rows: DataFrame, align: float = 10.0) -> DataFrame:
+    """(doc_id, page, row, xs, table_no) of blocks with a row: rows of equally many aligned columns, one after the other, have one table_no."""
     shape = rows.groupBy("doc_id", "page", "row").agg(F.sort_array(F.collect_list("x0")).alias("xs"), F.min("y").alias("y"))
     order = Window.partitionBy("doc_id", "page").orderBy("row")
     before, far = F.lag("xs").over(order), F.col("y") - F.lag("y").over(order)
     usual = F.median("gap").over(Window.partitionBy("doc_id", "page"))
     like = (F.size("xs") >= 2) & (F.size("xs") == F.size("before")) & F.forall(F.zip_with("xs", "before", lambda a, b: F.abs(a - b) <= align), lambda x: x)
     x = shape.withColumns({"before": before, "gap": far}).withColumn("usual", usual).withColumn("joined", F.coalesce(like & (F.col("gap") <= 2.2 * F.col("usual")), F.lit(False)))
-    x = x.withColumn("table_no", F.sum((~F.col("joined")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.withColumn("table_no", F.sum((~F.col("joined")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def table_groups(blocks: DataFrame, tall: float = 4.0, align: float = 10.0) -> DataFrame:
+    """(doc_id, page, table_no, rows, columns): three rows or more of equally many aligned columns, one after the other."""
+    x = aligned_rows(islands(blocks, ["doc_id", "page"], "y", tall).withColumnRenamed("island", "row"), align)
     return x.groupBy("doc_id", "page", "table_no").agg(F.count("*").alias("rows"), F.first(F.size("xs")).alias("columns")).filter("rows >= 3 and columns >= 2")
 
 
@@ -187,3 +195,36 @@ def looks_like_heading(style: Column, text: Column, all_bold: Column, size_pt: C
     t = trimmed(F.coalesce(text, F.lit("")))
     words = F.size(F.split(t, r"\s+"))
     return F.lower(F.coalesce(style, F.lit(""))).isin("title", "subtitle") | ((t != "") & (F.length(t) <= 60) & (words <= 8) & ~t.rlike(r"[.!?;,:]$") & F.coalesce(all_bold, F.lit(False)) & (F.coalesce(size_pt, F.lit(0.0)) >= 14))
+
+
+def merged_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (row, col, right_rule, bottom_rule) merged where the rules between them are missing: first row and column of each merged cell, its row_span and col_span.
+
+    A run to the right goes on downwards where no cell of it has a rule below and the next row has a run of the same columns; so merged cells are always rectangles.
+    An unknown rule counts as drawn: a merge is only claimed on evidence.
+    """
+    drawn = cells.withColumns({c: F.coalesce(c, F.lit(True)) for c in ("right_rule", "bottom_rule")})
+    order = Window.partitionBy(*keys, "row").orderBy("col")
+    start = F.coalesce(F.lag("right_rule").over(order) | (F.lag("col").over(order) + 1 != F.col("col")), F.lit(True)).cast("int")
+    x = drawn.withColumn("_start", start).withColumn("run", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = x.groupBy(*keys, "row", "run").agg(F.min("col").alias("col"), F.count("*").cast("int").alias("col_span"), F.bool_or("bottom_rule").alias("closed"))
+    down = Window.partitionBy(*keys, "col", "col_span").orderBy("row")
+    top = F.coalesce(F.lag("closed").over(down) | (F.lag("row").over(down) + 1 != F.col("row")), F.lit(True)).cast("int")
+    stacks = runs.withColumn("_top", top).withColumn("stack", F.sum("_top").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    return stacks.groupBy(*keys, "col", "col_span", "stack").agg(F.min("row").alias("row"), F.count("*").cast("int").alias("row_span")).select(*keys, "row", "col", "row_span", "col_span")
+
+
+def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, header_row): the row of each table of cells (row, col, col_span, text) that may be called its header, else null.
+
+    The first row, if it has text and no number and a row follows. A first row that is one cell over the whole table is a title: then the second, on the same
+    terms, and only if it isn't such a band too and a number stands further below.
+    """
+    blank, number = trimmed(F.coalesce("text", F.lit(""))) == "", F.coalesce(is_numeric_cell(F.col("text")), F.lit(False))
+    rows = cells.groupBy(*keys, "row").agg(F.bool_or(~blank).alias("said"), F.bool_or(number).alias("numeric"), F.min_by("col_span", "col").alias("lead"), F.max(F.col("col") + F.col("col_span")).alias("right"), F.min("col").alias("left"))
+    table, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("row")
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    x = rows.withColumns({"no": F.row_number().over(order), "n_rows": F.count("*").over(table), "full": F.col("lead") >= F.max("right").over(table) - F.min("left").over(table), "evidence": F.coalesce(F.bool_or("numeric").over(after), F.lit(False))})
+    x = x.withColumns({"title": F.bool_or((F.col("no") == 1) & F.col("full")).over(table), "labels": F.col("said") & ~F.col("numeric") & (F.col("no") < F.col("n_rows"))})
+    fits = F.col("labels") & ~F.col("full") & F.when(F.col("title"), (F.col("no") == 2) & (F.col("n_rows") >= 3) & F.col("evidence")).otherwise(F.col("no") == 1)
+    return x.groupBy(*keys).agg(F.min(F.when(fits, F.col("row"))).alias("header_row"))
