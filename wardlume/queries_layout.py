@@ -43,8 +43,8 @@ def grid_headers(spark, sf):
     return layout.header_rows(merged, ["doc_id"])
 
 
-# pages of 24 lines: a heading over two columns, ten lines left, ten right, and a table's three rows of one cell each that only the last page lacks
-_NTH = "(row_number() OVER (PARTITION BY l_orderkey % 150 ORDER BY l_orderkey, l_linenumber) - 1)"
+# pages of 21 lines: a heading over two columns, ten lines on the left, ten on the right, some of them typed like list items
+_NTH = "(row_number() OVER (PARTITION BY l_orderkey % 150 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1)"
 _PLACE = "(n % 21)"
 PLACED = Derived("lineitem", {"doc_id": "l_orderkey % 150", "n": f"CAST({_NTH} AS INT)", "word": "concat('clause ', l_partkey, ' of the ', l_suppkey, ' th part')"})
 _LEFT = f"({_PLACE} BETWEEN 1 AND 10)"
