@@ -460,4 +460,4 @@ def heuristic_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.heuristic_link_text(F.col("url"), F.lit("a link")).alias("suggestion"))
 
 
-from . import queries_edits, queries_layout, queries_nodes, queries_records  # noqa: E402, F401  they register theirs
+from . import queries_edits, queries_layout, queries_nodes, queries_records, queries_sources  # noqa: E402, F401  they register theirs

@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str = "staged") -> DataFrame:
-    """Write ``df`` as Parquet under spark.checkpoint.dir and read it back; lost executors lose nothing.
-
-    Only a single-process ``local[...]`` session may go without that setting.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a single-process ``local[...]`` session may go without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("wardlume.staging.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wardlume-")
         spark.conf.set("wardlume.staging.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write ``df`` as Parquet under ``shared_folder`` and read it back; lost executors lose nothing."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
