@@ -157,6 +157,43 @@ def test_hilbert_shards_let_readers_skip(spark):
         assert hit <= 40, (column, hit)
 
 
+def _curve_place(axes, bits):
+    """The place of a cell along the curve, in plain integers."""
+    n, top = len(axes), 1 << (bits - 1)
+    x = list(axes)
+    q = top
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    flip = 0
+    q = top
+    while q > 1:
+        flip ^= q - 1 if x[-1] & q else 0
+        q >>= 1
+    return int("".join(str((a ^ flip) >> b & 1) for b in range(bits - 1, -1, -1) for a in x), 2)
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_hilbert_shards_by_hand(spark, most_bytes):
+    """Shard and slot of every row from cells counted by hand; cells looked up by their first strings and by joins."""
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randrange(9), rng.choice(["en", "de", None, "fr", "en", "en"]), f"s{rng.randrange(40):02d}é", None) for i in range(400)]
+    got = hilbert.hilbert_shards(spark.createDataFrame(rows, SCHEMA), ["source", "lang"], shards=7, bits=3, most_bytes=most_bytes).collect()
+    cell = lambda k: (lambda all_: {r[0]: sum(a < (r[k] or "") for a in all_) * 8 // len(rows) for r in rows})([r[k] or "" for r in rows])
+    source, lang = cell(3), cell(2)
+    order = sorted(rows, key=lambda r: (_curve_place([source[r[0]], lang[r[0]]], 3), r[0]))
+    first = [-(-s * len(rows) // 7) for s in range(7)]
+    want = {r[0]: (p * 7 // len(rows), p - first[p * 7 // len(rows)]) for p, r in enumerate(order)}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want
+
+
 def test_hilbert_neighbours_touch(spark):
     axes, bits = ["x", "y", "z"], 3
     df = spark.range(8**3).selectExpr("cast(id % 8 as int) x", "cast(id div 8 % 8 as int) y", "cast(id div 64 as int) z", "cast(id % 8 as int) a", "cast(id div 8 % 8 as int) b", "cast(id div 64 as int) c")

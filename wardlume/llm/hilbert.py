@@ -47,29 +47,39 @@ def string_cells(df: DataFrame, name: str, bits: int) -> DataFrame:
     return x.select("value", F.floor(F.col("smaller") * (1 << bits) / whole).cast("int").alias("cell"))
 
 
-def quantised(df: DataFrame, columns: list[str], bits: int) -> tuple[DataFrame, list[Column]]:
+def quantised(df: DataFrame, columns: list[str], bits: int, most_bytes: int = 1 << 20, salts: int = 64) -> tuple[DataFrame, list[Column]]:
     """The table with what the cells need, and for each column its cell, spread over 0 to 2**bits - 1.
 
     A number's cell is the share of the column's quantile bounds below it; the bounds are one row of mergeable summaries over all rows,
-    2**bits - 1 numbers a column. A string's cell is looked up by its whole value.
+    2**bits - 1 numbers a column. Cells of strings rise with the strings, so the first string of each cell, 2**bits a column at most, is all that a row
+    needs; no row is shuffled for its cell. Where these few are longer than ``most_bytes`` in all, cells are joined by whole values, dealt to ``salts`` tasks each.
     """
     top = (1 << bits) - 1
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
     numbers = [c for c in columns if not isinstance(df.schema[c].dataType, T.StringType)]
     row = df.agg(*[F.percentile_approx(ordered_number(df, c), cuts, 10_000).alias(f"q{columns.index(c)}") for c in numbers]).first() if numbers else {}
-    cells, out = {}, []
+    joined, out = {}, []
     for k, c in enumerate(columns):
         if c in numbers:
             bounds = sorted(set(row[f"q{k}"] or []))
             x = ordered_number(df, c)
             below = reduce(lambda s, b: s + (x > F.lit(b)).cast("int"), bounds, F.lit(0))
             out.append(F.floor(below * top / max(1, len(bounds))).cast("int"))
+            continue
+        cells = string_cells(df, c, bits)
+        first = cells.groupBy("cell").agg(F.min("value").alias("first"))
+        if (first.agg(F.sum(F.octet_length("first"))).first()[0] or 0) <= most_bytes:
+            value = F.coalesce(F.col(c), F.lit(""))
+            starts = sorted(first.collect(), key=lambda r: r["cell"])  # a row a cell
+            out.append(reduce(lambda s, r: F.when(value >= F.lit(r["first"]), F.lit(r["cell"])).otherwise(s), starts, F.lit(0)).cast("int"))
         else:
-            cells[c] = string_cells(df, c, bits).withColumnsRenamed({"value": f"_value{k}", "cell": f"_cell{k}"})
+            joined[c] = cells.select(F.col("value").alias(f"_value{k}"), F.col("cell").alias(f"_cell{k}"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(f"_salt{k}"))
             out.append(F.col(f"_cell{k}"))
     for k, c in enumerate(columns):
-        if c in cells:
-            df = df.join(cells[c], F.coalesce(df[c], F.lit("")) == F.col(f"_value{k}"))
+        if c in joined:
+            salt = F.pmod(F.xxhash64(*[x for x in df.columns]), F.lit(salts)).cast("int")
+            df = df.withColumn("_salt", salt)
+            df = df.join(joined[c], (F.coalesce(df[c], F.lit("")) == F.col(f"_value{k}")) & (df["_salt"] == F.col(f"_salt{k}"))).drop("_salt", f"_value{k}", f"_salt{k}")
     return df, out
 
 
@@ -112,12 +122,12 @@ def hilbert_index(axes: list[str], bits: int) -> list[tuple[str, Column]]:
 
 def hilbert_shards(
     docs: DataFrame, columns: list[str], shards: int = 8, bits: int = 4, law: str = "rows",
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", most_bytes: int = 1 << 20,
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, curve, shard, slot (gapless from 0 in its shard), grown_shard (null).
 
-    The only shuffle is a range partition by (curve, doc_id) of narrow rows; places are counted within partitions,
-    and partition totals (one row each) give the offsets. No row number runs over all rows in one task.
+    Rows are shuffled once, by a range partition by (curve, doc_id) of narrow rows; before that the distinct values of each string column are counted and put in
+    order. Places are counted within partitions, and partition totals (one row each) give the offsets. No row number runs over all rows in one task.
     """
     if law not in LAWS:
         raise ValueError(f"law is one of {LAWS}")
@@ -127,7 +137,7 @@ def hilbert_shards(
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         *[F.col(c).alias(n) for c, n in zip(columns, named, strict=True)])
-    rows, cells = quantised(rows, named, bits)
+    rows, cells = quantised(rows, named, bits, most_bytes)
     df = rows.select("doc_id", "size", "text_crc32", *[q.alias(a) for q, a in zip(cells, axes, strict=True)])
     for name, step in hilbert_index(axes, bits):
         df = df.withColumn(name, step)
