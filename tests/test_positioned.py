@@ -3,8 +3,9 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
-from wardlume.operators import layout
+from wardlume.operators import layout, rules
 from wardlume.sources import positioned
+from wardlume.sources.staging import staged
 
 COLUMNS = "doc_id long, page int, block_id long, text string, size double, x0 double, x1 double, y double, y1 double, page_height double"
 
@@ -111,6 +112,9 @@ def test_tables_lists_headings_and_running_lines(spark):
     assert got[3] == [(0, "document", None), (1, "section", "Page 0"), (2, "paragraph", "Known place"), (2, "paragraph", "No place at all here")]
     assert nodes.filter("node_type = 'document' and doc_id = 1").first().props["title_candidate"] == "A law on roads"
     assert positioned.positioned_nodes(spark.createDataFrame([], COLUMNS)).count() == 0
+    # the rules run over it as over any node table
+    found = {(r.doc_id, r.rule_id) for r in rules.audit(staged(nodes)).collect()}
+    assert {(1, "DOCUMENT_LANGUAGE_MISSING"), (2, "DOCUMENT_LANGUAGE_MISSING")} <= found and (1, "TABLE_MISSING_HEADERS") not in found
 
 
 def test_merged_cells_and_header_rows(spark):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import list_marker, trimmed
+from .ledger import folded
 
 
 def heading_sizes(blocks: DataFrame, factor: float = 1.15) -> DataFrame:
@@ -131,21 +131,20 @@ def cell_spans(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nested_levels(items: DataFrame, step: float = 12.0) -> DataFrame:
-    """List items with a nesting level from their indents: deeper by more than ``step`` opens a level, shallower closes levels. One group is one list."""
-
-    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        stack: list[float] = []
-        out = []
-        for x in pdf["x0"]:
-            while stack and x < stack[-1] - step:
-                stack.pop()
-            if not stack or x > stack[-1] + step:
-                stack.append(x)
-            out.append(len(stack) - 1)
-        return pdf[["doc_id", "list_id", "pos"]].assign(nesting=out)
-
-    return items.select("doc_id", "list_id", "pos", "x0").groupBy("doc_id", "list_id").applyInPandas(levels, "doc_id long, list_id string, pos int, nesting int")
+    """List items with a nesting level from their indents: deeper by more than ``step`` opens a level, shallower closes levels.
+
+    A fold over one list's items in order that carries only the open levels, however long the list is.
+    """
+
+    def level(opened: list[float], r: tuple) -> tuple:
+        while opened and r.x0 < opened[-1] - step:
+            opened.pop()
+        if not opened or r.x0 > opened[-1] + step:
+            opened.append(r.x0)
+        return r.doc_id, r.list_id, r.pos, len(opened) - 1
+
+    rows = items.select(F.to_json(F.struct("doc_id", "list_id")).alias("key"), "pos", "doc_id", "list_id", "x0")
+    return folded(rows, ["pos"], list, level, "doc_id long, list_id string, pos int, nesting int")
 
 
 def backward_pages(tags: DataFrame) -> DataFrame:
