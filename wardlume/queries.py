@@ -310,7 +310,8 @@ def _colors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def contrast_suggestions(spark, sf):
-    c = _colors(spark, sf)
+    # a few MB of parts are one split, but much work: dealt over all cores
+    c = _colors(spark, sf).repartition(spark.sparkContext.defaultParallelism, "id")
     need = color.required(F.col("pt"), F.col("strong"))
     new = color.nearest_passing(F.col("fg"), F.col("bg"), need)
     return c.select("id", "fg", "bg", new.alias("new_fg")).filter("new_fg is not null")
