@@ -8,7 +8,7 @@ sets are verified only if they share the smaller m of prefix tokens, and what fo
 
 Groups of near copies shrink first: each set is verified against the most central sets of its lists, and sets linked
 so far are one component. Then pairs of different components are listed, in a list with its largest component only those that
-lead out of it. A join row is made only if the 512-bit maps of the two prefixes allow the shared tokens asked for: bits that
+lead out of it. A join row is made only at the first tokens that a pair can share, and if the 512-bit maps of the two prefixes allow the shared tokens asked for: bits that
 differ stand for tokens that one prefix has alone.
 
 Defined results: a null text counts as empty; a text without words has no shingles and is linked with nothing; rows with
@@ -131,30 +131,41 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 MAP_LONGS = 8
 
 
-def _bit_map(token: Column) -> Column:
-    """The map of a group's tokens: an array of MAP_LONGS longs."""
+def _bit_map(token: Column) -> list[Column]:
+    """The map of a group's tokens: MAP_LONGS longs, map0 and so on."""
     bit, word = F.expr("shiftleft(1L, cast(token & 63 as int))"), token.bitwiseAND(64 * MAP_LONGS - 64)
-    return F.array(*[F.bit_or(F.when(word == 64 * i, bit).otherwise(0)) for i in range(MAP_LONGS)])
+    return [F.bit_or(F.when(word == 64 * i, bit).otherwise(0)).alias(f"map{i}") for i in range(MAP_LONGS)]
 
 
 def cross_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Written (a, b) of different components that share enough prefix tokens to be linked."""
+    """Written (a, b) of different components that share enough prefix tokens to be linked.
+
+    Tokens have one order for all sets, short lists first. A pair that must share k tokens has the first of them among all but the
+    last k - 1 of either set, so it meets only there: once or a few times, not once for each token that close sets share.
+    """
     x = entries.join(roots.select(F.col("node").alias("_n"), "root"), F.col("id.key") == F.col("_n"), "left").select(
         "token", "id", F.coalesce("root", "id.key").alias("root"))
     # lists of several components, with the component that most of their sets are in
-    lists = x.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots"))
-    x = x.join(lists.filter("roots > 1").select("token", F.col("most.root").alias("main")), "token")
-    x = written(x.select("token", "id", "root", (F.col("root") != F.col("main")).alias("apart")), "open-lists")
-    maps = x.groupBy("id.key").agg(_bit_map(F.col("token")).alias("map"), F.count("*").alias("size"))
-    x = x.join(maps.withColumnRenamed("key", "_k"), F.col("id.key") == F.col("_k")).drop("_k")
-    x, y = (x.select("token", *[F.col(c).alias(f"{s}_{c}" if c != "id" else s) for c in ("id", "root", "apart", "map", "size")]) for s in "ab")
-    differ = sum((F.bit_count(F.col("a_map")[i].bitwiseXOR(F.col("b_map")[i])) for i in range(MAP_LONGS)), F.lit(0))
-    at_most = F.floor((F.col("a_size") + F.col("b_size") - differ) / 2)
+    lists = x.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots"), F.sum("size").alias("length"))
+    x = x.join(lists.filter("roots > 1").select("token", F.col("most.root").alias("main"), "length"), "token")
+    of = Window.partitionBy("id.key")
+    x = x.withColumns({"size": F.count("*").over(of), "behind": F.count("*").over(of) - F.row_number().over(of.orderBy("length", "token"))})
+    x = written(x.select("token", "id", "root", "size", "behind", (F.col("root") != F.col("main")).alias("apart")), "open-lists")
+    maps = x.groupBy(F.col("id.key").alias("_k")).agg(*_bit_map(F.col("token")))
+    x = x.join(maps, F.col("id.key") == F.col("_k")).drop("_k")
+    columns = ["id", "root", "apart", "size", "behind", *[f"map{i}" for i in range(MAP_LONGS)]]
+    x, y = (x.select("token", *[F.col(c).alias(f"{s}_{c}" if c != "id" else s) for c in columns]) for s in "ab")
+    differ = sum((F.bit_count(F.col(f"a_map{i}").bitwiseXOR(F.col(f"b_map{i}"))) for i in range(MAP_LONGS)), F.lit(0))
+    at_most = F.shiftright(F.col("a_size") + F.col("b_size") - differ, 1)
+    # had they not met before, they share this token and what is behind it at most
+    early = F.least("a_behind", "b_behind") + 1
     met = x.filter("a_apart").join(y, "token").filter(
-        (F.col("a_root") != F.col("b_root")) & (~F.col("b_apart") | (F.col("a.key") < F.col("b.key"))) & _may_match(at_most, percent))
+        (F.col("a_root") != F.col("b_root")) & (~F.col("b_apart") | (F.col("a.key") < F.col("b.key"))) & (early >= F.least("a.m", "b.m")) & _may_match(F.least(early, at_most), percent))
     # which of the two is apart can differ from list to list
-    hits = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("hits"))
-    return written(hits.filter(_may_match(F.col("hits"), percent)).select("a", "b"), "cross-pairs")
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met-pairs")
+    some = pairs.select("a.key").union(pairs.select("b.key")).distinct()
+    tokens = entries.select("id.key", "token").join(some, "key", "left_semi").groupBy("key").agg(F.collect_list("token").alias("tokens"))
+    return written(compared(pairs, tokens).filter(_may_match(F.col("common"), percent)).select("a", "b"), "cross-pairs")
 
 
 def ngram_join(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
