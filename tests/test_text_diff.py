@@ -89,3 +89,12 @@ def test_line_changes_take_whole_texts(spark):
     after = spark.createDataFrame([(1, long + "\nlast"), (3, "x")], "k long, text string")
     got = {tuple(r) for r in findings.line_changes(before, after, "k", "text").collect()}
     assert got == {(1, "+", "last", 1), (2, "-", "", 1), (3, "+", "x", 1)}
+
+
+def test_hunks_are_applied_beside_their_text_without_a_shuffle(spark):
+    texts = [(1, "a\nb\nc", "a\nc\nd"), (2, None, "x"), (3, "x", None), (4, None, None), (5, "", ""), (6, "\n".join(map(str, range(60))), "\n".join(str(i) for i in range(60) if i % 20)), (7, "-a\n+b", "+b\n+c\n"), (8, "p", "")]
+    rows = text_diff.hunked(spark.createDataFrame(texts, "k long, before string, after string"), "k").withColumn("net", text_diff.marked_lines("+") - text_diff.marked_lines("-"))
+    done = text_diff.patched_texts(rows)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    lines = lambda s: 0 if s is None else s.count("\n") + 1
+    assert {(r.k, r.after, r.net) for r in done.collect()} == {(k, b, lines(b) - lines(a)) for k, a, b in texts}

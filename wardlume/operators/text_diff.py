@@ -132,10 +132,11 @@ def hunks_of(a: list[str], b: list[str], context: int = 3) -> list[tuple[int, in
     return out
 
 
-def unified_hunks(pairs: DataFrame, key: str, before: str = "before", after: str = "after", context: int = 3) -> DataFrame:
-    """(key, hunk, before_start, before_lines, after_start, after_lines, lines) of rows (key, before, after): no rows where nothing changed."""
+def hunked(pairs: DataFrame, key: str, before: str = "before", after: str = "after", context: int = 3) -> DataFrame:
+    """(key, before, hunks) of rows (key, before, after): a pair's hunks beside its text, an empty array where nothing changed."""
     kind = pairs.schema[key].dataType
     names = ["hunk", "before_start", "before_lines", "after_start", "after_lines"]
+    hunk = pa.struct([*((n, pa.int64()) for n in names), ("lines", pa.list_(pa.string()))])
 
     def split(s: str | None) -> list[str]:
         return [] if s is None else s.split("\n")
@@ -144,18 +145,37 @@ def unified_hunks(pairs: DataFrame, key: str, before: str = "before", after: str
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                at, rows = [], []
-                for i, (x, y) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    found = hunks_of(split(x), split(y), context)
-                    at += [i] * len(found)
-                    rows += [(n + 1, *h) for n, h in enumerate(found)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at, pa.int64())), *[pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], pa.array([r[5] for r in rows], pa.list_(pa.string()))], [key, *names, "lines"])
-
-    schema = f"`{key}` {kind.simpleString()}, {', '.join(f'{n} long' for n in names)}, lines array<string>"
+                rows = []
+                for x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    rows.append([dict(zip([*names, "lines"], (n + 1, *h), strict=True)) for n, h in enumerate(hunks_of(split(x), split(y), context))])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.list_(hunk))], [key, "before", "hunks"])
+
+    schema = f"`{key}` {kind.simpleString()}, before string, hunks array<struct<{', '.join(f'{n}: bigint' for n in names)}, lines: array<string>>>"
     return pairs.select(key, F.col(before).cast("string").alias("before"), F.col(after).cast("string").alias("after")).mapInArrow(run, schema)
 
 
+def unified_hunks(pairs: DataFrame, key: str, before: str = "before", after: str = "after", context: int = 3) -> DataFrame:
+    """(key, hunk, before_start, before_lines, after_start, after_lines, lines) of rows (key, before, after): no rows where nothing changed."""
+    return hunked(pairs, key, before, after, context).select(key, F.inline("hunks"))
+
+
+def marked_lines(mark: str) -> Column:
+    """How many lines of a row's ``hunks`` have the mark."""
+    return F.aggregate("hunks", F.lit(0).cast("long"), lambda n, h: n + F.size(F.filter(h["lines"], lambda x: x.startswith(mark))))
+
+
+def patched_texts(rows: DataFrame) -> DataFrame:
+    """Rows of ``hunked`` with ``after``: the text before with its hunks applied, row by row; null where no line is left."""
+    x = rows.withColumn("_old", F.coalesce(F.split("before", "\n", -1), F.array().cast("array<string>")))
+    start = lambda h: (h["before_start"] - F.when(h["before_lines"] > 0, 1).otherwise(0)).cast("int")
+    done = lambda i: F.when(i > 0, start(F.get("hunks", i - 1)) + F.get("hunks", i - 1)["before_lines"].cast("int")).otherwise(0)
+    new = lambda h: F.transform(F.filter(h["lines"], lambda x: ~x.startswith("-")), lambda x: x.substr(F.lit(2), F.length(x)))
+    changed = F.flatten(F.transform("hunks", lambda h, i: F.concat(F.slice("_old", done(i) + 1, start(h) - done(i)), new(h))))
+    last = done(F.size("hunks"))
+    x = x.withColumn("_new", F.concat(changed, F.slice("_old", last + 1, F.size("_old") - last)))
+    return x.withColumn("after", F.when(F.size("_new") > 0, F.array_join("_new", "\n"))).drop("_old", "_new")
+
+
 def hunk_header() -> Column:
     """The line over a hunk: places and lengths, a length of 1 left out."""
     side = lambda s: F.concat(F.col(f"{s}_start").cast("string"), F.when(F.col(f"{s}_lines") == 1, "").otherwise(F.concat(F.lit(","), F.col(f"{s}_lines").cast("string"))))

@@ -9,7 +9,6 @@ from .operators import dashboards, document_checks, findings, ledger, scoring, t
 from .plans import dims, planner
 from .queries_nodes import passing_sql
 from .registry import ORACLES, Derived, pick, query
-from .sources.staging import staged
 from .sources.tables import table
 
 # an order as a document with counters
@@ -301,11 +300,9 @@ def text_diffs(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     revised = d.selectExpr("2 * doc_id AS pair", "text AS before", f"array_join({_REVISED}, '\n') AS after")
     following = d.join(d.selectExpr("doc_id - 1 AS doc_id", "text AS after"), "doc_id").selectExpr("2 * doc_id + 1 AS pair", "text AS before", "after")
-    pairs = staged(revised.union(following), "versions")
-    hunks = staged(text_diff.unified_hunks(pairs, "pair"), "hunks")
-    counts = text_diff.unified_texts(hunks, "pair").select("pair", (F.col("added") - F.col("removed")).alias("net"))
-    back = text_diff.patched(pairs, hunks, "pair").select("pair", F.sha2("after", 256).alias("after_sha256"))
-    return back.join(counts, "pair", "left").select("pair", F.coalesce("net", F.lit(0)).cast("long").alias("net"), "after_sha256")
+    # a pair's hunks stay beside its text, so texts are shuffled for the document that follows only
+    rows = text_diff.hunked(revised.union(following), "pair").withColumn("net", text_diff.marked_lines("+") - text_diff.marked_lines("-"))
+    return text_diff.patched_texts(rows).select("pair", "net", F.sha2("after", 256).alias("after_sha256"))
 
 
 # teams, users and jobs: a customer is a user, a nation a team
