@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import color, fixed_values, text
 from .operators import executors, layout, rules
 from .registry import Derived, pick, query
-from .sources.tables import table
+from .sources.tables import dealt, table
 
 
 def _values(words) -> str:
@@ -422,7 +422,8 @@ def data_tables(spark, sf):
 s AS (SELECT *, CASE WHEN coalesce(lag(right_rule) OVER (PARTITION BY doc_id, row ORDER BY col), true) THEN 1 ELSE 0 END AS f FROM c), r AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, row ORDER BY col ROWS UNBOUNDED PRECEDING) AS run FROM s)
 SELECT doc_id, row, min(col) AS col, count(*)::INT AS col_span FROM r GROUP BY doc_id, row, run""")
 def cell_spans(spark, sf):
-    return layout.cell_spans(CELLS.df(spark, sf).groupBy("doc_id", "row", "col").agg(F.bool_or("right_rule").alias("right_rule")), ["doc_id"])
+    cells = dealt(CELLS.df(spark, sf).select("doc_id", "row", "col", "right_rule"), table(spark, sf, "lineitem"), "doc_id", "row")
+    return layout.cell_spans(cells.groupBy("doc_id", "row", "col").agg(F.bool_or("right_rule").alias("right_rule")), ["doc_id"])
 
 
 @query(r"""WITH RECURSIVE i AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, (o_orderkey * 7 % 60)::DOUBLE AS x0 FROM orders),

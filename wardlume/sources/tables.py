@@ -20,6 +20,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows that a task is to sort or gather at most, where keys are many.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys over as many tasks as its source ``rows`` (counted from file footers) need, so a task's memory doesn't grow with the table.
+
+    Aggregates and windows by these keys, or more, then work where the rows lie.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, -(-rows.count() // TASK_ROWS)), *keys)
+
+
 def format_of(path: Column) -> Column:
     """pdf, docx, pptx or html by extension; null for what can't be audited."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
