@@ -23,7 +23,7 @@ def trimmed(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(trimmed(c) == "", F.lit(True))
+    return F.coalesce(~c.rlike(r"\S"), F.lit(True))
 
 
 def normalized_link_text(c: Column) -> Column:
@@ -117,12 +117,16 @@ def document_id(c: Column) -> Column:
 
 def heading_level_of_line(c: Column) -> Column:
     """Level of a line that reads like a heading: numbered, all capitals, or short and ending in a colon; else null."""
-    t = trimmed(c)
+    return heading_level_of_trimmed(trimmed(c))
+
+
+def heading_level_of_trimmed(t: Column) -> Column:
+    """``heading_level_of_line`` of a column without white space at its ends, which is read several times."""
     number = F.regexp_extract(t, fixed.NUMBERED_LINE, 1)
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
     return (F.when((t == "") | (F.length(t) > 120) | t.contains("\n"), F.lit(None).cast("int"))
             .when(number != "", F.least(F.lit(6), F.regexp_count(number, F.lit(r"\.")) + 1))
-            .when((F.length(t) <= 80) & t.rlike(fixed.CAPITAL_LINE), 1).when((words <= 8) & t.endswith(":"), 2))
+            .when((F.length(t) <= 80) & t.rlike(fixed.CAPITAL_LINE), 1).when(t.endswith(":") & (words <= 8), 2))
 
 
 def list_marker(c: Column) -> Column:

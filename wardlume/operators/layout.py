@@ -9,13 +9,17 @@ from ..functions.text import list_marker, trimmed
 from .ledger import folded
 
 
-def heading_sizes(blocks: DataFrame, factor: float = 1.15) -> DataFrame:
-    """Blocks with a heading level by font size: sizes over ``factor`` times the body size (most characters, the smaller of equals), the largest first."""
+def size_levels(blocks: DataFrame, factor: float = 1.15) -> DataFrame:
+    """(doc_id, size, level): sizes over ``factor`` times the body size (most characters, the smaller of equals), the largest first."""
     by_size = blocks.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("chars"))
     body = by_size.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("body"))
     large = by_size.join(body, "doc_id").filter(F.col("size") > F.col("body") * factor)
-    rank = large.withColumn("level", F.least(F.lit(6), F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))).select("doc_id", "size", "level")
-    return blocks.join(rank, ["doc_id", "size"], "left")
+    return large.withColumn("level", F.least(F.lit(6), F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))).select("doc_id", "size", "level")
+
+
+def heading_sizes(blocks: DataFrame, factor: float = 1.15) -> DataFrame:
+    """Blocks with a heading level by font size, as ``size_levels`` has them."""
+    return blocks.join(size_levels(blocks, factor), ["doc_id", "size"], "left")
 
 
 def title_candidates(blocks: DataFrame) -> DataFrame:
@@ -34,7 +38,8 @@ def is_numeric_cell(c: Column) -> Column:
 
 
 def is_list_item(c: Column) -> Column:
-    return list_marker(c).isNotNull()
+    """Whether ``list_marker`` finds one, asked at once."""
+    return F.coalesce(c.rlike(r"^\s*([-*•‣◦–—·]|\d{1,3}[.)])\s+\S"), F.lit(False))
 
 
 def running_key(c: Column) -> Column:
@@ -179,12 +184,17 @@ def inverted_slides(shapes: DataFrame, margin: int = 182_880) -> DataFrame:
     return real.withColumn("least", F.min(F.col("top") + F.col("height")).over(later)).filter(F.col("top") > F.col("least") + margin).select("doc_id", "slide").distinct()
 
 
-def fake_list_runs(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, run, kind, items): two or more paragraphs in a row that are typed like items of one list; numbers go on from 1."""
+def fake_list_runs(paragraphs: DataFrame, gaps: bool = True) -> DataFrame:
+    """(doc_id, run, kind, items): two or more paragraphs in a row that are typed like items of one list; numbers go on from 1.
+
+    Without ``gaps``, only those whose pos follow one another are in a row, so paragraphs that belong to no list may be left out.
+    """
     m = list_marker(F.col("text"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     x = paragraphs.select("doc_id", "pos", m.alias("m")).withColumns({"kind": F.col("m.kind"), "mark": F.col("m.mark"), "ordinal": F.col("m.ordinal")})
     same = (F.col("kind") == F.lag("kind").over(order)) & (F.col("mark") == F.lag("mark").over(order)) & (F.col("ordinal").isNull() | (F.col("ordinal") == F.lag("ordinal").over(order) + 1))
+    if not gaps:
+        same = same & (F.col("pos") == F.lag("pos").over(order) + 1)
     x = x.withColumn("run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("kind is not null")
     return x.groupBy("doc_id", "run").agg(F.first("kind").alias("kind"), F.count("*").alias("items"), F.min("pos").alias("first_pos"), F.min("ordinal").alias("first_ordinal")).filter("items >= 2 and coalesce(first_ordinal, 1) = 1").drop("first_ordinal")
 

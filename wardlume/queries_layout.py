@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .operators import layout
 from .registry import Derived, query
 from .sources import positioned
+from .sources.tables import dealt, numbered, table
 
 # a grid of four orders by their lines; a rule is drawn by the number of the supplier
 GRID = Derived("lineitem", {
@@ -63,12 +64,17 @@ o AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN
 
 
 def _blocks(spark, sf):
-    return PLACED.df(spark, sf).selectExpr(*[f"{e} AS {c}" for c, e in _BLOCK.items()])
+    """The blocks of PLACED. Its documents are few and grow with the table, so their lines are numbered within stretches of orders."""
+    lines = table(spark, sf, "lineitem")
+    x = lines.selectExpr(f"{PLACED.columns['doc_id']} AS doc_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{PLACED.columns['word']} AS word")
+    x = numbered(x, lines, ["doc_id"], F.expr("floor(l_orderkey / 150000)"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "n")
+    return x.select("doc_id", "n", "word").selectExpr(*[f"{e} AS {c}" for c, e in _BLOCK.items()])
 
 
 @query(f"WITH {_READ} SELECT doc_id, page, block_id, turn FROM o")
 def reading_orders(spark, sf):
     units = positioned.prepared(_blocks(spark, sf)).select(*positioned.PAGE, "block_id", "text", "x0", "x1", "y", "y1")
+    units = dealt(units, table(spark, sf, "lineitem"), *positioned.PAGE)
     return positioned.reading_order(units).select(*positioned.PAGE, "block_id", "turn")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank
 from ..operators import layout
+from .tables import numbered
 
 _FIELDS = {
     "kind": pa.string(), "seq": pa.int32(), "sub": pa.int32(), "slide": pa.int32(), "row": pa.int32(), "col": pa.int32(), "text": pa.string(), "style": pa.string(), "numbering": pa.string(), "target": pa.string(),
@@ -186,17 +187,22 @@ _VALUES = {"text": "string", "level": "int", "ordered": "boolean", "marker": "st
            "language": "string", "props": "map<string,string>"}
 
 
-def _nodes(rows: DataFrame, node_type: str, path: list[Column], at: list[Column], **values: Column) -> DataFrame:
+def _nodes(rows: DataFrame, node_type: str | Column, path: list[Column], at: list[Column], **values: Column) -> DataFrame:
     """Nodes of one kind: the ids from the root down, the place in reading order as numbers, and what the kind has."""
     kind = {k: values.get(k, F.create_map().cast(t) if k == "props" else F.lit(None)).cast(t) for k, t in _VALUES.items()}
     return rows.select("doc_id", F.col("format").alias("source_format"), F.lit(node_type).alias("node_type"), F.array(*path).alias("path"), F.array(*[c.cast("int") for c in at]).alias("at"), *[c.alias(k) for k, c in kind.items()])
 
 
-def _numbered(parts: list[DataFrame]) -> DataFrame:
-    """The node table's columns from nodes with paths and places."""
-    x = reduce(DataFrame.unionByName, parts).withColumns({"node_id": F.element_at("path", -1), "parent_id": F.get("path", F.size("path") - 2), "depth": F.size("path") - 1})
+def _numbered(parts: list[DataFrame], rows: DataFrame | None = None) -> DataFrame:
+    """The node table's columns from nodes with paths and places. With ``rows``, what they come from, nodes are numbered by the second number of their place first, for documents of any length."""
+    x = reduce(DataFrame.unionByName, parts)
+    dfs_pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+    if rows is not None:
+        x = numbered(x, rows, ["doc_id"], F.coalesce(F.get("at", F.lit(1)), F.lit(-(2**31))), ["at"], "dfs_pos")
+        dfs_pos = F.col("dfs_pos")
+    x = x.withColumns({"node_id": F.element_at("path", -1), "parent_id": F.get("path", F.size("path") - 2), "depth": F.size("path") - 1})
     doc, siblings = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "parent_id")
-    return x.withColumns({"dfs_pos": F.row_number().over(doc.orderBy("at")) - 1, "bfs_pos": F.row_number().over(doc.orderBy("depth", "at")) - 1, "sibling_pos": F.row_number().over(siblings.orderBy("at")) - 1,
+    return x.withColumns({"dfs_pos": dfs_pos, "bfs_pos": F.row_number().over(doc.orderBy("depth", "at")) - 1, "sibling_pos": F.row_number().over(siblings.orderBy("at")) - 1,
                           "content_kind": F.when(F.col("text").isNull(), "none").otherwise("text"), "row_span": F.when(F.col("node_type") == "table_cell", 1), "col_span": F.when(F.col("node_type") == "table_cell", 1)}).drop("at")
 
 

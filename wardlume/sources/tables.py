@@ -33,6 +33,18 @@ def dealt(df: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(usual, -(-rows.count() // TASK_ROWS)), *keys)
 
 
+def numbered(df: DataFrame, rows: DataFrame, keys: list[str], part: Column, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, each row's number from 0 within keys in the order given; ``part`` never falls in that order.
+
+    Rows are numbered within parts, and only the sizes of parts are summed over whole keys: so a key may hold more rows than a task is to sort.
+    """
+    x = df.withColumn("_part", part)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = x.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    return dealt(x, rows, *keys, "_part").join(sizes, [*keys, "_part"]).withColumn(name, (F.col("_before") + place).cast("int")).drop("_part", "_before")
+
+
 def format_of(path: Column) -> Column:
     """pdf, docx, pptx or html by extension; null for what can't be audited."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
