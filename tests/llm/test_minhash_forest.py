@@ -127,3 +127,17 @@ def test_minhashes_estimate_similarity():
     for x, y in ((0, 1), (0, 2), (1, 2)):
         sx, sy = shingles(texts[x]), shingles(texts[y])
         assert abs((sig[:, x] == sig[:, y]).mean() - len(sx & sy) / len(sx | sy)) < 0.1
+
+
+def test_regions_inside_another_go(spark):
+    """What is dropped lies whole in a region that stays, also by way of one that goes; regions of the same members leave one."""
+    from wardlume.llm.minhash_forest import without_inner
+
+    regions = {1: {1, 2}, 2: {1, 2, 3}, 3: {1, 2, 3, 4}, 4: {4, 5}, 5: {6, 7}, 6: {6, 7}, 7: {2, 5}}
+    leaves = spark.createDataFrame([(r, k) for r, ks in regions.items() for k in ks], "region long, key long")
+    left = {}
+    for r in without_inner(leaves).collect():
+        left.setdefault(r.region, set()).add(r.key)
+    assert all(ks == regions[r] for r, ks in left.items())
+    assert {3, 4, 7} <= set(left) and not {1, 2} & set(left) and len({5, 6} & set(left)) == 1
+    assert all(any(ks <= other for other in left.values()) for ks in regions.values())

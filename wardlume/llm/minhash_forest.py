@@ -7,7 +7,7 @@ more than ``crowd`` of them (or more than ``weight`` shingles) do, the region is
 is a matter of the region, and a region's work is bounded however many copies there are.
 
 A region's sets are compared in one task, all with all, by products of its shingle matrix; only a spanning forest of the links that hold
-on the full sets leaves the task. Regions of the same members in several trees are compared once. In a crowded region every member is compared
+on the full sets leaves the task. Regions of the same members in several trees are compared once, and those that lie in another not at all. In a crowded region every member is compared
 with the region's leader too, the member that stays in company to the greatest depth: in a group of near copies that is the text they come from.
 
 Two sets of similarity s miss each other in all regions that are not crowded with a chance of (1 - s^start)^trees: at the threshold of
@@ -116,6 +116,18 @@ def regions(classes: DataFrame, trees: int, levels: int, start: int, crowd: int,
     return written(leaves, "leaves"), written(led, "leaders")
 
 
+def without_inner(leaves: DataFrame) -> DataFrame:
+    """Written (region, key) but regions whose members all lie in one other region: there they are compared anyway.
+
+    A region goes if the largest region (by members, then number) of each of its members is the same and another one; so those that hold it stay or lie in one that does.
+    """
+    sizes = leaves.groupBy("region").agg(F.count("*").alias("members"))
+    x = leaves.join(sizes, "region").withColumn("at", F.struct("members", "region"))
+    most = x.groupBy("key").agg(F.max("at").alias("most"))
+    outer = x.join(most, "key").groupBy("region").agg(F.max("at").alias("at"), F.min("most").alias("least"), F.max("most").alias("most")).filter("least < most or most = at").select("region")
+    return written(leaves.join(outer, "region", "left_semi"), "leaves")
+
+
 def _common(tokens: list[np.ndarray]) -> np.ndarray:
     """How many tokens each two of some sets share: products of the matrix of sets and tokens that two sets or more have."""
     m = len(tokens)
@@ -213,6 +225,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 3, trees: int =
     classes = written(some.groupBy("key", "key2", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     release(spark)
     leaves, led = regions(classes, trees, levels, start, crowd, weight)
+    leaves = without_inner(leaves)
     release(spark)
     keys = leaves.select("key").union(led.select("key")).union(led.select("leader")).distinct()
     sets = set_table(rows, classes.join(keys, "key", "left_semi").select("doc", "key", "key2", "n"), width)
