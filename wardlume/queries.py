@@ -124,7 +124,8 @@ SELECT coalesce(a.host, b.host) AS host, count(*) FILTER (a.host IS NULL) AS new
 FROM a FULL JOIN b ON a.host = b.host AND a.fingerprint = b.fingerprint GROUP BY 1""")
 def fingerprint_diff(spark, sf):
     host = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), urls.host(F.col("url")).alias("host"))
-    f = finding_fingerprints(spark, sf).join(host, "doc_id")
+    # both scans are read from it, so pages are audited once
+    f = staged(finding_fingerprints(spark, sf).join(host, "doc_id"), "fingerprints")
     return findings.fingerprint_diff(f.filter("doc_id % 2 = 0"), f.filter("doc_id % 2 = 1"), "host")
 
 
