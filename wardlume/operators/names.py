@@ -36,17 +36,24 @@ def given(name: str) -> Column:
     return ~blank(attr(name))
 
 
-def label_text(c: Column) -> Column:
-    """A text as the name of a field: without marks around it; null unless it reads like a short noun phrase."""
+def _plain(c: Column) -> Column:
+    """A text without marks around it, with single spaces."""
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s •*\-–—·:]+", "")
     t = F.regexp_replace(F.regexp_replace(t, r"[\s ]+", " "), r"^ | $", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[: ]+$", ""), r"[ $€£¥%#*]+$", "")
-    low = F.lower(t)
+    return F.regexp_replace(F.regexp_replace(t, r"[: ]+$", ""), r"[ $€£¥%#*]+$", "")
+
+
+def with_label(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """``df`` with ``name``: the text ``c`` as the name of a field, without marks around it; null unless it reads like a short noun phrase.
+
+    Steps are columns of their own, so each is worked out once a row; a null text takes no step.
+    """
+    t, low, words = F.col("_plain"), F.col("_low"), F.col("_words")
     word = lambda w: F.regexp_replace(w, r"^[.,;:!?]+|[.,;:!?]+$", "")
-    words = F.split(low, " ")
     wrong = ((t == "") | (F.length(t) > MOST_CHARS) | ~t.rlike(r"\p{L}") | low.isin(*PROMPTS, *NO_LABELS) | word(words[0]).isin(*INSTRUCTIONS) | word(F.element_at(words, -1)).isin("required", "optional")
              | t.rlike(r"[.?!]$") | (t.contains(".") & t.contains(" ")) | low.rlike(rf"^({'|'.join(HEADING_WORDS)})\b") | (F.size(words) > MOST_WORDS))
-    return F.when(~wrong, t)
+    x = df.withColumn("_plain", F.when(c != "", _plain(c))).withColumn("_low", F.lower(t)).withColumn("_words", F.split(low, " "))
+    return x.withColumn(name, F.when(t.isNotNull() & ~wrong, t)).drop("_plain", "_low", "_words")
 
 
 def kind_of() -> Column:
@@ -58,15 +65,27 @@ def is_field() -> Column:
     return F.col("tag").isin(*CONTROLS) & ~kind_of().isin(*UNLABELLED_TYPES)
 
 
+def _parts(elements: DataFrame) -> DataFrame:
+    """What names of fields follow from: ``link`` (the id that a label is for, or a field has), ``free`` (a label that is for nothing), ``lent`` (a name by attributes)."""
+    label = F.col("tag") == "label"
+    return elements.select(
+        "doc_id", "pos", "last", "parent", "tag", "said", "bare", "cell", kind_of().alias("kind"), is_field().alias("is_field"), F.when(label, F.nullif(attr("for"), F.lit(""))).when(is_field(), attr("id")).alias("link"),
+        (label & ~given("for")).alias("free"), (is_field() & (given("aria-label") | given("aria-labelledby") | given("title"))).alias("lent"))
+
+
+def _named(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``named``, for fields: whether a name comes from attributes, from a label for the id, or from a label around the field."""
+    label = F.col("tag") == "label"
+    # a label that is still open here: its end is at this place or behind it
+    open_ = F.max(F.when(label, F.col("last"))).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    meant = F.col("link").isNotNull() & F.max(label).over(Window.partitionBy("doc_id", "link"))
+    x = parts.withColumn("meant", meant).withColumn("within", F.coalesce(open_ >= F.col("pos"), F.lit(False)))
+    return x.withColumn("named", F.when(F.col("is_field"), F.col("lent") | F.col("within") | F.col("meant"))).drop("meant", "within", "lent", "link")
+
+
 def named_fields(elements: DataFrame) -> DataFrame:
     """(doc_id, pos, parent, cell, kind, named): every field, and whether it has a name: by its own attributes, by a label for its id, or by a label around it."""
-    x = elements.filter(F.col("tag").isin(*CONTROLS, "label"))
-    # a label that is still open here: its end is at this place or behind it
-    open_ = F.max(F.when(F.col("tag") == "label", F.col("last"))).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    fields = x.withColumn("within", open_ >= F.col("pos")).filter(is_field()).select(
-        "doc_id", "pos", "parent", "cell", kind_of().alias("kind"), attr("id").alias("id"), (given("aria-label") | given("aria-labelledby") | given("title") | F.coalesce("within", F.lit(False))).alias("named"))
-    for_ = x.filter((F.col("tag") == "label") & (attr("for") != "")).select("doc_id", attr("for").alias("id")).distinct().withColumn("is_target", F.lit(True))
-    return fields.join(for_, ["doc_id", "id"], "left").select("doc_id", "pos", "parent", "cell", "kind", (F.col("named") | F.coalesce("is_target", F.lit(False))).alias("named"))
+    return _named(_parts(elements.filter(F.col("tag").isin(*CONTROLS, "label")))).filter("is_field").select("doc_id", "pos", "parent", "cell", "kind", "named")
 
 
 def derived_labels(elements: DataFrame, fields: DataFrame) -> DataFrame:
@@ -75,36 +94,50 @@ def derived_labels(elements: DataFrame, fields: DataFrame) -> DataFrame:
     That is a label of its own without a target, else the text since the control before, both beside the field; neither if the next field
     beside it has no label of its own, as the two share it; else the cell to the left. Boxes and buttons of a group have none.
     """
-    open_ = fields.filter(~F.col("named") & ~F.col("kind").isin(*GROUPED_TYPES))
-    places = open_.select("doc_id", "parent").distinct()
-    beside = elements.join(places, ["doc_id", "parent"], "left_semi")
-    controls = elements.filter(F.col("tag").isin(*CONTROLS)).select("doc_id", F.col("pos").alias("control"))
-    # whether a control is inside: the next control behind the start, over labels and controls alone
-    within = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    next_ = F.min(F.when(F.col("tag").isin(*CONTROLS), F.col("pos"))).over(within)
-    around = elements.filter(F.col("tag").isin(*CONTROLS, "label")).withColumn("holds", F.coalesce(next_ <= F.col("last"), F.lit(False))).filter("tag = 'label'").select("doc_id", "pos", "holds")
-    x = beside.join(around, ["doc_id", "pos"], "left")
-    ends = F.col("tag").isin(*CONTROLS) | F.col("tag").isin(*LABEL_ENDS)
-    own = (F.col("tag") == "label") & ~given("for") & ~F.coalesce("holds", F.lit(False))
+    return _told(_parts(elements).join(fields.select("doc_id", "pos", "named"), ["doc_id", "pos"], "left"), elements).filter("label is not null").select("doc_id", "pos", "label")
+
+
+def labelled_fields(elements: DataFrame) -> DataFrame:
+    """``named_fields`` with the ``derived_labels`` of those without a name, in one pass: all sorting is within pages, so rows dealt by doc_id are not shuffled."""
+    return _told(_named(_parts(elements)), elements)
+
+
+def _told(x: DataFrame, elements: DataFrame) -> DataFrame:
+    """(doc_id, pos, parent, cell, kind, named, label) of the fields among parts that hold ``named``."""
+    control = F.col("tag").isin(*CONTROLS)
+    ends = control | F.col("tag").isin(*LABEL_ENDS)
+    x = x.withColumn("open", F.coalesce(F.col("is_field") & ~F.col("named") & ~F.col("kind").isin(*GROUPED_TYPES), F.lit(False)))
+    # whether a control is inside: the next control behind the start
+    next_ = F.expr(f"lead(CASE WHEN tag IN {CONTROLS} THEN pos END) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY pos)")
+    x = x.withColumn("holds", F.coalesce(next_ <= F.col("last"), F.lit(False)))
+    # beside fields without a name: stretches up to a control or heading
+    beside = Window.partitionBy("doc_id", "parent").orderBy("pos")
+    whole = beside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumns({"asked": F.max("open").over(whole) & F.col("parent").isNotNull(), "reach": F.coalesce(F.sum(ends.cast("int")).over(beside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    x = x.filter(F.col("asked") | F.col("is_field"))
     free = ~ends & (F.col("tag") != "label")
-    order = Window.partitionBy("doc_id", "parent").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda c: F.coalesce(F.sum(c.cast("int")).over(order), F.lit(0))
-    x = x.withColumns({"reach": count(ends), "turn": count(is_field()), "own": F.when(own, label_text(F.col("said"))), "free": F.when(free, F.col("said")), "is_field": is_field(), "long": free & F.col("said").isNull()})
-    # of every stretch up to a control: its last own label, its text, and the field that ends it
+    x = with_label(x.withColumns({"own": F.col("free") & ~F.col("holds"), "said_free": F.when(free, F.col("said")), "long": free & F.col("said").isNull()}),
+                   "name", F.when(F.col("asked") & (F.col("own") | free), F.col("said")))
+    # of every stretch: its last own label, its text, whether any label or text in it reads like one, and the field that ends it
     stretch = x.groupBy("doc_id", "parent", "reach").agg(
-        F.max(F.when(F.col("own").isNotNull(), F.struct("pos", "own"))).alias("own"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("free").isNotNull(), F.struct("pos", "free")))), lambda t: t["free"]), "").alias("inline"),
-        F.max("long").alias("long"), F.max(F.when(F.col("is_field"), F.col("pos"))).alias("pos"), F.max(F.when(F.col("is_field"), F.col("turn"))).alias("turn"))
-    # up to the next field, is there a label of its own: any label or text that reads like one
-    turns = x.groupBy("doc_id", "parent", "turn").agg(F.max((F.coalesce("own", label_text(F.col("free")))).isNotNull()).alias("pending"), F.max("is_field").alias("ends_in_field"))
-    after = turns.select("doc_id", "parent", (F.col("turn") - 1).alias("turn"), (F.col("ends_in_field") & ~F.col("pending")).alias("shared"))
-    near = stretch.filter("pos is not null").join(after, ["doc_id", "parent", "turn"], "left")
-    inline = F.when(~F.col("long"), label_text(F.col("inline")))
-    near = near.select("doc_id", "pos", F.when(~F.coalesce("shared", F.lit(False)), F.coalesce("own.own", inline)).alias("near"))
-    cells = elements.filter(F.col("tag").isin("td", "th")).select("doc_id", F.col("pos").alias("cell"), F.col("parent").alias("row"), "bare")
-    rows = elements.filter("tag = 'tr'").select("doc_id", F.col("pos").alias("row"))
-    left = cells.join(rows, ["doc_id", "row"], "left_semi").withColumn("left", F.lag("bare").over(Window.partitionBy("doc_id", "row").orderBy("cell"))).select("doc_id", "cell", label_text(F.col("left")).alias("left"))
-    found = open_.join(near, ["doc_id", "pos"], "left").join(left, ["doc_id", "cell"], "left")
-    return found.select("doc_id", "pos", F.coalesce("near", "left").alias("label")).filter("label is not null")
+        F.max(F.when(F.col("own") & F.col("name").isNotNull(), F.struct("pos", "name"))).alias("own"), F.collect_list(F.when(F.col("said_free") != "", F.struct("pos", "said_free"))).alias("texts"),
+        F.max("long").alias("long"), F.max(F.col("name").isNotNull()).alias("pending"), F.max(F.when(F.col("is_field"), F.struct("pos", "cell", "kind", "named", "open"))).alias("field"))
+    # up to the next field, is there a label of its own: else the two share what stands before
+    order = Window.partitionBy("doc_id", "parent").orderBy("reach")
+    stretch = stretch.withColumn("so_far", F.sum(F.col("pending").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    shared = F.coalesce(F.expr("lead(CASE WHEN field IS NOT NULL THEN so_far END) IGNORE NULLS OVER (PARTITION BY doc_id, parent ORDER BY reach)") == F.col("so_far"), F.lit(False))
+    near = stretch.withColumn("shared", shared).filter("field is not null").select("doc_id", "parent", "field.*", "shared", F.col("own.name").alias("own"), "texts", "long")
+    inline = F.array_join(F.transform(F.sort_array("texts"), lambda t: t["said_free"]), "")
+    near = with_label(near, "inline", F.when(F.col("open") & ~F.col("shared") & ~F.col("long") & F.col("own").isNull(), inline))
+    fields = near.select("doc_id", "pos", "parent", "cell", "kind", "named", "open", F.when(~F.col("shared"), F.coalesce("own", "inline")).alias("near"))
+    # cells of one row lie together, behind the row itself
+    is_cell = F.col("tag") != "tr"
+    row = Window.partitionBy("doc_id", "row").orderBy("at")
+    cells = elements.filter(F.col("tag").isin("td", "th", "tr")).select("doc_id", F.col("pos").alias("at"), F.when(is_cell, F.col("parent")).otherwise(F.col("pos")).alias("row"), is_cell.alias("is_cell"), F.when(is_cell, F.col("bare")).alias("bare"))
+    left = cells.withColumns({"left": F.lag("bare").over(row), "in_row": F.max(~F.col("is_cell")).over(row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).filter("is_cell and in_row")
+    left = with_label(left, "left", F.col("left")).select("doc_id", F.col("at").alias("cell"), "left").hint("merge")
+    found = fields.join(left, ["doc_id", "cell"], "left")
+    return found.select("doc_id", "pos", "parent", "cell", "kind", "named", F.when(F.col("open"), F.coalesce("near", "left")).alias("label"))
 
 
 def _labelled_by(elements: DataFrame) -> DataFrame:
@@ -150,10 +183,8 @@ def page_counters(elements: DataFrame, forms: bool = True) -> DataFrame:
     counts = ["form_fields_total", "form_fields_unlabeled", "form_fields_derivable"]
     if not forms:
         return own.select("*", *[F.lit(0).cast("long").alias(c) for c in counts])
-    fields = named_fields(elements)
-    labelled = derived_labels(elements, fields).withColumn("derived", F.lit(True))
-    per_field = fields.join(labelled, ["doc_id", "pos"], "left").groupBy("doc_id").agg(
-        F.count("*").alias("form_fields_total"), F.count_if(~F.col("named")).alias("form_fields_unlabeled"), F.count_if(~F.col("named") & F.coalesce("derived", F.lit(False))).alias("form_fields_derivable"))
+    per_field = labelled_fields(elements).groupBy("doc_id").agg(
+        F.count("*").alias("form_fields_total"), F.count_if(~F.col("named")).alias("form_fields_unlabeled"), F.count_if(F.col("label").isNotNull()).alias("form_fields_derivable"))
     return own.join(per_field, "doc_id", "left").fillna(0, counts)
 
 

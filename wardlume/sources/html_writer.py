@@ -193,7 +193,7 @@ def source_edits(elements: DataFrame, report: DataFrame) -> DataFrame:
     asked = done.filter("action_code in ('FILL_FORM_FIELD_LABELS', 'SET_INPUT_AUTOCOMPLETE', 'FIX_POSITIVE_TABINDEX')").select("doc_id", "action_code").distinct()
     wanted = lambda code: elements.join(asked.filter(F.col("action_code") == code).select("doc_id"), "doc_id", "left_semi")
     unnamed = wanted("FILL_FORM_FIELD_LABELS")
-    labels = names.derived_labels(unnamed, names.named_fields(unnamed)).join(at.select("doc_id", "pos", "start", "body"), ["doc_id", "pos"])
+    labels = names.labelled_fields(unnamed).filter("label is not null").select("doc_id", "pos", "label").join(at.select("doc_id", "pos", "start", "body"), ["doc_id", "pos"])
     purposes = wanted("SET_INPUT_AUTOCOMPLETE").filter(F.col("purpose").isNotNull() & ~names.given("autocomplete"))
     tabs = wanted("FIX_POSITIVE_TABINDEX").filter(names.attr("tabindex").rlike(r"^\s*\+?0*[1-9]\d*\s*$"))
     out += [_edit(labels, "attr", "start", "body", F.col("label"), F.lit("aria-label")), _edit(purposes, "attr", "start", "body", F.col("purpose"), F.lit("autocomplete")),
