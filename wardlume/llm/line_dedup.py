@@ -49,7 +49,7 @@ def later_matches(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     still = written(_open_pairs(entries, near, percent), "open-pairs")
     release(docs.sparkSession)
     far = similar(still, set_table(rows, spec, still), percent)
-    matched = near.select("a").union(far.select("a")).distinct().select("a.doc", "a.line")
+    matched = near.select("a").union(far.select("a")).select("a.doc", "a.line")
     copies = surveyed.filter("kind = 1 and doc is not null").join(
         classes.filter("copies > 1").select("key", "key2", "n", "id"), ["key", "key2", "n"]).filter("doc <> id.doc or line <> id.line").select("doc", "line")
     lines = written(matched.union(copies).distinct(), "later-lines")

@@ -30,6 +30,8 @@ from .text_sets import (
 #: Entries held by a task before they are dealt out; a level from which tokens count as very common.
 FLUSH, HOT_LEVEL = 400_000, 40
 _POS_CAP = 65_535
+#: Sets in a token's list from which it is worked through by blocks of doc ids; shorter ones lie in one task each.
+LONG_LIST = 5_000
 
 
 class Spec(NamedTuple):
@@ -66,15 +68,24 @@ def survey(rows: DataFrame, spec: Spec) -> DataFrame:
         def batch(rows_: int, **values) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(values[c], k) if c in values else pa.nulls(rows_, k) for c, k in zip(names, kinds, strict=True)], names)
 
+        held: list[np.ndarray] = []
+
+        def count() -> None:
+            if held:
+                counts[:] += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+                held.clear()
+
         for ids, texts in chunks(batches):
             e = elements(texts, spec.lines)
-            tokens = e.tokens[joinable(e, spec)[e.owner]]
-            counts += np.bincount((tokens & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            held.append((e.tokens[joinable(e, spec)[e.owner]] & U(SKETCH - 1)).astype(np.int32))
+            if sum(map(len, held)) >= SKETCH:
+                count()
             n = len(e.row)
             yield batch(n, kind=np.ones(n, np.int32), key=e.keys().view(np.int64), key2=e.keys(1).view(np.int64), doc=[ids[i] for i in e.row.tolist()], line=e.line, n=e.sizes)
             if not spec.lines:
                 none = np.setdiff1d(np.arange(len(ids)), e.row)
                 yield batch(len(none), kind=np.full(len(none), 2, np.int32), doc=[ids[i] for i in none.tolist()], line=np.zeros(len(none), np.int64), n=np.zeros(len(none), np.int64))
+        count()
         b = parts_of(counts, task)
         yield batch(b.num_rows, kind=np.zeros(b.num_rows, np.int32), **{c: b.column(c).to_pylist() for c in ("block", "salt", "data")})
 
@@ -114,7 +125,7 @@ def prefixes(e: Elements, spec: Spec, weights: np.ndarray) -> tuple[np.ndarray,
 
 
 def shared_prefixes(rows: DataFrame, spec: Spec, levels: np.ndarray, classes: DataFrame) -> DataFrame:
-    """Written rows token, pos, id, kept, lead (the element's first place): prefix tokens that two different sets have at least."""
+    """Written rows token, pos, id, kept, lead (the element's first place), many (a list of more than LONG_LIST sets): prefix tokens that two different sets have at least."""
     spark = rows.sparkSession
     ranges = partitions(spark)
     common = spark.sparkContext.broadcast(levels)
@@ -192,7 +203,7 @@ def shared_prefixes(rows: DataFrame, spec: Spec, levels: np.ndarray, classes: Da
         # entries that arrive twice (very common tokens, from several tasks) can only make an element keep more
         kept = F.row_number().over(by.orderBy(F.desc("common_to"), "token")) >= F.col("matches")
     met = met.withColumn("kept", kept).withColumn("lead", F.min("pos").over(by))
-    entries = met.join(classes.select("key", "id"), "key").select("token", "pos", "id", "kept", "lead")
+    entries = met.join(classes.select("key", "id"), "key").select("token", "pos", "id", "kept", "lead", (F.col("common_to") > LONG_LIST).alias("many"))
     found = written(entries, "prefixes")
     release(spark)
     return found
@@ -249,11 +260,16 @@ def _block(cuts: list, column: Column, low: int = 0) -> Column:
     return F.when(column <= F.lit(cuts[mid]), _block(cuts[:mid], column, low)).otherwise(_block(cuts[mid + 1 :], column, low + mid + 1))
 
 
-def earlier_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Written (a, b): for each element a the first elements and smallest sets b before it that it meets in most of its tokens' lists.
+def _before_by_lists(entries: DataFrame) -> DataFrame:
+    """(a, a_lead, head, small): of every entry the first element and the smallest set before it in its token's list, lists being short."""
+    order = Window.partitionBy("token").orderBy("id")
+    x = entries.select("token", "id", "lead").withColumns({
+        "head": F.first(F.struct("id", "lead")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "small": F.min(F.struct("id.n", "id", "lead")).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    return x.filter("small is not null").select(F.col("id").alias("a"), F.col("lead").alias("a_lead"), "head", "small")
 
-    Running minima go by blocks of doc ids within a list, then over the blocks, so no list is in one task.
-    """
+
+def _before_by_blocks(entries: DataFrame) -> DataFrame:
+    """The same for lists of any length: running minima go by blocks of doc ids within a list, then over the blocks, so no list is in one task."""
     cuts = entries.agg(F.percentile_approx("id.doc", [i / BLOCKS_OF_IDS for i in range(1, BLOCKS_OF_IDS)], 1000)).first()[0] or []
     x = entries.select("token", "id", "lead", _block(sorted(set(cuts)), F.col("id.doc")).alias("block"))
     one = F.struct("id.n", "id", "lead")
@@ -262,8 +278,14 @@ def earlier_pairs(entries: DataFrame, percent: int) -> DataFrame:
     lists = Window.partitionBy("token").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("token", "block", F.min("least").over(lists).alias("before"), F.min("head").over(Window.partitionBy("token")).alias("head"))
     met = x.withColumn("inside", inside).join(blocks, ["token", "block"]).select(F.col("id").alias("a"), F.col("lead").alias("a_lead"), "head", F.least("inside", "before").alias("small"))
+    return met.filter("small is not null")
+
+
+def earlier_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Written (a, b): for each element a the first elements and smallest sets b before it that it meets in most of its tokens' lists."""
+    met = _before_by_lists(entries.filter("not many")).unionByName(_before_by_blocks(entries.filter("many")))
     two = F.array(F.struct(F.col("head.id").alias("b"), F.col("head.lead").alias("b_lead")), F.struct(F.col("small.id").alias("b"), F.col("small.lead").alias("b_lead")))
-    met = met.filter("small is not null").select("a", "a_lead", F.explode(F.array_distinct(two)).alias("x")).select("a", "a_lead", "x.b", "x.b_lead")
+    met = met.select("a", "a_lead", F.explode(F.array_distinct(two)).alias("x")).select("a", "a_lead", "x.b", "x.b_lead")
     return written(_best_of_lists(met, percent), "star-pairs")
 
 
@@ -290,11 +312,11 @@ def set_table(rows: DataFrame, spec: Spec, pairs: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity asked for, exactly."""
+    """The pairs (a, b) whose sets have the similarity asked for, exactly; more than once where rows share a doc_id."""
     left = sets.select(F.col("doc").alias("_ad"), F.col("line").alias("_al"), F.col("tokens").alias("_at"))
     right = sets.select(F.col("doc").alias("_bd"), F.col("line").alias("_bl"), F.col("tokens").alias("_bt"))
     both = pairs.join(left, (F.col("a.doc") == F.col("_ad")) & (F.col("a.line") == F.col("_al"))).join(
         right, (F.col("b.doc") == F.col("_bd")) & (F.col("b.line") == F.col("_bl")))
     hits = F.size(F.array_intersect("_at", "_bt"))
     return both.withColumn("_hits", hits).filter(
-        F.col("_hits") * 100 >= (F.size("_at") + F.size("_bt") - F.col("_hits")) * percent).select("a", "b").distinct()
+        F.col("_hits") * 100 >= (F.size("_at") + F.size("_bt") - F.col("_hits")) * percent).select("a", "b")

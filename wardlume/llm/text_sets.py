@@ -30,6 +30,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTES = mix((np.arange(256, dtype=U) + U(1)) * BASE)[_LOWER]
+_LOWERED = bytes(_LOWER.tolist())
+#: The lower bytes of a word of 64 bits, by their number; the most pieces of eight bytes that a word is hashed by.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+PIECES = 16
 
 
 class Elements(NamedTuple):
@@ -49,6 +53,28 @@ class Elements(NamedTuple):
         return mix(np.add.reduceat(mix((self.tokens & TOKEN_MASK) + U(salt)), self.starts) + self.sizes.astype(U))
 
 
+def _word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end], eight bytes at a time; behind the last word lie eight bytes more."""
+    at = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,))  # eight bytes from every place on
+    size = end - start
+    h = mix(at[start] & _FIRST[np.minimum(size, 8)]) + size.astype(U)
+    on = np.flatnonzero(size > 8)
+    for k in range(1, PIECES):
+        if not len(on):
+            break
+        h[on] = mix(h[on] + (at[start[on] + 8 * k] & _FIRST[np.minimum(size[on] - 8 * k, 8)]))
+        on = on[size[on] > 8 * (k + 1)]
+    if len(on):  # longer words byte by byte
+        stop = np.cumsum(size[on])
+        h[on] = span_hashes(_BYTES[np.frombuffer(b"".join(data[s:e] for s, e in zip(start[on].tolist(), end[on].tolist(), strict=True)), np.uint8)], stop - size[on], stop)
+    return mix(h)
+
+
+def _after(start: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of the ascending cuts lie before each of the ascending starts."""
+    return np.repeat(np.arange(len(cuts) + 1), np.diff(np.concatenate([[0], np.searchsorted(start, cuts), [len(start)]])))
+
+
 def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None, width: int = SHINGLE_WORDS) -> Elements:
     """The sets, tokens ascending; with levels (of the sketch's counters) rare tokens come first, then by hash.
 
@@ -56,16 +82,15 @@ def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None, wi
     """
     parts = [t.encode("utf-8", "replace") for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts])
-    raw = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
-    word = np.concatenate([[False], ~_SPACE[raw], [False]])
+    data = b"\n".join([*parts, bytes(8)]).translate(_LOWERED)
+    raw = np.frombuffer(data, np.uint8)[:-8]
+    word = np.zeros(len(raw) + 2, bool)
+    word[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)
     edges = np.flatnonzero(word[1:] != word[:-1])
     start, end = edges[::2], edges[1::2]
-    w = span_hashes(_BYTES[raw], start, end)
-    if lines:
-        breaks = np.cumsum(raw == 10)
-        of = breaks[start]  # breaks before the word: a word is none itself
-    else:
-        of = np.searchsorted(ends, start, side="right")
+    w = _word_hashes(data, start, end)
+    breaks = np.flatnonzero(raw == 10) if lines else ends
+    of = _after(start, breaks)
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
     count = np.diff(np.append(first, len(of)))
     name = of[first]
@@ -78,9 +103,13 @@ def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None, wi
     token = h >> U(64 - TOKEN_BITS)
     if levels is not None:
         token |= levels[(token & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(TOKEN_BITS)
-    order = np.argsort(token)
-    small = owner[order].astype(np.uint16) if len(first) < 1 << 16 else owner[order]
-    order = order[np.argsort(small, kind="stable")]
+    # sorted by element and the token's upper bits at once; where these leave tokens of an element in doubt, by the whole token
+    bits = U(max(len(first) - 1, 1).bit_length())
+    key = (owner.astype(U) << (U(64) - bits)) | (token >> bits)
+    order = np.argsort(key)
+    near, apart = np.diff(key[order]) == 0, np.diff(token[order]) != 0
+    if (near & apart).any():
+        order = np.lexsort((token, owner))
     token, owner = token[order], owner[order]
     keep = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]) if total else np.empty(0, bool)
     token, owner = token[keep], owner[keep]
@@ -90,7 +119,7 @@ def elements(texts: list[str], lines: bool, levels: np.ndarray | None = None, wi
         at = start[first]
         row = np.searchsorted(ends, at, side="right")
         base = np.concatenate([[0], ends])[row]
-        line = name - np.where(base > 0, breaks[base - 1], 0)
+        line = name - np.searchsorted(breaks, base)
     else:
         row, line = name, np.zeros(len(name), np.int64)
     return Elements(row, line, starts, sizes, token, owner)
