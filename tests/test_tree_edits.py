@@ -229,3 +229,20 @@ def test_only_the_chosen_actions(spark):
     assert {r["rule_id"] for r in outcomes.filter("outcome = 'fixed'").collect()} == {"HEADING_LEVEL_JUMP", "LIST_STRUCTURE_INVALID"}
     assert {r["action_code"] for r in report.collect()} == {"NORMALIZE_HEADING_LEVEL", "FIX_LIST_STRUCTURE"}
     assert rules.audit(nodes).count() == outcomes.filter("outcome <> 'new'").count()
+
+
+def _written_plans(spark, monkeypatch, run):
+    """The plans of what a call writes."""
+    plans = []
+    monkeypatch.setattr(tree_edits, "staged", lambda df, name="staged": plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
+    run()
+    return plans
+
+
+def test_nodes_and_edits_meet_without_joins(spark, monkeypatch):
+    """Joined by name, the millions of edits of small documents looked small and were broadcast through the driver."""
+    nodes = table_of(spark, {1: {"n0": (None, "r"), "t": ("n0", "x"), "u": ("n0", "y")}})
+    rows = [("wrap", "t", "w", None), ("move", "u", None, "t"), ("insert", None, "i", "t"), ("set", "t", None, None), ("drop", "none", None, None)]
+    changes = spark.createDataFrame([(1, *[{"op": o, "node_id": n, "new_id": new, "ref_id": ref, "rank": 0, "place": 0.0, "field": "text", "action_code": "A"}.get(c) for c in tree_edits.FIELDS]) for o, n, new, ref in rows], EDITS)
+    plans = _written_plans(spark, monkeypatch, lambda: tree_edits.apply_edits(nodes, changes))
+    assert len(plans) == 2 and not any("Join" in p or "Broadcast" in p for p in plans)
