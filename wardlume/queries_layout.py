@@ -68,7 +68,8 @@ def _blocks(spark, sf):
     lines = table(spark, sf, "lineitem")
     x = lines.selectExpr(f"{PLACED.columns['doc_id']} AS doc_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{PLACED.columns['word']} AS word")
     x = numbered(x, lines, ["doc_id"], F.expr("floor(l_orderkey / 150000)"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "n")
-    return x.select("doc_id", "n", "word").selectExpr(*[f"{e} AS {c}" for c, e in _BLOCK.items()])
+    # a document's number of lines times 7919 is no int from 271,180 lines on
+    return x.select("doc_id", F.col("n").cast("long").alias("n"), "word").selectExpr(*[f"{e} AS {c}" for c, e in _BLOCK.items()])
 
 
 @query(f"WITH {_READ} SELECT doc_id, page, block_id, turn FROM o")
