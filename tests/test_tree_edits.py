@@ -253,3 +253,15 @@ def test_nodes_and_edits_meet_without_joins(spark, monkeypatch):
 def test_outcomes_of_edits_write_no_edited_tree(spark, monkeypatch):
     plans = _written_plans(spark, monkeypatch, lambda: queries_edits.edit_outcomes(spark, SF))
     assert len(plans) == 1
+
+
+def test_typed_lists_are_marked_where_they_lie(spark):
+    """Runs were joined with all nodes, and paragraphs with all parents; now two windows over nodes dealt by document tell them."""
+    tree = {"n0": (None, "r"), "a": ("n0", "- one"), "b": ("n0", "- two"), "c": ("n0", "* three"), "d": ("n0", "1. x"), "e": ("n0", "2. y"), "f": ("e", "- child"), "g": ("n0", "3. z"), "h": ("n0", "1) p"), "i": ("n0", "2) q")}
+    nodes = table_of(spark, {1: tree})
+    marked = remediation.marked_fake_lists(nodes)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    got = {r["node_id"]: r["props"]["fake_list_run_ids"] for r in marked.collect() if "fake_list_run_ids" in r["props"]}
+    assert got == {"a": "a b", "h": "h i"} and marked.count() == len(tree)
+    assert {r["node_id"]: r["first_id"] for r in remediation.fake_list_members(nodes).collect()} == {"a": "a", "b": "a", "h": "h", "i": "h"}
