@@ -265,3 +265,12 @@ def test_typed_lists_are_marked_where_they_lie(spark):
     got = {r["node_id"]: r["props"]["fake_list_run_ids"] for r in marked.collect() if "fake_list_run_ids" in r["props"]}
     assert got == {"a": "a b", "h": "h i"} and marked.count() == len(tree)
     assert {r["node_id"]: r["first_id"] for r in remediation.fake_list_members(nodes).collect()} == {"a": "a", "b": "a", "h": "h", "i": "h"}
+
+
+def test_audits_are_compared_by_one_shuffle(spark):
+    rows = [(1, "a", "R", "warning"), (1, "a", "R", "warning"), (1, "b", "R", "warning")], [(1, "b", "R", "warning"), (2, "c", "S", "error")]
+    before, after = (spark.createDataFrame(r, "doc_id long, node_id string, rule_id string, severity string") for r in rows)
+    x = remediation.compared_audits(before, after)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert sorted(tuple(r) for r in x.collect()) == [(1, "a", "R", "warning", "fixed"), (1, "b", "R", "warning", "left"), (2, "c", "S", "error", "new")]
