@@ -274,3 +274,15 @@ def test_audits_are_compared_by_one_shuffle(spark):
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
     assert sorted(tuple(r) for r in x.collect()) == [(1, "a", "R", "warning", "fixed"), (1, "b", "R", "warning", "left"), (2, "c", "S", "error", "new")]
+
+
+def test_fixes_of_what_is_not_there_are_not_planned(spark, monkeypatch):
+    def never(nodes):
+        raise AssertionError
+
+    for name in ("_table_edits", "_order_edits", "_heading_edits"):
+        monkeypatch.setattr(remediation, name, never)
+    nodes = table_of(spark, {1: {"n0": (None, "r"), "a": ("n0", "words")}})
+    assert remediation._present(nodes) == set()
+    fixed, report = remediation.apply_fixes(nodes, ["FIX_LIST_STRUCTURE", "ADD_TABLE_HEADERS"])
+    assert (fixed.count(), report.count()) == (2, 0)
